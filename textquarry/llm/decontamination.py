@@ -75,7 +75,8 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
             # The outer form: for the inner one the optimizer derives a filter on the array, and pushes it
             # down with the words spelled out inside the lambda, where each window would cut the text again.
             probed = cut.select("doc_id", "text_hash", "w", F.posexplode_outer("hs").alias("at", "h")).join(F.broadcast(set_), "h")
-            found = probed.where(F.slice("w", F.col("at") + 1, size) == F.col("win"))
+            # Not a plain equality, which would become a join key and be computed for every window.
+            found = probed.where(F.coalesce(F.slice("w", F.col("at") + 1, size) == F.col("win"), F.lit(False)))
         else:
             # Only hashes are shuffled; the texts of documents with a hit are looked up again.
             laid = cut.select("doc_id", "text_hash", F.posexplode_outer("hs").alias("at", "h"))

@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontamination, packing, quality_rules, sharding, storage, token_counts, token_files
+from textquarry.llm import (
+    decontamination,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    storage,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -16,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = storage.new_folder(spark, "token-files")
     files = token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE), end_id=2)
@@ -48,6 +62,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: SQL for op4: the same windows by joins of exploded words.
 _OP4_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -66,12 +84,14 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_token_files": op2_token_files,
         "op3_quality_rules": op3_quality_rules,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
         "op7_token_counts": op7_token_counts,
         "op8_sharding": op8_sharding,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
