@@ -13,6 +13,7 @@ from textquarry.llm import (
     quality_rules,
     sharding,
     storage,
+    substring_dedup,
     token_counts,
     token_files,
     toxicity,
@@ -51,6 +52,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(spark, files)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), limit=4096)
 
@@ -89,6 +94,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,

@@ -1,6 +1,7 @@
 """Operator 1: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of the words in it, a document's
+A document is a bag of sentences. A sentence's score is a logistic function of its distinct words (each with
+its first and last few letters, so that inflected and compound forms of a word count too), a document's
 score the noisy-or of its sentences: 1 - prod(1 - p). Only documents have labels; the likelihood of the
 noisy-or is climbed by gradient, so blame settles on the sentences whose words explain the labels. The
 same model then finds those sentences.
@@ -33,9 +34,9 @@ PER_CLASS = 2000
 #: so many standard errors. Words beyond chance alone get a weight; the rest would only be learnt by heart.
 MIN_DOCS = 8
 MIN_Z = 4.0
-STEPS = 300
+STEPS = 600
 #: Pull of weights towards nothing.
-RIDGE = 1e-4
+RIDGE = 1e-5
 #: Weights nearer to nothing than this are dropped.
 LEAST_WEIGHT = 0.05
 BATCH_CHARS = 4_000_000
@@ -57,11 +58,37 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _plain(text or "").split("\n") if (w := s.split())]
 
 
+#: Lengths of the beginnings and ends of words that are features.
+AFFIXES = (4, 5, 6, 7)
+#: Words whose weights a worker holds.
+MAX_WORDS = 500_000
+
+
+def features(word: str) -> list[str]:
+    n = len(word)
+    return [word, *(f"{word[:k]}*" for k in AFFIXES if n > k), *(f"*{word[-k:]}" for k in AFFIXES if n > k)]
+
+
+class WordWeights(dict):
+    """Word -> sum of its features' weights, filled as words are met."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        get = self.weights.get
+        self[word] = z = sum(get(f, 0.0) for f in features(word))
+        return z
+
+
 def fit(texts: list[str], labels: list[int]) -> tuple[float, dict[str, float]]:
     """Bias and word weights that maximise the noisy-or likelihood."""
     if not texts or len(set(labels)) < 2:
         return -20.0, {}
-    bags = [[set(s) for s in sentences(t)] or [set()] for t in texts]
+    bags = [[[f for w in set(s) for f in features(w)] for s in sentences(t)] or [[]] for t in texts]
     counts = [Counter(w for bag, label in zip(bags, labels, strict=True) if label == y for w in set().union(*bag)) for y in (0, 1)]
     sizes = [max(labels.count(y), 1) for y in (0, 1)]
 
@@ -91,7 +118,7 @@ def fit(texts: list[str], labels: list[int]) -> tuple[float, dict[str, float]]:
         dw = np.bincount(col, slope[row], len(w)) / len(bags) - RIDGE * w
         db = slope.sum() / len(bags)
         gw, gb = gw + dw * dw, gb + db * db
-        w, b = w + 0.5 * dw / np.sqrt(gw), b + 0.2 * db / math.sqrt(gb)
+        w, b = w + 1.5 * dw / np.sqrt(gw), b + 0.5 * db / math.sqrt(gb)
     kept = {t: float(w[i]) for t, i in vocabulary.items() if abs(w[i]) >= LEAST_WEIGHT}
     return float(b), kept
 
@@ -113,16 +140,16 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score_text(text: str | None, bias: float, weights: dict[str, float]) -> tuple[float, float, int, int]:
+def score_text(text: str | None, bias: float, weights: WordWeights) -> tuple[float, float, int, int]:
     """Score of the text, and of its worst sentence with that sentence's start and end (code points)."""
     plain = _plain(text or "")
-    get, quiet = weights.get, math.log1p(-_sigmoid(bias))
+    get, quiet = weights.__getitem__, math.log1p(-_sigmoid(bias))
     log_none, worst, at, span = 0.0, -1.0, 0, (0, 0)
     for s in plain.split("\n"):
         end = at + len(s)
         words = s.split()
         if words:
-            z = sum(get(w, 0.0) for w in words) if len(words) == 1 else sum(get(w, 0.0) for w in set(words))
+            z = sum(map(get, set(words)))
             if z:
                 p = _sigmoid(bias + z)
                 log_none += math.log1p(-min(p, 1 - 1e-12))
@@ -142,10 +169,11 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
     bias, weights = model
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = WordWeights(weights)
         for batch in stream:
             sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)], np.int64)
             for a, b in runs(sizes, BATCH_CHARS):
-                found = [score_text(t, bias, weights) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                found = [score_text(t, bias, held) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 cols = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
@@ -161,11 +189,12 @@ def locate(docs: DataFrame, model: tuple[float, dict[str, float]], at_least: flo
     bias, weights = model
 
     def task(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = WordWeights(weights)
         for rows in stream:
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 for m in re.finditer(r"[^\n]+", _plain(text or "")):
-                    p = _sigmoid(bias + sum(weights.get(w, 0.0) for w in set(m[0].split())))
+                    p = _sigmoid(bias + sum(map(held.__getitem__, set(m[0].split()))))
                     if m[0].strip() and p >= at_least:
                         out.append((doc_id, m.start(), m.end(), text[m.start() : m.end()], p))
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "sentence", "score"]).astype({"doc_id": "Int64"})
