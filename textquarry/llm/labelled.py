@@ -16,7 +16,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, lang, source, n_chars, y: at most ``per_class`` rows of each class, those of least hash.
+    """doc_id, text, lang, source, y: at most ``per_class`` rows of each class, those of least hash.
 
     Rows held out, without label or without doc_id are never taken; of repeated ids one row is.
     """
@@ -27,24 +27,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         some = seen.where(F.col("y") == y).orderBy(F.xxhash64("id_"), "id_").limit(per_class)
         picks = some if picks is None else picks.unionByName(some)
     picks = F.broadcast(picks.dropDuplicates(["id_"]))  # 2 * per_class rows at most
-    rows = docs.where(F.length("text") <= MAX_TRAIN_CHARS).join(picks, F.col("doc_id").cast("long") == F.col("id_"))
-    return _columns(rows, "y").dropDuplicates(["doc_id"])
+    rows = _columns(docs).where(F.length("text") <= MAX_TRAIN_CHARS).join(picks, F.col("doc_id") == F.col("id_"))
+    return rows.drop("id_").dropDuplicates(["doc_id"])
 
 
-def _columns(docs: DataFrame, *more: str) -> DataFrame:
+def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-        *more,
     )
 
 
 def unlabelled_rows(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """The same columns (y null) of at most ``n`` rows that no label names, those of least hash."""
     named = labels.select(F.col("doc_id").cast("long").alias("id_")).where(F.col("id_").isNotNull()).distinct()
-    ids = docs.where((F.length("text") <= MAX_TRAIN_CHARS) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id_"))
-    picks = ids.where(F.col("id_").isNotNull()).join(named, "id_", "left_anti").orderBy(F.xxhash64("id_"), "id_").limit(n).distinct()
-    rows = docs.join(F.broadcast(picks), F.col("doc_id").cast("long") == F.col("id_"))
-    return _columns(rows.withColumn("y", F.lit(None).cast("int")), "y").dropDuplicates(["doc_id"])
+    plain = _columns(docs).where((F.length("text") <= MAX_TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = plain.select(F.col("doc_id").alias("id_"))
+    picks = ids.join(named, "id_", "left_anti").orderBy(F.xxhash64("id_"), "id_").limit(n).distinct()
+    rows = plain.join(F.broadcast(picks), F.col("doc_id") == F.col("id_")).drop("id_")  # n rows at most
+    return rows.withColumn("y", F.lit(None).cast("int")).dropDuplicates(["doc_id"])
