@@ -14,7 +14,9 @@ def tokens(corpus: DataFrame, scope: Scope, any_script: bool = False) -> DataFra
     """One row an item: ``token``. Oversize items are left out, empty lines are items."""
     text = F.col("text")
     arr = words_any_script(text) if scope is Scope.WORD and any_script else tokenize.items(text, scope)
-    return corpus.select(F.explode(arr).alias("token")).where(tokenize.within_size(F.col("token"), scope))
+    # The outer form: for the inner one the optimizer adds a filter on the array, which cuts every text twice.
+    # Its null for a text without items falls to the size guard.
+    return corpus.select(F.explode_outer(arr).alias("token")).where(tokenize.within_size(F.col("token"), scope))
 
 
 def with_line_words(items: DataFrame) -> DataFrame:
@@ -38,4 +40,4 @@ def bigrams(items: DataFrame, scope: Scope) -> DataFrame:
         grams = F.transform(tokenize.interior_bigrams(units), lambda g: F.array(F.array_join(g, "")))
     else:
         grams = tokenize.interior_bigrams(tokenize.words(F.col("token")))
-    return items.select("token", F.explode(grams).alias("gram"))
+    return items.select("token", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())

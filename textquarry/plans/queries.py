@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.enums import Mode, Scope, SearchType
 from textquarry.functions.scoring import highlight, rank_label
+from textquarry.functions.tokenize import lines as cut
 from textquarry.operators.search import count_matches, prepare, search
 from textquarry.operators.tokens import bigrams, counted, tokens
 from textquarry.sources.corpus import read_table
@@ -129,9 +130,7 @@ def _highlight(spark: SparkSession, sf: str) -> DataFrame:
 
 def _size_guard(spark: SparkSession, sf: str) -> DataFrame:
     lines = read_table(spark, sf, "documents", "text")
-    from textquarry.functions.tokenize import lines as cut
-
-    every = lines.select(F.explode(cut(F.col("text"))).alias("token"))
+    every = lines.select(F.explode_outer(cut(F.col("text"))).alias("token")).where(F.col("token").isNotNull())
     over = (F.octet_length("token") > Scope.LINE.max_bytes).cast("long")
     return every.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(over), F.lit(0)).cast("long").alias("n_dropped"))
 
