@@ -5,7 +5,9 @@
    min-hash, exactly, and the links found are closed to components. A group's members are connected.
 3. The matrix: tokens against groups. Tokens are taken in one global order, frequent ones last, and of a set of n
    only the first n - ceil(t n) + 1 are laid out: two sets that link share one of those. A token that stands
-   in one group only is left out; the others give candidates, a class (query) and another group.
+   in one group only is left out; the others give candidates, a class (query) and another group. A candidate
+   stays if the two have enough of those tokens in common: with sizes n and m, a link has 3 (n + m) / 7 tokens in
+   common, and beyond the first tokens there are less than t max(n, m).
 4. A candidate's bound is the number of the query's tokens in the group's token union. No member can link
    if it is below t n. Only groups that qualify are opened, and the query is compared with their members exactly.
    Tokens of more than ``MAX_GROUPS`` groups go another exact way: their classes are compared block by block,
@@ -35,10 +37,10 @@ from textquarry.llm.token_counts import runs
 WORDS = 5
 PERCENT = 75
 #: Min-hashes of a set, and the pivots (those it agrees with most) that a class is compared with in step 2.
-MIN_HASHES = 16
+MIN_HASHES = 8
 PIVOTS = 2
 #: Groups of one token that are candidates of each other; larger lists are compared in blocks.
-MAX_GROUPS = 48
+MAX_GROUPS = 256
 BLOCK = 256
 #: Keys broadcast at most (16 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST = 1_000_000
@@ -108,7 +110,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), cls, and min-hashes of every row."""
-    seeds = _mix(np.arange(1, MIN_HASHES + 1).astype(_U) * _BASE)
+    seeds = _mix(np.arange(1, MIN_HASHES + 1).astype(_U) * _BASE) | _U(1)  # odd: each gives another order
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -117,7 +119,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 n[k] = len(s)
                 if len(s):
                     cls[k] = class_of(s)
-                    low.append([int(_mix(s ^ x).min().astype(np.int64)) for x in seeds])
+                    low.append([int((s * x).min().astype(np.int64)) for x in seeds])
                 else:
                     low.append([])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "low"])
@@ -140,9 +142,9 @@ def token_levels(docs: DataFrame) -> np.ndarray:
 
     sums = written(_plain(docs).mapInArrow(task, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")), "counters")
     mean = (sums.agg(F.sum("n")).first()[0] or 0) / COUNTERS
-    least = 4 * mean + 32
+    least = mean + 6 * mean**0.5 + 16  # beyond what usual tokens add up to by chance
     levels = np.zeros(COUNTERS, np.uint8)
-    # Fewer than a quarter of the counters exceed four times their mean.
+    # COUNTERS rows at most.
     for r in sums.where(F.col("n") > least).collect():
         levels[r.counter] = min(255, 1 + int(8 * np.log2(r.n / least)))
     return levels
@@ -310,13 +312,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     rows = shared_tokens(prefixes(docs, token_levels(docs)))
     matrix = written(rows.join(grouped, "cls").select("token", "cls", "n", "grp"), "matrix")
-    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    widths = cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1)
-    widths = written(widths, "widths")
+    cells = matrix.select("token", "grp").distinct()
+    widths = written(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1), "widths")
     usual = widths.where(F.col("groups") <= MAX_GROUPS).select("token")
-    cells = cells.join(usual, "token").withColumnRenamed("grp", "other")
-    able = (100 * F.col("hi") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("lo"))
-    candidates = matrix.join(cells, "token").where((F.col("grp") != F.col("other")) & able).select("cls", "n", "grp", "other").distinct()
+    met = matrix.join(cells.join(usual, "token").withColumnRenamed("grp", "other"), "token").where(F.col("grp") != F.col("other"))
+    shared = met.groupBy("cls", "n", "other").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Sizes of members that can link; the need is least at one of the two ends.
+    t, n = PERCENT / 100, F.col("n")
+    low, high = F.greatest("lo", F.ceil(t * n)), F.least("hi", F.floor(n / t))
+    need = lambda m: PERCENT / (100 + PERCENT) * (n + m) - t * F.greatest(n, m)
+    enough = (low <= high) & (F.col("shared") >= F.least(need(low), need(high)) - 1e-6)
+    candidates = shared.join(sizes, "other").where(enough).select("cls", "n", "other")
     candidates = written(candidates, "candidates")
 
     # The bound: tokens of the query in the union of the group's tokens.
