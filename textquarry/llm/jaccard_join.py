@@ -38,10 +38,12 @@ WORDS = 5
 PERCENT = 75
 #: Min-hashes of a set, and the pivots (those it agrees with most) that a class is compared with in step 2.
 MIN_HASHES = 8
-PIVOTS = 2
+PIVOTS = 1
 #: Groups of one token that are candidates of each other; larger lists are compared in blocks.
 MAX_GROUPS = 256
 BLOCK = 256
+#: Groups of so few members are opened without a bound: their union would cost more than the comparison.
+SMALL_GROUP = 4
 #: Keys broadcast at most (16 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST = 1_000_000
 #: Counters that tell frequent tokens; collisions only change the order of tokens.
@@ -222,15 +224,23 @@ def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame
                 ends = np.cumsum([0, *(len(s) for _, s in part)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "tokens"])
 
-    return written(rows.mapInArrow(task, "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    # A class may come twice if its row is repeated; links and bounds don't mind.
+    return written(rows.mapInArrow(task, "cls long, tokens array<long>"), "sets")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets link."""
+    """The pairs a, b (a written table) whose sets link."""
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    held = _bounded(pairs)  # so that sets are moved once, with their partner's name
+    right = right.join(_bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
+    joined = left.join(held, "a").join(right, "b").withColumn("both", both)
     return joined.where(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
 
@@ -327,15 +337,20 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     candidates = written(candidates, "candidates")
 
     # The bound: tokens of the query in the union of the group's tokens.
-    members = candidates.select(F.col("other").alias("grp")).distinct().join(grouped, "grp")
-    wanted = candidates.select("cls").unionByName(members.select("cls")).distinct()
+    many = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_GROUP).select(F.col("grp").alias("other"))
+    large = written(candidates.join(many, "other", "left_semi"), "large")
+    members = written(large.select(F.col("other").alias("grp")).distinct().join(grouped, "grp").select("grp", "cls"), "members")
+    inside = lambda some: some.join(grouped.select("grp", F.col("cls").alias("b"), F.col("n").alias("m")), "grp").where(_fits("n", "m")).select(F.col("cls").alias("a"), "b")
+    small = inside(candidates.join(many, "other", "left_anti").withColumnRenamed("other", "grp"))
+    small = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-pairs")
+    wanted = large.select("cls").unionByName(members.select("cls")).unionByName(small.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
     sets = _sets_of(docs, wanted, names)
-    union = members.join(sets, "cls").select("grp", F.explode("tokens").alias("token")).distinct()
-    asked = candidates.join(sets, "cls").select("cls", "n", F.col("other").alias("grp"), F.explode("tokens").alias("token"))
+    union = sets.join(_bounded(members), "cls").select("grp", F.explode("tokens").alias("token")).distinct()
+    asked = sets.join(_bounded(large), "cls").select("cls", "n", F.col("other").alias("grp"), F.explode("tokens").alias("token"))
     bound = asked.join(union, ["grp", "token"]).groupBy("cls", "n", "grp").agg(F.count(F.lit(1)).alias("most"))
     opened = bound.where(100 * F.col("most") >= PERCENT * F.col("n")).select("cls", "n", "grp")
-    inside = opened.join(grouped.select("grp", F.col("cls").alias("b"), F.col("n").alias("m")), "grp").where(_fits("n", "m"))
-    far = _linked(inside.select(F.col("cls").alias("a"), "b").distinct(), sets)
+    pairs_far = written(inside(opened).distinct().unionByName(small), "far-pairs")
+    far = _linked(pairs_far, sets)
 
     hot = matrix.join(widths.where(F.col("groups") > MAX_GROUPS), "token").select("cls", "n")
     return near.unionByName(written(far, "far")).unionByName(_block_links(docs, hot, names))
