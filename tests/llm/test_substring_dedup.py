@@ -25,7 +25,7 @@ def test_cuts_survive_insertions():
     pieces = lambda data: set(s.digests(data, s.cut(np.frombuffer(data, np.uint8))))
     shared = pieces(a) & pieces(b)
     assert len(shared) > 0.85 * len(s.cut(np.frombuffer(passage, np.uint8)))
-    assert 20 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 50
+    assert 25 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 60
     flat = np.zeros(10_000, np.uint8)
     assert 1 <= len(s.cut(flat)) <= 10_000 / s.RADIUS
 

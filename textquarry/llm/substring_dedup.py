@@ -30,7 +30,7 @@ from textquarry.llm.token_counts import runs
 
 #: Bytes that a hash value depends on: the gear hash is shifted by two bits a byte.
 WINDOW = 16
-RADIUS = 16
+RADIUS = 20
 #: Bytes of a run of repeats from which it is removed.
 MIN_RUN = 128
 BATCH_BYTES = 4_000_000
@@ -112,8 +112,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     laid = chunks(docs)
     owners = (
         laid.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-        .where(~F.col("first").eqNullSafe(F.col("last")))
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > 1)
         .select("digest", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
     )
     found = laid.join(owners, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("start") == F.col("owner_start"))))
