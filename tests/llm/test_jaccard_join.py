@@ -99,3 +99,16 @@ def test_query(spark):
     query = queries()["op10_jaccard_join"](spark, SF)
     assert found(query) == brute(docs)
     assert rows_of(query) == sql_rows(connection(SF), oracle_sql()["op10_jaccard_join"])
+
+
+def test_signatures_differ_in_no_more_places_than_sets():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 40, 900, 5000):
+        pool = np.unique(draw.integers(0, 2**63, size, dtype=np.uint64))
+        a, b = pool[draw.random(len(pool)) < 0.8], pool[draw.random(len(pool)) < 0.8]
+        one, two = (np.array(jaccard_join.signature(s), np.int64).view(np.uint8) for s in (a, b))
+        assert len(one) * 8 == jaccard_join.SIGNATURE_BITS
+        assert np.unpackbits(one ^ two).sum() <= len(np.setxor1d(a, b))
+        assert (one == np.array(jaccard_join.signature(a[::-1].copy()), np.int64).view(np.uint8)).all()

@@ -3,6 +3,8 @@
 1. A text's set holds 64-bit hashes of its distinct shingles. Equal sets form a class.
 2. Similar classes become groups: classes that share a min-hash are compared with one pivot of that
    min-hash, exactly, and the links found are closed to components. A group's members are connected.
+   Before any sets are moved, pairs that differ too much in their signatures are dropped: a signature holds the
+   parity of the tokens of each of its places, so two differ in no more places than their sets in tokens.
 3. The matrix: tokens against groups. Tokens are taken in one global order, frequent ones last, and of a set of n
    only the first n - ceil(t n) + 1 are laid out: two sets that link share one of those. A token that stands
    in one group only is left out; the others give candidates, a class (query) and another group. A candidate
@@ -36,9 +38,11 @@ from textquarry.llm.token_counts import runs
 
 WORDS = 5
 PERCENT = 75
-#: Min-hashes of a set, and the pivots (those it agrees with most) that a class is compared with in step 2.
+#: Min-hashes of a set, and the pivots (those of the closest signatures) that a class is compared with in step 2.
 MIN_HASHES = 8
 PIVOTS = 1
+#: Bits of a signature, a power of two. Larger sets than about as many tokens are told apart by their tokens only.
+SIGNATURE_BITS = 1024
 #: Groups of one token that are candidates of each other; larger lists are compared in blocks.
 MAX_GROUPS = 256
 BLOCK = 256
@@ -99,6 +103,12 @@ def class_of(s: np.ndarray) -> int:
     return int(_mix(np.array([both], _U)).astype(np.int64)[0])
 
 
+def signature(s: np.ndarray) -> list[int]:
+    """The parity of the tokens at each of SIGNATURE_BITS places, as 64-bit integers."""
+    places = (s & _U(SIGNATURE_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=SIGNATURE_BITS) & 1).view(np.int64).tolist()
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column(column)
     for k in range(batch.num_rows):
@@ -111,22 +121,26 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cls, and min-hashes of every row."""
+    """doc_id, n (size of the set), cls, min-hashes and signature of every row."""
     seeds = _mix(np.arange(1, MIN_HASHES + 1).astype(_U) * _BASE) | _U(1)  # odd: each gives another order
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             n, cls, low = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+            signatures = []
             for k, s in _sets(batch, 1):
                 n[k] = len(s)
                 if len(s):
                     cls[k] = class_of(s)
                     low.append([int((s * x).min().astype(np.int64)) for x in seeds])
+                    signatures.append(signature(s))
                 else:
                     low.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "low"])
+                    signatures.append([])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (low, signatures)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), *lists], ["doc_id", "n", "cls", "low", "sig"])
 
-    return _plain(docs).mapInArrow(task, "doc_id long, n long, cls long, low array<long>")
+    return _plain(docs).mapInArrow(task, "doc_id long, n long, cls long, low array<long>, sig array<long>")
 
 
 def token_levels(docs: DataFrame) -> np.ndarray:
@@ -244,19 +258,30 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs a, b (a written table) whose signatures allow a link, with the number of places they differ in."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    right = side("b").join(_bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    joined = side("a").join(_bounded(pairs), "a").join(right, "b").withColumn("differ", differ)
+    # A link has at most so large a part of both sets' tokens in one of them only.
+    return joined.where((100 + PERCENT) * F.col("differ") <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b", "differ")
+
+
 def _fits(n: str, m: str):
     """Sizes between which a link is possible."""
     return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
 
 
 def _pivot_pairs(classes: DataFrame) -> DataFrame:
-    """a (class), b (pivot): the pivots that share most min-hashes with it."""
+    """a (class), b (pivot): of the pivots that share a min-hash with it, those of the closest signatures."""
     laid = classes.select("cls", "n", F.posexplode("low").alias("k", "v"))
     heads = laid.groupBy("k", "v").agg(F.min(F.struct("cls", "n")).alias("p"), F.max("cls").alias("top")).where(F.col("p.cls") != F.col("top"))
     heads = heads.select("k", "v", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"))
-    met = laid.join(heads, ["k", "v"]).where((F.col("cls") != F.col("pivot")) & _fits("n", "pn")).groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("m"))
-    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("m"), "pivot"))  # MIN_HASHES rows each at most
-    return met.withColumn("r", best).where(F.col("r") <= PIVOTS).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    met = laid.join(heads, ["k", "v"]).where((F.col("cls") != F.col("pivot")) & _fits("n", "pn"))
+    met = written(met.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
+    best = F.row_number().over(Window.partitionBy("a").orderBy("differ", "b"))  # MIN_HASHES rows each at most
+    return _possible(met, classes).withColumn("r", best).where(F.col("r") <= PIVOTS).select("a", "b")
 
 
 def _grouped(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -313,7 +338,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, names: DataFrame) -> DataFrame
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: links between classes that connect all that are connected. classes: cls, n, low, any_id."""
+    """a, b: links between classes that connect all that are connected. classes: cls, n, low, sig, any_id."""
     names = classes.select("cls", "any_id")
     pairs = written(_pivot_pairs(classes), "pivot-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -322,10 +347,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     rows = shared_tokens(prefixes(docs, token_levels(docs)))
     matrix = written(rows.join(grouped, "cls").select("token", "cls", "n", "grp"), "matrix")
-    cells = matrix.select("token", "grp").distinct()
+    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
     widths = written(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1), "widths")
     usual = widths.where(F.col("groups") <= MAX_GROUPS).select("token")
     met = matrix.join(cells.join(usual, "token").withColumnRenamed("grp", "other"), "token").where(F.col("grp") != F.col("other"))
+    # Members with the token whose sizes allow no link need not be counted.
+    met = met.where((100 * F.col("to_n") >= PERCENT * F.col("n")) & (PERCENT * F.col("from_n") <= 100 * F.col("n")))
     shared = met.groupBy("cls", "n", "other").agg(F.count(F.lit(1)).alias("shared"))
     sizes = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # Sizes of members that can link; the need is least at one of the two ends.
@@ -343,13 +370,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     inside = lambda some: some.join(grouped.select("grp", F.col("cls").alias("b"), F.col("n").alias("m")), "grp").where(_fits("n", "m")).select(F.col("cls").alias("a"), "b")
     small = inside(candidates.join(many, "other", "left_anti").withColumnRenamed("other", "grp"))
     small = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-pairs")
+    small = written(_possible(small, classes).select("a", "b"), "small-possible")
     wanted = large.select("cls").unionByName(members.select("cls")).unionByName(small.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
     sets = _sets_of(docs, wanted, names)
     union = sets.join(_bounded(members), "cls").select("grp", F.explode("tokens").alias("token")).distinct()
     asked = sets.join(_bounded(large), "cls").select("cls", "n", F.col("other").alias("grp"), F.explode("tokens").alias("token"))
     bound = asked.join(union, ["grp", "token"]).groupBy("cls", "n", "grp").agg(F.count(F.lit(1)).alias("most"))
     opened = bound.where(100 * F.col("most") >= PERCENT * F.col("n")).select("cls", "n", "grp")
-    pairs_far = written(inside(opened).distinct().unionByName(small), "far-pairs")
+    inner = written(inside(opened).distinct(), "opened-pairs")
+    pairs_far = written(_possible(inner, classes).select("a", "b").unionByName(small), "far-pairs")
     far = _linked(pairs_far, sets)
 
     hot = matrix.join(widths.where(F.col("groups") > MAX_GROUPS), "token").select("cls", "n")
@@ -360,7 +389,7 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = written(profiles(docs), "profiles")
     named = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(named.groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min("doc_id").alias("any_id")), "classes")
+    classes = written(named.groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("sig").alias("sig"), F.min("doc_id").alias("any_id")), "classes")
     grouped = written(_grouped(classes, components(links(docs, classes))), "components")
     least = classes.select("cls", "any_id").join(grouped, "cls").groupBy("grp").agg(F.min("any_id").alias("component"))
     of = grouped.join(least, "grp").select(F.col("cls").alias("c__"), "component")
