@@ -30,6 +30,29 @@ def test_cuts_survive_insertions():
     assert 1 <= len(s.cut(flat)) <= 10_000 / s.RADIUS
 
 
+def removed(passage, a, b):
+    """Bytes removed of the second of two texts, each a passage between its own surroundings."""
+    first, second = (f"{x[0]} {passage} {x[1]}".encode() for x in (a, b))
+    owned = set(s.digests(first, s.cut(np.frombuffer(first, np.uint8))))
+    ends = s.cut(np.frombuffer(second, np.uint8))
+    starts = [0, *ends[:-1].tolist()]
+    marked = {(at, d): 1 for at, d in zip(starts, s.digests(second, ends), strict=True) if d in owned}
+    return sum(y - x for x, y, _ in s.removable(second, marked))
+
+
+def test_little_of_short_passages_is_left():
+    rng = random.Random(0)
+    size = left = 0
+    for _ in range(200):
+        passage = prose(rng, 51)
+        gone = removed(passage, (prose(rng, 30), prose(rng, 30)), (prose(rng, 30), prose(rng, 30)))
+        assert gone
+        size, left = size + len(passage.encode()), left + len(passage.encode()) - gone
+    assert left < 0.185 * size
+    passage = prose(rng, 200).encode()
+    assert 20 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 50
+
+
 def brute(texts):
     """Repeats by plain dictionaries, in order of (doc_id, start)."""
     seen, marked = {}, {}

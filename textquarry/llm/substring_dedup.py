@@ -30,7 +30,7 @@ from textquarry.llm.token_counts import runs
 
 #: Bytes that a hash value depends on: the gear hash is shifted by two bits a byte.
 WINDOW = 16
-RADIUS = 20
+RADIUS = 16
 #: Bytes of a run of repeats from which it is removed.
 MIN_RUN = 128
 BATCH_BYTES = 4_000_000
