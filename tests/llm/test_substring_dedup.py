@@ -53,6 +53,17 @@ def test_little_of_short_passages_is_left():
     assert 20 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 50
 
 
+def test_periodic_passages_are_found():
+    rng = random.Random(7)
+    for unit in ("thanin ", "and ", "onnd, ", "buy now ", "=", "ab cd ef gh ij kl "):
+        for times in (500, 5_000):
+            passage = (unit * times).strip()
+            gone = removed(passage, (prose(rng, 30), prose(rng, 30)), (prose(rng, 33), prose(rng, 30)))
+            assert len(passage) - 6 * s.RADIUS - 2 * s.WINDOW < gone
+    for data in (b"and " * 5_000, b"x" * 5_000):
+        assert np.diff(s.cut(np.frombuffer(data, np.uint8))).max() <= 2 * s.RADIUS + s.WINDOW
+
+
 def brute(texts):
     """Repeats by plain dictionaries, in order of (doc_id, start)."""
     seen, marked = {}, {}

@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are hashed by a 32-bit gear hash, whose value depends on the last ``WINDOW`` bytes only. A
 chunk ends where the hash is the least within ``RADIUS`` bytes on either side, so cuts depend on the bytes
 around them alone: an insertion moves only the cuts next to it, and the same passage is cut alike in
-any document. Chunks are told apart by a 64-bit digest. The owner of a digest is its least (doc_id, start);
+any document. Text with a period of ``RADIUS`` or less ties at every period; it is cut every so many whole periods,
+so a long stretch of it repeats itself and all but its first chunk goes. Chunks are told apart by a 64-bit digest. The owner of a digest is its least (doc_id, start);
 every other chunk with it is a repeat. Repeats side by side form a run, and runs of ``MIN_RUN`` bytes or more
 are removed; shorter ones, such as a shared short line, stay. A false match of digests would need a run of
 several such chunks to have an effect.
@@ -61,16 +62,32 @@ def _least_around(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _apart(least: np.ndarray) -> np.ndarray:
+    """Places of which each is more than RADIUS behind the one kept before it.
+
+    Places nearer than that are ties, so the text between them has a period. Counted from the last one kept, whole
+    periods are chunks, alike wherever the stretch stands; counted from the last tie, the stretch would be one chunk.
+    """
+    near = np.flatnonzero(np.diff(least) <= RADIUS) + 1
+    if not len(near):
+        return least
+    keep = np.ones(len(least), bool)
+    places, last, before = least[near].tolist(), 0, -1
+    for k, place in zip(near.tolist(), places, strict=True):
+        if k - 1 != before:  # a new chain: the place before it is kept
+            last = int(least[k - 1])
+        keep[k] = place - last > RADIUS
+        last, before = place if keep[k] else last, k
+    return least[keep]
+
+
 def cut(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of one text."""
     if not len(data):
         return np.empty(0, np.int64)
     h = rolling(data)
-    # Values of the same size are told apart by place, so a run of one byte isn't cut everywhere.
     least = np.flatnonzero(h == _least_around(h))
-    if len(least) > 1:
-        least = least[np.append(True, np.diff(least) > RADIUS)]
-    ends = least + 1
+    ends = _apart(least) + 1
     return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
 
 
