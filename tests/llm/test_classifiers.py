@@ -97,6 +97,12 @@ def test_quality(spark, tables):
     assert quality_classifier.report(docs.limit(0), labels).count() == 0
 
 
+def test_top_word_is_of_the_whole_text():
+    top = lambda text: quality_classifier.content(text)[quality_classifier.CONTENT.index("top_word")]
+    assert top("one two three four four") == 2 / 5 and top("") == 0
+    assert top("first " + "word other " * 3_000) == 3_000 / 6_001
+
+
 def test_queries_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     toxic = queries()["op1_toxicity"](spark, SF).join(labels, "doc_id").where("held_out").collect()

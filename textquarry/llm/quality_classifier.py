@@ -17,6 +17,7 @@ import json
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,8 @@ def content(text: str) -> list[float]:
     words = text.split()
     n, chars = max(len(words), 1), max(len(text), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    distinct = set(words)
-    top = max((words.count(w) for w in words[:3]), default=0) if len(words) < 2000 else 0
+    distinct = Counter(words)
+    top = max(distinct.values(), default=0)
     pairs = set(zip(words, words[1:], strict=False))
     upper = sum(map(str.isupper, words))
     return [
