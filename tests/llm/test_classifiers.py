@@ -103,6 +103,21 @@ def test_top_word_is_of_the_whole_text():
     assert top("first " + "word other " * 3_000) == 3_000 / 6_001
 
 
+def test_co_training_draws_new_rows_from_all_unlabelled(spark):
+    docs, labels = corpus(random.Random(8), 6000)
+    labels = labels[:400]
+    docs = spark.createDataFrame([*docs, docs[5000], (None, "x", "en", "s", 1, 0.0, 0, "")], SCHEMA)
+    rows = quality_classifier.table(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    pool = sorted((r.doc_id, r.x) for r in rows.where("y is null").collect())
+    assert [p[0] for p in pool] == [i for i in range(400, 6000) if not held(i)]
+    ids, x = np.array([p[0] for p in pool]), quality_classifier._split(np.array([p[1] for p in pool]))
+    most, (_, past, _, _) = int(quality_classifier.GIVEN * len(pool)), quality_classifier.co_train(rows)
+    assert len(past) == quality_classifier.ROUNDS
+    for n in range(1, len(past) + 1):
+        for labels in quality_classifier.given(ids, x, past[:n]):
+            assert [int((labels == y).sum()) for y in (0, 1)] == [n * most] * 2
+
+
 def test_queries_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     toxic = queries()["op1_toxicity"](spark, SF).join(labels, "doc_id").where("held_out").collect()

@@ -40,11 +40,7 @@ def _columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def unlabelled_rows(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """The same columns (y null) of at most ``n`` rows that no label names, those of least hash."""
-    named = labels.select(F.col("doc_id").cast("long").alias("id_")).where(F.col("id_").isNotNull()).distinct()
-    plain = _columns(docs).where((F.length("text") <= MAX_TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = plain.select(F.col("doc_id").alias("id_"))
-    picks = ids.join(named, "id_", "left_anti").orderBy(F.xxhash64("id_"), "id_").limit(n).distinct()
-    rows = plain.join(F.broadcast(picks), F.col("doc_id") == F.col("id_")).drop("id_")  # n rows at most
-    return rows.withColumn("y", F.lit(None).cast("int")).dropDuplicates(["doc_id"])
+def learnable(docs: DataFrame) -> DataFrame:
+    """The same columns (y null) of all rows with a doc_id that isn't held out, labelled or not, of any length."""
+    rows = _columns(docs).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.withColumn("y", F.lit(None).cast("int"))

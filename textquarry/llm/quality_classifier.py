@@ -2,41 +2,44 @@
 
 Two views of a document: its content (rates of characters and words) and its page metadata (language,
 source, length and layout). Each view has a logistic classifier over binned features. In every round each
-classifier labels the unlabelled documents it is surest of, and those labels go to the other one. After
+classifier labels the unlabelled documents it is surest of among those that the other one has no label of yet, and
+those labels go to the other one. After
 the last round each view's logit is calibrated (Platt) on labelled rows that took no part in the fits, and
 a joint logistic on both calibrated logits scores every document.
 
-The fit sees at most ``PER_CLASS`` labelled rows of each class and ``UNLABELLED`` others, in one task. Null and empty texts are
-documents without words. Null languages and sources are values of their own. Repeated rows score alike.
+The fit sees at most ``PER_CLASS`` labelled rows of each class and all unlabelled ones: their features are written once,
+and every Newton step and every choice of rows is a pass over them whose sums alone come to the driver. Null and empty
+texts are documents without words. Null languages and sources are values of their own. Repeated rows score alike.
 If the labels have one class or none, every document scores 1. Further columns pass through ``keep_good``.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.labelled import held_out, training_rows, unlabelled_rows
+from textquarry.llm.labelled import held_out, learnable, training_rows
+from textquarry.llm.storage import written
 from textquarry.llm.token_counts import runs
 
-#: The documented bounds of the sample that the models are fitted on.
+#: The documented bound of the labelled sample that the models are fitted on.
 PER_CLASS = 2000
-UNLABELLED = 4000
 ROUNDS = 3
 #: Pseudo-labels a view gives away in a round: of each class this part of the unlabelled rows at most.
 GIVEN = 0.05
 SURE = 0.9
+_SURE_LOGIT = math.log(SURE / (1 - SURE))
 BINS = 12
+STEPS = 12
 BATCH_CHARS = 4_000_000
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@+]")
 
@@ -89,37 +92,36 @@ class View:
         self.first = np.cumsum([0, *self.sizes[:-1]])
         self.w, self.b, self.slope, self.shift = np.zeros(sum(self.sizes)), 0.0, 1.0, 0.0
 
-    @staticmethod
-    def over(x: np.ndarray, names: set[int]) -> View:
-        quantiles = np.linspace(0, 1, BINS + 1)[1:-1]
-        return View([[] if k in names else sorted(set(np.quantile(x[:, k], quantiles).tolist())) for k in range(x.shape[1])], names)
-
     def cells(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.int64)
         for k, edges in enumerate(self.edges):
             out[:, k] = self.first[k] + (x[:, k].astype(np.int64) if k in self.names else np.searchsorted(edges, x[:, k], "right"))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        cells, n = self.cells(x), len(y)
-        flat, w, b = cells.ravel(), np.zeros(len(self.w)), 0.0
-        gw, gb = np.full(len(w), 1e-8), 1e-8
-        for _ in range(200):
-            miss = weight * (y - 1 / (1 + np.exp(-np.clip(b + w[cells].sum(1), -30, 30))))
-            dw = np.bincount(flat, np.repeat(miss, cells.shape[1]), len(w)) / n - 1e-3 * w
-            db = miss.sum() / n
-            gw, gb = gw + dw * dw, gb + db * db
-            w, b = w + 0.3 * dw / np.sqrt(gw), b + 0.3 * db / math.sqrt(gb)
-        self.w, self.b = w, b
+    def sums(self, x: np.ndarray, y: np.ndarray) -> list[list]:
+        """Of each class: rows, loss, gradient and Hessian by weights and, last, the intercept."""
+        out = []
+        for label in (0.0, 1.0):
+            cells = self.cells(x[y == label])
+            size = len(self.w) + 1
+            grad, bend = np.zeros(size), np.zeros((size, size))
+            z = np.clip(self.b + self.w[cells].sum(1), -30, 30)
+            p = 1 / (1 + np.exp(-z))
+            if len(cells):
+                used, place = np.unique(cells, return_inverse=True)
+                hot = np.zeros((len(cells), len(used) + 1))
+                hot[np.arange(len(cells))[:, None], place.reshape(cells.shape)] = 1
+                hot[:, -1] = 1
+                at = np.append(used, size - 1)
+                grad[at] = hot.T @ (p - label)
+                bend[np.ix_(at, at)] = hot.T @ (hot * (p * (1 - p))[:, None])
+            out.append([len(cells), float(np.logaddexp(0, -z if label else z).sum()), grad, bend])
+        return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.b + self.w[self.cells(x)].sum(1)
 
 
-def _balanced(y: np.ndarray) -> np.ndarray:
-    return np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Coefficients and, last, the intercept, by damped Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -131,55 +133,165 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return c
 
 
-def fit(rows: pd.DataFrame) -> dict:
-    """The model as plain values, from rows with text, lang, source and y (NaN where unlabelled)."""
-    rows = rows.sort_values("doc_id")
-    texts = [t or "" for t in rows["text"]]
-    y = rows["y"].to_numpy(float)
+def features(rows: DataFrame) -> DataFrame:
+    """doc_id, y and x, the content and then the metadata features, of rows with text, lang and source."""
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(4)], np.int64)
+            for a, b in runs(sizes, BATCH_CHARS):
+                part = batch.slice(a, b - a)
+                lang, source, texts = (part.column(k).to_pylist() for k in (2, 3, 4))
+                x = [content(t or "") + metadata(m, n, t or "") for m, n, t in zip(lang, source, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    return rows.select("doc_id", "y", "lang", "source", "text").mapInArrow(task, "doc_id long, y int, x array<double>")
+
+
+def table(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """Features of the labelled sample and (y null) of all documents that no label names, one row each."""
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    pool = features(learnable(docs)).groupBy("doc_id").agg(F.min("x").alias("x")).join(named, "doc_id", "left_anti")
+    known = features(training_rows(docs, labels, "quality", per_class))
+    return written(known.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("y"), "x")), "quality-features")
+
+
+def _split(x: np.ndarray) -> list[np.ndarray]:
+    return [x[:, : len(CONTENT)], x[:, len(CONTENT) :]]
+
+
+def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    for batch in stream:
+        if batch.num_rows:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield batch.column(0).to_numpy(), _split(x)
+
+
+def _keys(ids: np.ndarray, z: np.ndarray, label: float) -> np.ndarray:
+    """How sure a view is of a label; equal logits are put in an order by a hash of the doc_id."""
+    turn = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+    return (z if label else -z) + turn.astype(float) / 2.0**53 * 1e-6
+
+
+def given(ids: np.ndarray, x: list[np.ndarray], past: list) -> list[np.ndarray]:
+    """The labels that each view has been given, NaN where none, by the rounds so far: both views, and their least keys."""
+    out = [np.full(len(ids), np.nan) for _ in x]
+    for views, least in past:
+        for v, view in enumerate(views):
+            z = view.logit(x[v])
+            for label in (1.0, 0.0):
+                key = _keys(ids, z, label)
+                out[1 - v][np.isnan(out[1 - v]) & (key >= _SURE_LOGIT) & (key > least[v, label])] = label
+    return out
+
+
+def _fit(pool: DataFrame, views: list[View], past: list, x: list[np.ndarray], y: np.ndarray) -> None:
+    """Newton steps on the labelled rows and what the views have been given, classes at equal parts; halved where they overshoot."""
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for ids, part in _batches(stream):
+            labels = given(ids, part, past)
+            total = _plus(total, [view.sums(part[v], labels[v]) for v, view in enumerate(views)])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(total), 1)], pa.binary())], ["sums"])
+
+    best: list = [(math.inf, None, None)] * len(views)
+    for _ in range(STEPS):
+        total = [view.sums(x[v], y) for v, view in enumerate(views)]
+        if past:
+            for row in pool.mapInArrow(task, "sums binary").toLocalIterator():
+                total = _plus(total, pickle.loads(zlib.decompress(bytes(row.sums))))
+        moved = 0.0
+        for v, view in enumerate(views):
+            c = np.append(view.w, view.b)
+            ridge = np.append(np.full(len(view.w), 1e-3), 1e-9)
+            loss, grad, bend = (sum(s[k] * (0.5 / max(s[0], 1)) for s in total[v]) for k in (1, 2, 3))
+            loss += 0.5 * float(ridge @ (c * c))
+            if loss <= best[v][0] + 1e-12:
+                step = -np.linalg.solve(bend + np.diag(ridge), grad + ridge * c)
+                best[v] = (loss, c, step)
+            else:
+                step = best[v][2] / 2
+                best[v] = (best[v][0], best[v][1], step)
+            c = best[v][1] + step
+            view.w, view.b = c[:-1], float(c[-1])
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-2:
+            break
+
+
+def _plus(a: list | None, b: list) -> list:
+    return b if a is None else [[[p + q for p, q in zip(m, n, strict=True)] for m, n in zip(v, w, strict=True)] for v, w in zip(a, b, strict=True)]
+
+
+def _least(pool: DataFrame, views: list[View], past: list, most: int) -> dict:
+    """By view and label, the key above which stand the ``most`` surest rows that the other view has no label of."""
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, part in _batches(stream):
+            labels = given(ids, part, past)
+            for v, view in enumerate(views):
+                z = view.logit(part[v])
+                for label in (1.0, 0.0):
+                    key = _keys(ids, z, label)
+                    key = key[np.isnan(labels[1 - v]) & (key >= _SURE_LOGIT)]
+                    slots = pa.array(np.full(len(key), 2 * v + int(label), np.int32))
+                    yield pa.RecordBatch.from_arrays([slots, pa.array(key)], ["slot", "key"])
+
+    keys = pool.mapInArrow(task, "slot int, key double")
+    counts = {r.slot: r.n for r in keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    over = {slot: 1 - (most + 0.5) / n for slot, n in counts.items() if n > most}
+    found = {}
+    if over:
+        wanted = [F.percentile_approx(F.when(F.col("slot") == slot, F.col("key")), part, 100_000).alias(str(slot)) for slot, part in over.items()]
+        found = keys.agg(*wanted).first().asDict()
+    return {(v, label): found.get(str(2 * v + int(label)), -math.inf) for v in range(len(views)) for label in (1.0, 0.0)}
+
+
+def co_train(rows: DataFrame) -> tuple[list[View], list, list[np.ndarray], np.ndarray] | None:
+    """Both views, the rounds, and features and labels of the rows that calibrate; None without labels of both classes."""
+    columns = ["doc_id", "x"]
+    known = sorted((r.doc_id, float(r.y), r.x) for r in rows.where("y is not null").collect())  # 2 * per_class rows at most
+    y = np.array([k[1] for k in known])
     if {0.0, 1.0} - set(y.tolist()):
-        return {}
-    x = [np.array([content(t) for t in texts]), np.array([metadata(a, b, t) for a, b, t in zip(rows["lang"], rows["source"], texts, strict=True)])]
-    views = [View.over(x[0], set()), View.over(x[1], {0, 1})]
-    labelled = np.flatnonzero(~np.isnan(y))
-    spare, known = labelled[::4], np.setdiff1d(labelled, labelled[::4])  # every fourth calibrates
-    pool = np.flatnonzero(np.isnan(y))
-    given = [dict(zip(known.tolist(), y[known].tolist(), strict=True)) for _ in views]
+        return None
+    x = _split(np.array([k[2] for k in known]))
+    names, width = {len(CONTENT), len(CONTENT) + 1}, len(CONTENT) + len(METADATA)
+    quantiles = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    cuts = rows.agg(*[F.percentile_approx(F.col("x")[k], quantiles, 10_000).alias(str(k)) for k in range(width) if k not in names]).first().asDict()
+    edges = [sorted(set(cuts.get(str(k), []))) for k in range(width)]
+    views = [View(edges[: len(CONTENT)], set()), View(edges[len(CONTENT) :], {0, 1})]
+    fits = np.arange(len(y)) % 4 > 0  # every fourth calibrates
+    pool = rows.where("y is null").select(*columns)
+    most, past = int(GIVEN * pool.count()), []
     for turn in range(ROUNDS + 1):
-        for v, view in enumerate(views):
-            at = np.array(list(given[v]))
-            target = np.array(list(given[v].values()))
-            view.fit(x[v][at], target, _balanced(target))
-        if turn == ROUNDS or not len(pool):
+        _fit(pool, views, past, [part[fits] for part in x], y[fits])
+        if turn == ROUNDS or not most:
             break
-        for v, view in enumerate(views):
-            p = 1 / (1 + np.exp(-np.clip(view.logit(x[v][pool]), -30, 30)))
-            most = int(GIVEN * len(pool))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:most]
-                for k in best[sure[best] >= SURE]:
-                    given[1 - v].setdefault(int(pool[k]), label)
+        held = [View(view.edges, view.names) for view in views]
+        for old, view in zip(held, views, strict=True):
+            old.w, old.b = view.w, view.b
+        past.append((held, _least(pool, held, past, most)))
+    return views, past, [part[~fits] for part in x], y[~fits]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
+    """The model as plain values."""
+    found = co_train(table(docs, labels, per_class))
+    if found is None:
+        return {}
+    views, _, x, target = found
     # Classes at their own parts here, so that scores are probabilities.
-    target, weight = y[spare], np.ones(len(spare))
-    calibrated = []
+    weight, calibrated = np.ones(len(target)), []
     for v, view in enumerate(views):
-        z = view.logit(x[v][spare])
+        z = view.logit(x[v])
         view.slope, view.shift = _logistic(z[:, None], target, weight).tolist()
         calibrated.append(view.slope * z + view.shift)
     joint = _logistic(np.column_stack(calibrated), target, weight)
     return {"views": [{"edges": v.edges, "names": sorted(v.names), "w": v.w.tolist(), "b": v.b, "slope": v.slope, "shift": v.shift} for v in views], "joint": joint.tolist()}
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> dict:
-    rows = training_rows(docs, labels, "quality", per_class).unionByName(unlabelled_rows(docs, labels, unlabelled))
-
-    def task(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = pd.DataFrame({"doc_id": [], "text": [], "lang": [], "source": [], "y": []})
-        yield pd.DataFrame({"model": [json.dumps(fit(pd.concat([*stream, none])))]})
-
-    found = rows.coalesce(1).mapInPandas(task, "model string").first()
-    return json.loads(found.model) if found else {}  # a table known to be empty has no task
-
-
 def _load(model: dict) -> list[View]:
     out = []
     for v in model["views"]:
