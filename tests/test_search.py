@@ -6,7 +6,8 @@ from textquarry import Mode, Scope, SearchType, append_index, build_all, load_in
 from textquarry.functions.uax29 import segment
 from textquarry.operators.search import count_matches
 from textquarry.operators.tokens import tokens
-from textquarry.plans.index import build_postings, compact, lookup_postings
+from textquarry.plans.index import build_postings, compact, lookup_postings, search_postings
+from textquarry.plans.queries import queries
 from textquarry.sources.corpus import from_column, read_text
 from textquarry.streaming.append import load_stream_index, start_indexing, stream_texts
 
@@ -197,3 +198,62 @@ def test_postings(spark, tmp_path):
 def test_pushdown(spark, indexes):
     plan = search(indexes, Scope.WORD, S, "re")._jdf.queryExecution().toString()
     assert "StringStartsWith(token_rev,er)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_marks_against_a_model(spark):
+    """Graphemes, not characters: a term that ends inside one is not found."""
+    import regex
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["a", "m", "e", "e\u0301", "m\u0302", "\u0303", "x"]) for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    words = [w for w in words if regex.match(r"\p{L}", w)]
+    for term in ("e", "me", "m", "ae"):
+        want = set()
+        for w in words:
+            g = regex.findall(r"\X", w)
+            grams = [g[i] + g[i + 1] for i in range(1, len(g) - 1)]
+            hit = term in grams if len(term) == 2 else any(term in x for x in grams)
+            if term in w and not w.startswith(term) and not w.endswith(term) and hit:
+                want.add(w)
+        got = search(corpus(spark, " ".join(words)), Scope.WORD, C, term, k=1000)
+        assert {r.token for r in got.collect()} == want, term
+
+
+def test_missing_index_has_no_match(spark):
+    assert found({}, "word", P, "me") == [] and count_matches({}, Scope.LINE, C, "me").first()[0] == 0
+
+
+def test_no_split_inside_a_lambda(spark):
+    """Words of a line are cut once, not for each position."""
+    for name in ("line_contains_phrase", "line_bigrams", "word_bigrams"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        for inner in plan.split("lambdafunction(")[1:]:
+            depth, at = 1, 0
+            while depth and at < len(inner):
+                depth += (inner[at] == "(") - (inner[at] == ")")
+                at += 1
+            assert "split(token" not in inner[:at] and "regexp_extract_all(token" not in inner[:at], name
+
+
+def test_other_scripts_through_search_and_index(spark, tmp_path):
+    texts = corpus(spark, "日本語 me", "カタ日me")
+    assert found(texts, "word", P, "m", any_script=True) == [(1, "me"), (1, "me")]
+    build_all(texts, str(tmp_path), any_script=True)
+    assert found(load_index(spark, str(tmp_path)), "word", P, "m") == [(1, "me"), (1, "me")]
+    assert found(corpus(spark, "a 日本 b"), "line", C, "日", any_script=True) == [(5, "a 日本 b")]
+
+
+def test_search_by_postings(spark, tmp_path):
+    texts = corpus(spark, "some home time mean\nis it of the one\nof the x")
+    for scope, term in ((Scope.WORD, "me"), (Scope.LINE, "of the")):
+        build_postings(texts, scope, str(tmp_path))
+        assert [tuple(r) for r in search_postings(spark, str(tmp_path), scope, term).collect()] == found(texts, scope, C, term)
+    with pytest.raises(ValueError):
+        search_postings(spark, str(tmp_path), Scope.WORD, "m")
+
+
+def test_strict_text(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"ok \xff line")
+    with pytest.raises(Exception, match="UTF-8"):
+        read_text(spark, str(tmp_path)).collect()
+    assert read_text(spark, str(tmp_path), strict=False).count() == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("build")
     b.add_argument("corpus")
     b.add_argument("root")
+    b.add_argument("--any-script", action="store_true", help="full word boundaries for Han, kana, Thai and the like")
     s = sub.add_parser("search")
     s.add_argument("root")
     s.add_argument("scope", choices=[x.value for x in Scope])
@@ -28,10 +30,11 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("term")
     s.add_argument("--mode", choices=[x.value for x in Mode], default="compat")
     s.add_argument("-k", type=int, default=100)
+    s.add_argument("--tokens-only", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "build":
-        print(f"built in {build_all(read_text(spark, args.corpus), args.root):.3f} s")
+        print(f"{datetime.now():%H:%M:%S.%f}"[:-3], f"built in {build_all(read_text(spark, args.corpus), args.root, args.any_script):.3f} s")
         return 0
     if not args.term.strip():
         parser.error("the term is blank")
@@ -39,6 +42,10 @@ def main(argv: list[str] | None = None) -> int:
     began = time.monotonic()
     found = search(load_index(spark, args.root), Scope(args.scope), SearchType(args.type), term, Mode(args.mode), args.k)
     cut = highlight(F.col("token"), term)
+    if args.tokens_only:
+        for row in found.select("token").collect():  # k rows at most
+            print(row.token)
+        return 0
     for row in found.select(rank_label().alias("label"), cut.alias("h")).collect():  # k rows at most
         print(f"{row.label}{row.h.pre}[{row.h.hit}]{row.h.post}")
     print(f"{time.monotonic() - began:.3f} s")

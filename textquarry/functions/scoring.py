@@ -23,11 +23,6 @@ def priority(token: Column, term: str) -> Column:
     return (edit_distance(token, term) % SCORE_MODULUS).cast("int")
 
 
-def general_priority(token: Column, term: str) -> Column:
-    """The score for tokens that need not contain the term."""
-    return (F.levenshtein(token, F.lit(term)) % SCORE_MODULUS).cast("int")
-
-
 def highlight(token: Column, term: str) -> Column:
     """The token cut around the first case-insensitive hit: STRUCT<pre, hit, post>."""
     at = F.locate(term.lower(), F.lower(token))

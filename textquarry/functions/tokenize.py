@@ -8,6 +8,8 @@ rules (Han, kana, Thai, Hebrew quotes, flags) are served by ``textquarry.functio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +44,22 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), 1)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, even where ``use`` reads it inside a lambda.
+
+    The optimizer would otherwise spell the value out at every place, and compute it for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def interior_bigrams(units: Column) -> Column:
     """Pairs of neighbours from the second unit on. Items of fewer than three units have none."""
-    return F.when(
-        F.size(units) >= 3, F.transform(F.sequence(F.lit(2), F.size(units) - 1), lambda i: F.slice(units, i, 2))
-    ).otherwise(F.array().cast("array<array<string>>"))
+
+    def pairs(u: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(2), F.size(u) - 1), lambda i: F.array(F.get(u, i - 1), F.get(u, i)))
+        return F.when(F.size(u) >= 3, some).otherwise(F.array().cast("array<array<string>>"))
+
+    return bind(units, pairs)
 
 
 def items(text: Column, scope: Scope) -> Column:

@@ -6,17 +6,19 @@ A query is one DataFrame: predicate, score, order, limit. Catalyst turns the las
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.enums import Mode, Scope, SearchType
 from textquarry.functions import tokenize
 from textquarry.functions.scoring import priority
-from textquarry.operators.tokens import counted, tokens, with_line_words
+from textquarry.operators.tokens import counted, tokens, with_line_words, words_of
 
+log = logging.getLogger(__name__)
 TOP_K = 100
 _COMPAT_TERM = re.compile(r"[a-z ]*\Z")
 
@@ -42,78 +44,97 @@ def _grapheme_hit(term: str) -> Column:
     return ~token.rlike(r"[\p{M}\p{Cf}\p{So}\p{Sk}\p{IsHangul}]") | hit
 
 
-def _line_gram_hit(term: str, extended: bool) -> Column:
+def _line_gram_hit(w: Column, term: str, extended: bool) -> Column:
     """A word, or a pair of neighbouring words, past the first word equals the term."""
     parts = term.split()
-    w = F.col("words")
     n = F.size(w)
     if len(parts) < 2:
         return (n >= 3) & F.array_contains(F.slice(w, 2, F.greatest(n - 1, F.lit(0))), term)
     if len(parts) == 2 or extended:
         k = len(parts)
-        starts = F.when(n >= k + 1, F.sequence(F.lit(2), n - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: F.array_join(F.slice(w, i, k), " ") == term)
+        starts = F.when(n >= k + 1, F.sequence(F.lit(1), n - k)).otherwise(F.array().cast("array<int>"))
+        return F.exists(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]) == term)
     return F.lit(False)
 
 
-def predicate(scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT) -> Column:
-    """The test of an item in columns ``token`` (and ``words, first_lc, last_lc`` for lines)."""
-    validate(scope, kind, term, mode)
-    token, extended, lc = F.col("token"), mode is Mode.EXTENDED, term.lower()
+def _plain_test(kind: SearchType, term: str) -> Column:
+    """The part of a test that reads the token alone."""
+    token = F.col("token")
     if kind is SearchType.PREFIX:
-        test = token.startswith(term) & (token != term)
-        return test & (F.col("first_lc") == lc) if scope is Scope.LINE else test
+        return token.startswith(term) & (token != term)
     if kind is SearchType.SUFFIX:
-        test = token.endswith(term) & (token != term)
-        return test & (F.col("last_lc") == lc) if scope is Scope.LINE else test
-    if term == "":
-        return F.lit(False)
-    if scope is Scope.LINE:
-        edges = (F.col("first_lc") != lc) & (F.col("last_lc") != lc)
-        return _interior(term) & edges & _line_gram_hit(term, extended)
-    if extended:
-        return _interior(term)
+        return token.endswith(term) & (token != term)
+    return F.lit(False) if term == "" else _interior(term)
+
+
+def _line_test(kind: SearchType, term: str, mode: Mode, w: Column, first_lc: Column, last_lc: Column) -> Column:
+    """The part of a line's test that reads its words."""
+    lc = term.lower()
+    if kind is SearchType.PREFIX:
+        return first_lc == lc
+    if kind is SearchType.SUFFIX:
+        return last_lc == lc
+    return (first_lc != lc) & (last_lc != lc) & _line_gram_hit(w, term, mode is Mode.EXTENDED)
+
+
+def _word_test(kind: SearchType, term: str, mode: Mode) -> Column:
+    if kind is not SearchType.CONTAINS or mode is Mode.EXTENDED or term == "":
+        return F.lit(True)
     n = len(term.encode())
     if n > 2 or (n == 2 and len(term) == 1):
         return F.lit(False)
-    return _interior(term) & _grapheme_hit(term)
+    return _grapheme_hit(term)
 
 
-def prepare(corpus: DataFrame, scope: Scope) -> DataFrame:
+def predicate(scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT, any_script: bool = False, stored: bool = True) -> Column:
+    """The test of an item in column ``token``; ``stored``: a line's words are in ``words, first_lc, last_lc``."""
+    validate(scope, kind, term, mode)
+    test = _plain_test(kind, term)
+    if scope is Scope.WORD:
+        return test & _word_test(kind, term, mode)
+    if stored:
+        return test & _line_test(kind, term, mode, F.col("words"), F.col("first_lc"), F.col("last_lc"))
+
+    def on(w: Column) -> Column:
+        return _line_test(kind, term, mode, w, F.lower(F.try_element_at(w, F.lit(1))), F.lower(F.try_element_at(w, F.lit(-1))))
+
+    # A line is cut once, and only if it passes the test of the token.
+    return F.when(test, tokenize.bind(words_of(F.col("token"), any_script), on)).otherwise(F.lit(False))
+
+
+def prepare(corpus: DataFrame, scope: Scope, any_script: bool = False) -> DataFrame:
     """Items of a corpus with every column that ``predicate`` reads."""
-    items = tokens(corpus, scope)
-    return with_line_words(items) if scope is Scope.LINE else items
+    items = tokens(corpus, scope, any_script)
+    return with_line_words(items, any_script) if scope is Scope.LINE else items
 
 
-def matches(source: DataFrame | Mapping, scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT) -> DataFrame:
+def matches(
+    source: DataFrame | Mapping, scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT, any_script: bool = False
+) -> DataFrame:
     """All matches, unranked: (token, freq). Prefix and suffix keep multiplicity, contains is a set.
 
-    ``source``: a corpus (column ``text``), or the indexes of ``load_index``.
+    ``source``: a corpus (column ``text``), or the indexes of ``load_index``; one that is missing there has no match.
+    ``any_script``: full word boundaries for Han, kana, Thai and the like; an index has those it was built with.
     """
     scope, kind, mode = Scope(scope), SearchType(kind), Mode(mode)
-    test = predicate(scope, kind, term, mode)
-    if isinstance(source, Mapping):
+    stored = isinstance(source, Mapping)
+    test = predicate(scope, kind, term, mode, any_script, stored)
+    log.debug("search %s %s %r", scope.value, kind.value, term)
+    if stored:
         indexed = source.get((scope, kind))
         if indexed is None:
-            raise KeyError(f"no index for {scope.value}, {kind.value}")
+            log.warning("no index for %s, %s", scope.value, kind.value)
+            return SparkSession.active().createDataFrame([], "token string, freq long")
         if kind is SearchType.SUFFIX:
             # Sorted by the reversed token: this is what min/max statistics can prune.
             test = F.col("token_rev").startswith(term[::-1]) & test
         found = indexed.where(test)
     else:
-        # Lines are cut into words once per distinct line, after counting.
-        items = counted(tokens(source, scope))
-        if scope is Scope.LINE:
-            plain = {
-                SearchType.PREFIX: F.col("token").startswith(term),
-                SearchType.SUFFIX: F.col("token").endswith(term),
-                SearchType.CONTAINS: F.col("token").contains(term),
-            }[kind]
-            items = with_line_words(items.where(plain))
-        found = items.where(test)
+        # The optimizer tests items before they are counted: repeats that don't match are never shuffled.
+        found = counted(tokens(source, scope, any_script)).where(test)
     if kind is SearchType.CONTAINS:
         # A corpus is counted already; appended index batches may hold a token twice.
-        distinct = found.select("token").distinct() if isinstance(source, Mapping) else found.select("token")
+        distinct = found.select("token").distinct() if stored else found.select("token")
         return distinct.withColumn("freq", F.lit(1).cast("long"))
     return found.select("token", "freq")
 
@@ -125,18 +146,24 @@ def search(
     term: str,
     mode: Mode = Mode.COMPAT,
     k: int = TOP_K,
+    any_script: bool = False,
 ) -> DataFrame:
     """The best ``k`` matches: (priority, token), ordered by both.
 
     Distinct tokens are ranked first; only the best k of them can reach the result, and each is
     repeated at most k times, so duplicates never cost more than k squared rows.
     """
-    ranked = matches(source, scope, kind, term, mode).select(priority(F.col("token"), term).alias("priority"), "token", "freq")
+    return rank(matches(source, scope, kind, term, mode, any_script), term, k)
+
+
+def rank(found: DataFrame, term: str, k: int = TOP_K) -> DataFrame:
+    """The best ``k`` of matches (token, freq)."""
+    ranked = found.select(priority(F.col("token"), term).alias("priority"), "token", "freq")
     best = ranked.orderBy("priority", "token").limit(k)
     copies = F.explode(F.sequence(F.lit(1), F.least("freq", F.lit(k)).cast("int")))
     return best.select("priority", "token", copies.alias("copy")).orderBy("priority", "token").limit(k).select("priority", "token")
 
 
-def count_matches(source: DataFrame | Mapping, scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT) -> DataFrame:
+def count_matches(source: DataFrame | Mapping, scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT, any_script: bool = False) -> DataFrame:
     """The number of matches before the cut to k, as one row: ``n_matches``."""
-    return matches(source, scope, kind, term, mode).agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("long").alias("n_matches"))
+    return matches(source, scope, kind, term, mode, any_script).agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("long").alias("n_matches"))

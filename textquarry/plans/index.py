@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.enums import Scope, SearchType
-from textquarry.operators.tokens import bigrams, counted, tokens, with_line_words
+from textquarry.operators.search import TOP_K, predicate, rank
+from textquarry.operators.tokens import bigrams, counted, item_bigrams, tokens, with_line_words
 
 log = logging.getLogger(__name__)
 ALL = [(s, k) for s in Scope for k in SearchType]
@@ -36,44 +37,54 @@ def _write(items: DataFrame, scope: Scope, kind: SearchType, root: str, mode: st
     _clustered(items, kind).write.mode(mode).parquet(index_path(root, scope, kind))
 
 
-def _items(corpus: DataFrame, scope: Scope) -> DataFrame:
-    items = counted(tokens(corpus, scope))
-    return with_line_words(items) if scope is Scope.LINE else items
+def _items(corpus: DataFrame, scope: Scope, any_script: bool) -> DataFrame:
+    items = counted(tokens(corpus, scope, any_script))
+    return with_line_words(items, any_script) if scope is Scope.LINE else items
 
 
-def build_index(corpus: DataFrame, scope: Scope, kind: SearchType, root: str) -> None:
+def build_index(corpus: DataFrame, scope: Scope, kind: SearchType, root: str, any_script: bool = False) -> None:
     """One index; replaces what stands at its place."""
-    _write(_items(corpus, Scope(scope)), Scope(scope), SearchType(kind), root)
+    _write(_items(corpus, Scope(scope), any_script), Scope(scope), SearchType(kind), root)
 
 
-def build_all(corpus: DataFrame, root: str) -> float:
-    """All six; each scope is tokenised and counted once. Returns the seconds it took."""
-    began = time.monotonic()
+def _write_all(corpus: DataFrame, root: str, mode: str, any_script: bool) -> None:
     for scope in Scope:
-        items = _items(corpus, scope).persist(StorageLevel.MEMORY_AND_DISK)
+        items = _items(corpus, scope, any_script).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for kind in SearchType:
-                _write(items, scope, kind, root)
+                _write(items, scope, kind, root, mode)
         finally:
             items.unpersist()
+
+
+def build_all(corpus: DataFrame, root: str, any_script: bool = False) -> float:
+    """All six; each scope is tokenised and counted once. Returns the seconds it took."""
+    began = time.monotonic()
+    _write_all(corpus, root, "overwrite", any_script)
     took = time.monotonic() - began
     log.info("built %d indexes in %.3f s", len(ALL), took)
     return took
 
 
-def build_postings(corpus: DataFrame, scope: Scope, root: str) -> None:
+#: Ids in a row of a gram's postings, about.
+POSTINGS_ROW = 10_000
+
+
+def build_postings(corpus: DataFrame, scope: Scope, root: str, any_script: bool = False) -> None:
     """gram -> sorted ids, and id -> token. Pays off only for terms that hit few grams.
 
-    A gram's list of ids grows with the number of distinct tokens that hold it, so lists are cut into
-    blocks by a hash of the id; a gram may have several rows.
+    A gram's list of ids grows with the number of distinct tokens that hold it, so lists are cut into as many
+    blocks (by a hash) as that number asks for; a gram may have several rows.
     """
-    items = tokens(corpus, scope).distinct().withColumn("id", F.xxhash64("token"))
     base = f"{root}/scope={scope.value}"
+    items = tokens(corpus, scope, any_script).distinct().withColumn("id", F.xxhash64("token"))
     items.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{base}/type=items")
     stored = items.sparkSession.read.parquet(f"{base}/type=items")
-    grams = bigrams(stored, scope).withColumn("id", F.xxhash64("token"))
+    grams = bigrams(stored, scope, any_script).withColumn("id", F.xxhash64("token")).drop("token")
+    blocks = grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / POSTINGS_ROW).alias("blocks"))
     (
-        grams.groupBy("gram", F.pmod("id", F.lit(64)).alias("block"))
+        grams.join(blocks, "gram")
+        .groupBy("gram", F.pmod("id", F.col("blocks")).alias("block"))
         .agg(F.sort_array(F.collect_set("id")).alias("ids"))
         .repartitionByRange("gram", "block")
         .sortWithinPartitions("gram", "block")
@@ -82,11 +93,22 @@ def build_postings(corpus: DataFrame, scope: Scope, root: str) -> None:
     )
 
 
-def lookup_postings(spark: SparkSession, root: str, scope: Scope, gram: list[str]) -> DataFrame:
-    """Tokens that hold the interior bigram; ids without an item are ignored."""
-    base = f"{root}/scope={scope.value}"
-    ids = spark.read.parquet(f"{base}/type=postings").where(F.col("gram") == F.array(*map(F.lit, gram))).select(F.explode("ids").alias("id"))
-    return ids.join(spark.read.parquet(f"{base}/type=items"), "id").select("token").distinct()
+def lookup_postings(spark: SparkSession, root: str, scope: Scope, gram: list[str], any_script: bool = False) -> DataFrame:
+    """Tokens that hold the interior bigram. Ids without an item are ignored, and so is an item that only has another's id."""
+    base, wanted = f"{root}/scope={scope.value}", F.array(*map(F.lit, gram))
+    ids = spark.read.parquet(f"{base}/type=postings").where(F.col("gram") == wanted).select(F.explode("ids").alias("id"))
+    found = ids.join(spark.read.parquet(f"{base}/type=items"), "id").select("token")
+    return found.where(F.array_contains(item_bigrams(scope, any_script), wanted)).distinct()
+
+
+def search_postings(spark: SparkSession, root: str, scope: Scope, term: str, k: int = TOP_K, any_script: bool = False) -> DataFrame:
+    """A contains search by one probe of the postings: two plain characters for words, two words for lines."""
+    gram = [term] if scope is Scope.WORD else term.split()
+    if scope is Scope.WORD and (len(term) != 2 or not term.isascii()) or scope is Scope.LINE and len(gram) != 2:
+        raise ValueError("the term is no bigram")
+    found = lookup_postings(spark, root, scope, gram, any_script)
+    test = predicate(scope, SearchType.CONTAINS, term, any_script=any_script, stored=False)
+    return rank(found.where(test).withColumn("freq", F.lit(1).cast("long")), term, k)
 
 
 def load_index(spark: SparkSession, root: str) -> dict[tuple[Scope, SearchType], DataFrame]:
@@ -100,15 +122,9 @@ def load_index(spark: SparkSession, root: str) -> dict[tuple[Scope, SearchType],
     return found
 
 
-def append_index(corpus: DataFrame, root: str) -> None:
+def append_index(corpus: DataFrame, root: str, any_script: bool = False) -> None:
     """Adds the items of new texts without rewriting what is there; ``compact`` merges the batches."""
-    for scope in Scope:
-        items = _items(corpus, scope).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for kind in SearchType:
-                _write(items, scope, kind, root, mode="append")
-        finally:
-            items.unpersist()
+    _write_all(corpus, root, "append", any_script)
 
 
 def merged(index: DataFrame) -> DataFrame:

@@ -9,8 +9,11 @@ from textquarry.enums import Mode, Scope, SearchType
 from textquarry.functions.scoring import highlight, rank_label
 from textquarry.functions.tokenize import lines as cut
 from textquarry.operators.search import count_matches, prepare, search
-from textquarry.operators.tokens import bigrams, counted, tokens
-from textquarry.sources.corpus import read_table
+from textquarry.operators.tokens import bigram_counts, counted, tokens
+from textquarry.plans.index import append_index, build_all, build_postings, compact, load_index, lookup_postings, search_postings
+from textquarry.sources.corpus import from_column, read_table
+from textquarry.sources.shared import new_folder
+from textquarry.streaming.append import load_stream_index, start_indexing
 
 #: name -> (table, column, scope, type, term, mode)
 SEARCHES = {
@@ -93,8 +96,7 @@ def _token_counts(scope: Scope):
 def _gram_counts(table: str, scope: Scope):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         items = tokens(read_table(spark, sf, table, "text"), scope).distinct()
-        grams = bigrams(items, scope).select(F.array_join("gram", " ").alias("gram"), "token").distinct()
-        return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_items"))
+        return bigram_counts(items, scope).select(F.array_join("gram", " ").alias("gram"), "n_items")
 
     return run
 
@@ -141,8 +143,96 @@ def _line_words(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Searches over persisted indexes.
+INDEXED = {f"indexed_{name}": SEARCHES[name] for name in ("word_prefix", "word_suffix", "word_contains", "line_prefix", "line_suffix", "line_contains")}
+_BUILT: dict[tuple, str] = {}
+
+
+def _built(spark: SparkSession, sf: str, what: str, build) -> str:
+    """The folder of an index, built when first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _BUILT:
+        root = new_folder(spark, what)
+        build(root)
+        _BUILT[key] = root
+    return _BUILT[key]
+
+
+def _indexed(spec: tuple):
+    table, column, scope, kind, term, mode = spec
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = _built(spark, sf, f"index-{table}", lambda r: build_all(read_table(spark, sf, table, column), r))
+        return search(load_index(spark, root), scope, kind, term, mode)
+
+    return run
+
+
+def _index_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and multiplicities of the six indexes, and whether each suffix row holds its token reversed."""
+    root = _built(spark, sf, "index-documents", lambda r: build_all(read_table(spark, sf, "documents", "text"), r))
+    rows = None
+    for (scope, kind), index in load_index(spark, root).items():
+        straight = (F.reverse("token_rev") == F.col("token")) if kind is SearchType.SUFFIX else F.lit(True)
+        n = index.agg(F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum("freq"), F.lit(0)).alias("n_items"), F.coalesce(F.bool_and(straight), F.lit(True)).alias("straight"))
+        n = n.select(F.lit(scope.value).alias("scope"), F.lit(kind.value).alias("type"), "n_tokens", "n_items", "straight")
+        rows = n if rows is None else rows.unionByName(n)
+    return rows
+
+
+def _postings(scope: Scope, table: str):
+    def root(spark: SparkSession, sf: str) -> str:
+        return _built(spark, sf, f"postings-{scope.value}", lambda r: build_postings(read_table(spark, sf, table, "text"), scope, r))
+
+    return root
+
+
+def _postings_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup_postings(spark, _postings(Scope.WORD, "documents")(spark, sf), Scope.WORD, ["me"])
+
+
+def _postings_words(spark: SparkSession, sf: str) -> DataFrame:
+    return search_postings(spark, _postings(Scope.WORD, "documents")(spark, sf), Scope.WORD, "me")
+
+
+def _postings_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return search_postings(spark, _postings(Scope.LINE, "conversations")(spark, sf), Scope.LINE, "of the")
+
+
+def _appended(spark: SparkSession, sf: str, merged: bool) -> DataFrame:
+    def build(root: str) -> None:
+        build_all(read_table(spark, sf, "conversations", "text"), root)
+        append_index(read_table(spark, sf, "benchmark", "text"), root)
+
+    root = _built(spark, sf, "appended", build)
+    if merged:
+        root = _built(spark, sf, "compacted", lambda r: compact(spark, root, r))
+    return search(load_index(spark, root), Scope.WORD, SearchType.PREFIX, "me")
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    def build(root: str) -> None:
+        name = "conversations.parquet"
+        table = spark.read.parquet(f"{sf}/{name}")
+        stream = spark.readStream.schema(table.schema)
+        # A file stream reads folders; the table may be one file.
+        single = table.inputFiles()[0].endswith(f"/{name}")
+        texts = stream.option("pathGlobFilter", name).parquet(sf) if single else stream.parquet(f"{sf}/{name}")
+        start_indexing(from_column(texts, "text"), root, f"{root}-checkpoint").awaitTermination()
+
+    return search(load_stream_index(spark, _built(spark, sf, "streamed", build)), Scope.WORD, SearchType.SUFFIX, "en")
+
+
 def queries() -> dict:
-    return {name: _run(spec) for name, spec in SEARCHES.items()} | {
+    return {name: _run(spec) for name, spec in SEARCHES.items()} | {name: _indexed(spec) for name, spec in INDEXED.items()} | {
+        "index_counts": _index_counts,
+        "postings_lookup": _postings_lookup,
+        "postings_word_contains": _postings_words,
+        "postings_line_contains": _postings_lines,
+        "appended_search": lambda spark, sf: _appended(spark, sf, False),
+        "compacted_search": lambda spark, sf: _appended(spark, sf, True),
+        "streamed_search": _streamed,
+        "result_tokens": lambda spark, sf: _run(SEARCHES["word_prefix"])(spark, sf).select("token"),
         "word_tokens": _token_counts(Scope.WORD),
         "line_tokens": _token_counts(Scope.LINE),
         "word_bigrams": _gram_counts("documents", Scope.WORD),
@@ -159,7 +249,22 @@ def oracle_sql() -> dict[str, str]:
     word_items, line_items = _sql_items("documents", "text", Scope.WORD), _sql_items("documents", "text", Scope.LINE)
     contains = _sql_search(SEARCHES["word_contains"])
     talk = f"SELECT DISTINCT token FROM ({_sql_items('conversations', 'text', Scope.LINE)})"
-    return {name: _sql_search(spec) for name, spec in SEARCHES.items()} | {
+    both = "(SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) AS x"
+    more = ("word", "line")
+    counts = {s: f"(SELECT count(DISTINCT token) AS n_tokens, count(*) AS n_items FROM ({i}))" for s, i in zip(more, (word_items, line_items), strict=True)}
+    return {name: _sql_search(spec) for name, spec in (SEARCHES | INDEXED).items()} | {
+        "index_counts": " UNION ALL ".join(
+            f"SELECT '{s}' AS scope, '{k.value}' AS type, n_tokens, n_items, true AS straight FROM {counts[s]}" for s in more for k in SearchType
+        ),
+        "postings_lookup": (
+            f"SELECT DISTINCT token FROM ({word_items}) WHERE len(list_filter(range(2, length(token)), lambda i: substr(token, i, 2) = 'me')) > 0"
+        ),
+        "postings_word_contains": contains,
+        "postings_line_contains": _sql_search(("conversations", "text", Scope.LINE, SearchType.CONTAINS, "of the", Mode.COMPAT)),
+        "appended_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
+        "compacted_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
+        "streamed_search": _sql_search(("conversations", "text", Scope.WORD, SearchType.SUFFIX, "en", Mode.COMPAT)),
+        "result_tokens": f"SELECT token FROM ({_sql_search(SEARCHES['word_prefix'])})",
         "word_tokens": f"SELECT token, count(*) AS n FROM ({word_items}) GROUP BY token",
         "line_tokens": f"SELECT token, count(*) AS n FROM ({line_items}) GROUP BY token",
         "word_bigrams": (

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def strict_utf8(raw: DataFrame) -> DataFrame:
+    """The column ``text``; fails on bytes that are not UTF-8."""
+    fail = F.raise_error(F.lit("corpus is not valid UTF-8"))
+    return raw.select(F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(fail).alias("text"))
+
+
 def read_text(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """A text file, one row a line.
 
@@ -13,13 +19,7 @@ def read_text(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     file of any size is split over tasks. ``strict`` fails on bytes that are not UTF-8.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("text"))
-    if strict:
-        raw = raw.select(
-            F.when(F.is_valid_utf8("text"), F.col("text"))
-            .otherwise(F.raise_error(F.lit("corpus is not valid UTF-8")))
-            .alias("text")
-        )
-    return raw.select(F.regexp_replace("text", "\r$", "").alias("text"))
+    return (strict_utf8(raw) if strict else raw).select(F.regexp_replace("text", "\r$", "").alias("text"))
 
 
 def from_column(df: DataFrame, column: str) -> DataFrame:

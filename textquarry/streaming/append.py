@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textquarry.enums import Scope
-from textquarry.operators.tokens import counted, tokens, with_line_words
-from textquarry.plans.index import ALL, _clustered, index_path
+from textquarry.plans.index import ALL, _clustered, _items, index_path
+from textquarry.sources.corpus import strict_utf8
 
 
-def stream_texts(spark: SparkSession, directory: str) -> DataFrame:
-    """New text files of a folder, one row a line (only line feeds end lines)."""
-    raw = spark.readStream.option("lineSep", "\n").text(directory)
-    return raw.select(F.regexp_replace("value", "\r$", "").alias("text"))
+def stream_texts(spark: SparkSession, directory: str, strict: bool = True) -> DataFrame:
+    """New text files of a folder, one row a line (only line feeds end lines). ``strict`` fails on bytes that are not UTF-8."""
+    raw = spark.readStream.option("lineSep", "\n").text(directory).select(F.col("value").alias("text"))
+    return (strict_utf8(raw) if strict else raw).select(F.regexp_replace("text", "\r$", "").alias("text"))
 
 
-def start_indexing(texts: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start_indexing(texts: DataFrame, root: str, checkpoint: str, available_now: bool = True, any_script: bool = False) -> StreamingQuery:
     """Appends each micro-batch to ``<root>/batch=<id>/``; a repeated batch overwrites itself, so restarts add nothing twice.
 
     Tokenising is stateless, so no watermark is needed.
@@ -27,9 +26,7 @@ def start_indexing(texts: DataFrame, root: str, checkpoint: str, available_now:
         batch.persist()
         try:
             for scope, kind in ALL:
-                items = counted(tokens(batch, scope))
-                items = with_line_words(items) if scope is Scope.LINE else items
-                _clustered(items, kind).write.mode("overwrite").parquet(index_path(f"{root}/batch={batch_id}", scope, kind))
+                _clustered(_items(batch, scope, any_script), kind).write.mode("overwrite").parquet(index_path(f"{root}/batch={batch_id}", scope, kind))
         finally:
             batch.unpersist()
 
@@ -38,10 +35,8 @@ def start_indexing(texts: DataFrame, root: str, checkpoint: str, available_now:
 
 
 def load_stream_index(spark: SparkSession, root: str) -> dict:
-    """The indexes over all batches written so far."""
-    from textquarry.plans.index import merged
-
+    """The indexes over all batches written so far. A token has a row for each batch that holds it, as after appends."""
     drop = ("batch", "scope", "type")
     return {
-        (s, k): merged(spark.read.option("basePath", root).parquet(index_path(f"{root}/batch=*", s, k)).drop(*drop)) for s, k in ALL
+        (s, k): spark.read.option("basePath", root).parquet(index_path(f"{root}/batch=*", s, k)).drop(*drop) for s, k in ALL
     }
