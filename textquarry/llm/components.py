@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
-Each step takes minima with partial aggregation and joins them back, so a node with very many links is split
-like any hot key. Every round is written to the shared folder, which ends its lineage.
+Each step takes minima with partial aggregation, writes them, and joins them back: as a broadcast if their measured size
+allows, else as a plain shuffled join, whose hot keys (a node with very many links) adaptive execution splits. Every
+round is written to the shared folder, which ends its lineage; the round before it is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.storage import written
+from textquarry.llm.storage import bounded, drop, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,8 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = found
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = written(least, "least")
+        large = both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        stars = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(bounded(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        old, stars = stars, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(old, least, large, low)

@@ -2,39 +2,94 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import tempfile
-import uuid
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from textquarry.sources.shared import new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session has none, a new temporary one is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(place)
-        return place.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textquarry-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+__all__ = ["bounded", "create", "drop", "fresh", "mapped", "new_folder", "shared_dir", "small_batches", "sweep", "written"]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Texts go to Python workers a thousand at a time: batches lie outside the heap on one side and in the worker on the other."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Bytes of a row group. A reader takes a column of one at once, through a buffer outside the heap that its thread keeps.
+ROW_GROUP = 4_000_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and lost executors don't matter."""
-    place = new_folder(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    place, seen = new_folder(df.sparkSession, name), Observation()
+    with small_batches(df.sparkSession):
+        df.observe(seen, F.sum(_row_bytes(df)).alias("bytes")).write.option("parquet.block.size", ROW_GROUP).parquet(place)
+    held = df.sparkSession.read.schema(df.schema).parquet(place)
+    held.written_at_, held.bytes_ = place, seen.get.get("bytes") or 0
+    return held
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at_)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing holds any more: it waits for the driver's garbage collector."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bytes of a table, as Spark holds its rows, up to which it is broadcast.
+MAX_BROADCAST_BYTES = 48_000_000
+
+
+def _row_bytes(table: DataFrame) -> Column:
+    """Bytes of a row in memory: numbers take 8, strings and arrays what they hold; the row itself about 40."""
+    total = F.lit(40).cast("long")
+    for field in table.schema.fields:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        size = F.lit(8)
+        if kind in ("string", "binary"):
+            size = F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind == "array":
+            inner = field.dataType.elementType.typeName()
+            each = F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x) + 16) if inner == "string" else F.size(c) * (64 if inner == "struct" else 8)
+            size = F.coalesce(each, F.lit(0)) + 32
+        total = total + size
+    return total
+
+
+def bounded(table: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """A table of ``written``, to be broadcast if its measured bytes are few enough: no choice is left to estimates.
+
+    ``held``: the written table that ``table`` takes some columns of.
+    """
+    return F.broadcast(table) if (held or table).bytes_ <= MAX_BROADCAST_BYTES else table
 
 
 def _local(path: str) -> str | None:
