@@ -12,7 +12,7 @@ from textquarry.llm.queries import op2_token_files, op5_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
-BITS = [" ", "  ", "\n", "\t", " \n", "a", "b's", "1", "23", ".", "é", " ", "日", "ing", "The", "<|endoftext|>", "'ll", "\x1c", "\x00", "\x85", "x" * 300]
+BITS = [" ", "  ", "\n", "\t", " \n", "a", "b's", "1", "23", ".", "é", " ", "日", "ing", "The", "<|endoftext|>", "'ll", "\x1c", "\x00", "\x85", "x" * 300, "½", "ª", "\u0300", "가", "😀", "\u3000", "'s", "'re", "'"]
 
 
 def crc(ids):
@@ -40,14 +40,15 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, start string, ids string")
 
 
-ROWS = [(5, "Hello there", "x", "y"), (1, None, None, None), (None, "null id", "", ""), (3, "", "", ""), (3, "twice", "", ""), (2, "word " * 3000, "", "")]
+ROWS = [(-(2**63), "least id", "", ""), (5, "Hello there", "x", "y"), (1, None, None, None), (None, "null id", "", ""), (3, "", "", ""), (3, "twice", "", ""), (2, "word " * 3000, "", "")]
 
 
 def test_token_files_round_trip(spark, library):
     files = token_files.write(table(spark, ROWS), storage.new_folder(spark, "t"), PATH, end_id=2)
     assert files.dtype == "<u2" and token_files.load(files.folder) == files
-    want = sorted(((r[0] if r[0] is not None else -1), [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in ROWS)
-    read = [((r.doc_id if r.doc_id is not None else -1), list(r.ids), r.start) for r in token_files.read(spark, files).collect()]
+    none = -(2**70)
+    want = sorted(((r[0] if r[0] is not None else none), [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in ROWS)
+    read = [((r.doc_id if r.doc_id is not None else none), list(r.ids), r.start) for r in token_files.read(spark, files).collect()]
     read.sort(key=lambda r: r[2])
     assert [r[0] for r in read] == [w[0] for w in want]
     assert sorted(r[:2] for r in read) == want

@@ -44,7 +44,7 @@ def pieces(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> Data
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
 
     def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs = held.open(k)
+        ids, offsets, docs, nulls = held.open(k)
         base = held.parts[k][4]
         for at in range(0, len(docs), RUN):
             bounds = offsets[at : at + RUN + 1].astype(np.int64) + base
@@ -53,7 +53,7 @@ def pieces(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> Data
             doc = np.flatnonzero(ends > starts)[doc]
             sums = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(a - base, b - base, strict=True)]
             columns = {
-                "doc_id": nullable_ids(np.array(docs[at : at + RUN])[doc]),
+                "doc_id": nullable_ids(docs[at : at + RUN][doc], nulls[at : at + RUN][doc]),
                 "start": pa.array(a - starts[doc], pa.int64()),
                 "length": pa.array(b - a, pa.int64()),
                 "ids_crc32": pa.array(sums, pa.int64()),
@@ -75,7 +75,7 @@ def sequences(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> D
     """sequence_id and its ids; windows inside one part come straight from its file."""
 
     def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, _, _ = held.open(k)
+        ids, _, _, _ = held.open(k)
         base, n = held.parts[k][4], len(ids)
         at = 0
         while at < n:

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.workers import keeps, lean
+
 SPACE = "▁"
 MAX_UNITS = 1_000_000
 MAX_UNIT_CHARS = 256
@@ -216,6 +218,9 @@ class PieceCounter:
 _COUNTERS: dict[str, PieceCounter] = {}
 
 
+keeps("pieces", _COUNTERS.clear)
+
+
 def counter(path: str) -> PieceCounter:
     if path not in _COUNTERS:
         _COUNTERS[path] = PieceCounter(path)
@@ -247,4 +252,4 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean("pieces", task), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,8 +1,8 @@
 """Operator 2: token ids as flat unsigned integer files with 64-bit document offsets.
 
 A folder holds, for each part, ``<part>.bin`` (ids of 16 bits if the vocabulary fits, else 32, little
-endian), ``<part>.off`` (one unsigned 64-bit count per document and one more: ids of the part before it) and
-``<part>.doc`` (64-bit document ids; nulls as the lowest value). ``manifest`` keeps the parts in order with
+endian), ``<part>.off`` (one unsigned 64-bit count per document and one more: ids of the part before it),
+``<part>.doc`` (64-bit document ids, 0 for null) and ``<part>.nul`` (a byte per document, 1 for null). ``manifest`` keeps the parts in order with
 their bases, the prefix sums of the parts' totals: a document's global offset is base plus local offset.
 The files are memory-mapped when read.
 
@@ -20,16 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import storage
 from textquarry.llm.encoding import encoder
+from textquarry.llm.token_counts import runs
+from textquarry.llm.workers import lean
 
-NULL_ID = np.iinfo(np.int64).min
-#: Characters of text encoded at once by a task.
-BATCH_CHARS = 4_000_000
+#: Bytes of text encoded at once by a task.
+BATCH_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -47,10 +49,10 @@ class TokenFiles:
         keys = ("name", "documents", "ids", "document_base", "id_base")
         return json.dumps({"dtype": self.dtype, "parts": [dict(zip(keys, p, strict=True)) for p in self.parts]})
 
-    def open(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, offsets in the part, and document ids of part k."""
+    def open(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets in the part, document ids of part k and which of these are null."""
         stem = f"{self.folder}/{self.parts[k][0]}"
-        return storage.mapped(f"{stem}.bin", self.dtype), storage.mapped(f"{stem}.off", "<u8"), storage.mapped(f"{stem}.doc", "<i8")
+        return storage.mapped(f"{stem}.bin", self.dtype), storage.mapped(f"{stem}.off", "<u8"), storage.mapped(f"{stem}.doc", "<i8"), storage.mapped(f"{stem}.nul", "|u1")
 
 
 def load(folder: str) -> TokenFiles:
@@ -58,26 +60,19 @@ def load(folder: str) -> TokenFiles:
     return TokenFiles(folder, spec["dtype"], tuple(tuple(p.values()) for p in spec["parts"]))
 
 
-def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Documents in runs of bounded size."""
     for batch in stream:
-        ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        texts = batch.column(1)
-        at = 0
-        while at < len(ids):
-            end, chars = at, 0
-            while end < len(ids) and (end == at or chars < BATCH_CHARS):
-                chars += len(texts[end].as_py() or "")
-                end += 1
-            yield ids[at:end], [t or "" for t in texts[at:end].to_pylist()]
-            at = end
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in runs(sizes, BATCH_BYTES):
+            yield batch.column(0).slice(a, b - a), [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, in_order: bool = True) -> TokenFiles:
     """Encodes ``doc_id, text`` and writes the files; ``in_order``: by ascending doc_id over all parts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if in_order:
-        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # rows of one id are split
 
     from tokenizers import Tokenizer
 
@@ -88,11 +83,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, in_o
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         enc, docs_done, ids_done = encoder(tokenizer), 0, 0
-        first = next(runs := _batches(stream), None)
+        first = next(batches := _batches(stream), None)
         if first is None:
             return
         stem = f"{folder}/{name}"
-        with storage.create(f"{stem}.bin") as ids_out, storage.create(f"{stem}.off") as off_out, storage.create(f"{stem}.doc") as doc_out:
+        with storage.create(f"{stem}.bin") as ids_out, storage.create(f"{stem}.off") as off_out, storage.create(f"{stem}.doc") as doc_out, storage.create(f"{stem}.nul") as nul_out:
             off_out.write(np.zeros(1, "<u8").tobytes())
             run = first
             while run is not None:
@@ -103,13 +98,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, in_o
                     counts = counts + 1
                 ids_out.write(flat.astype(dtype).tobytes())
                 off_out.write((ids_done + np.cumsum(counts)).astype("<u8").tobytes())
-                doc_out.write(doc_ids.astype("<i8").tobytes())
+                doc_out.write(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                nul_out.write(doc_ids.is_null().to_numpy(zero_copy_only=False).astype("|u1").tobytes())
                 docs_done, ids_done = docs_done + len(doc_ids), ids_done + len(flat)
-                run = next(runs, None)
+                run = next(batches, None)
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "documents": [docs_done], "ids": [ids_done]})
 
     # One row for each task, whatever the input holds.
-    done = sorted(rows.mapInArrow(task, "part long, name string, documents long, ids long").collect())
+    with storage.small_batches(docs.sparkSession):
+        done = sorted(rows.mapInArrow(lean("tokens", task), "part long, name string, documents long, ids long").collect())
     parts, n_docs, n_ids = [], 0, 0
     for row in done:
         parts.append((row["name"], row["documents"], row["ids"], n_docs, n_ids))
@@ -131,23 +128,23 @@ def per_part(spark: SparkSession, files: TokenFiles, job, schema: str) -> DataFr
             for k in batch.column(0).to_pylist():
                 yield from job(files, k)
 
-    return spark.range(0, n, 1, n).mapInArrow(task, schema)
+    return spark.range(0, n, 1, n).mapInArrow(lean("tokens", task), schema)
 
 
-def nullable_ids(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
+def nullable_ids(ids: np.ndarray, nulls: np.ndarray) -> pa.Array:
+    return pa.array(np.array(ids), pa.int64(), mask=np.array(nulls, bool))
 
 
 def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """Every document as the files hold it: doc_id, start (ids before it), ids."""
 
     def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs = held.open(k)
+        ids, offsets, docs, nulls = held.open(k)
         for at in range(0, len(docs), 256):
             part = offsets[at : at + 257].astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(ids[part[0] : part[-1]].astype(np.int32)))
             starts = pa.array(part[:-1] + held.parts[k][4], pa.int64())
-            yield pa.RecordBatch.from_arrays([nullable_ids(np.array(docs[at : at + 256])), starts, lists], ["doc_id", "start", "ids"])
+            yield pa.RecordBatch.from_arrays([nullable_ids(docs[at : at + 256], nulls[at : at + 256]), starts, lists], ["doc_id", "start", "ids"])
 
     return per_part(spark, files, job, "doc_id long, start long, ids array<int>")
 
@@ -156,12 +153,12 @@ def digest(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the mapped files."""
 
     def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs = held.open(k)
+        ids, offsets, docs, nulls = held.open(k)
         for at in range(0, len(docs), 8192):
             part = offsets[at : at + 8193].astype(np.int64)
             sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(part[:-1], part[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [nullable_ids(np.array(docs[at : at + 8192])), pa.array(part[:-1] + held.parts[k][4], pa.int64()), pa.array(np.diff(part), pa.int64()), pa.array(sums, pa.int64())],
+                [nullable_ids(docs[at : at + 8192], nulls[at : at + 8192]), pa.array(part[:-1] + held.parts[k][4], pa.int64()), pa.array(np.diff(part), pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
