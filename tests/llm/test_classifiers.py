@@ -70,6 +70,14 @@ def test_toxicity(spark, tables):
     assert all(s < 0.5 for s in empty.values())
 
 
+def test_both_labels_take_no_part_and_bytes_are_bounded(spark, tables):
+    docs, labels = tables
+    twice = labels.unionByName(labels.where("doc_id < 40").selectExpr("doc_id", "quality", "1 - toxic AS toxic"))
+    assert min(r.doc_id for r in training_rows(docs, twice, "toxic", 1000).collect()) >= 40
+    some = training_rows(docs, labels, "toxic", 1000, train_bytes=5_000).collect()
+    assert some and all(sum(len(r.text.encode()) for r in some if r.y == y) <= 5_000 for y in (0, 1))
+
+
 def test_noisy_or():
     model = toxicity.WordWeights({"bad": 3.0, "worse": 5.0})
     got, worst, a, b = toxicity.score_text("Bad day. All fine! bad worse", -4.0, model)
@@ -107,20 +115,27 @@ def test_co_training_draws_new_rows_from_all_unlabelled(spark):
     docs, labels = corpus(random.Random(8), 6000)
     labels = labels[:400]
     docs = spark.createDataFrame([*docs, docs[5000], (None, "x", "en", "s", 1, 0.0, 0, "")], SCHEMA)
-    rows = quality_classifier.table(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    names = quality_classifier.known_names(docs)
+    assert sorted(names[1].values()) == list(range(1, len(names[1]) + 1))
+    rows = quality_classifier.table(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), names)
     pool = sorted((r.doc_id, r.x) for r in rows.where("y is null").collect())
     assert [p[0] for p in pool] == [i for i in range(400, 6000) if not held(i)]
     ids, x = np.array([p[0] for p in pool]), quality_classifier._split(np.array([p[1] for p in pool]))
-    most, (_, past, _, _) = int(quality_classifier.GIVEN * len(pool)), quality_classifier.co_train(rows)
+    _, past, logits, y = quality_classifier.co_train(rows, names)
+    assert all(len(z) == len(y) for z in logits)
+    most = [int(quality_classifier.GIVEN * float(np.mean(y == k)) * len(pool)) for k in (0.0, 1.0)]
     assert len(past) == quality_classifier.ROUNDS
     for n in range(1, len(past) + 1):
         for labels in quality_classifier.given(ids, x, past[:n]):
-            assert [int((labels == y).sum()) for y in (0, 1)] == [n * most] * 2
+            assert [int((labels == k).sum()) for k in (0, 1)] == [n * m for m in most]
 
 
 def test_queries_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     toxic = queries()["op1_toxicity"](spark, SF).join(labels, "doc_id").where("held_out").collect()
     good = queries()["op9_quality_classifier"](spark, SF).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in toxic) >= 0.88 * len(toxic)
+    # More than a constant guess: right more often than one that calls nothing toxic, half of the toxic found, few others.
+    assert sum(r.predicted == r.toxic for r in toxic) > sum(not r.toxic for r in toxic)
+    hits = sum(r.predicted and r.toxic for r in toxic)
+    assert hits >= 0.5 * sum(r.toxic for r in toxic) and hits >= 0.9 * sum(r.predicted for r in toxic)
     assert sum(r.kept == bool(r.quality) for r in good) >= 0.95 * len(good)

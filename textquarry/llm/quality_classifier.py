@@ -4,12 +4,14 @@ Two views of a document: its content (rates of characters and words) and its pag
 source, length and layout). Each view has a logistic classifier over binned features. In every round each
 classifier labels the unlabelled documents it is surest of among those that the other one has no label of yet, and
 those labels go to the other one. After
-the last round each view's logit is calibrated (Platt) on labelled rows that took no part in the fits, and
-a joint logistic on both calibrated logits scores every document.
+the last round each view's logit is calibrated (Platt) and a joint logistic on both calibrated logits scores every
+document. Both learn from logits of rows outside the fit: all labelled rows fit the views, and for each fold of them the
+views without that fold are one Newton step away, from sums that are at hand.
 
 The fit sees at most ``PER_CLASS`` labelled rows of each class and all unlabelled ones: their features are written once,
 and every Newton step and every choice of rows is a pass over them whose sums alone come to the driver. Null and empty
-texts are documents without words. Null languages and sources are values of their own. Repeated rows score alike.
+texts are documents without words. Null languages and sources are values of their own; of languages and of sources
+the ``MAX_NAMES`` commonest have a weight each, all others one. Repeated rows score alike.
 If the labels have one class or none, every document scores 1. Further columns pass through ``keep_good``.
 """
 
@@ -24,23 +26,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.labelled import held_out, learnable, training_rows
-from textquarry.llm.storage import written
+from textquarry.llm.labelled import held_out, learnable, logistic, training_rows
+from textquarry.llm.storage import drop, written
 from textquarry.llm.token_counts import runs
+from textquarry.llm.workers import lean
 
 #: The documented bound of the labelled sample that the models are fitted on.
 PER_CLASS = 2000
 ROUNDS = 3
-#: Pseudo-labels a view gives away in a round: of each class this part of the unlabelled rows at most.
-GIVEN = 0.05
+#: Pseudo-labels a view gives away in a round: this part of the unlabelled rows at most, dealt to the classes as
+#: the labelled rows have them.
+GIVEN = 0.1
 SURE = 0.9
 _SURE_LOGIT = math.log(SURE / (1 - SURE))
-BINS = 12
+#: Edges of a feature's bins: its quantiles, closer at both ends, where the odd documents are.
+QUANTILES = [0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.25, 0.33, 0.42, 0.5, 0.58, 0.67, 0.75, 0.84, 0.92, 0.96, 0.98, 0.99, 0.995]
 STEPS = 12
-BATCH_CHARS = 4_000_000
+FOLDS = 5
+MAX_NAMES = 1000
+BATCH_CHARS = 1_000_000
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@+]")
 
 CONTENT = ("words", "mean_word", "distinct", "top_word", "upper", "symbols", "bangs", "digits", "stops", "line_repeats", "window_repeats", "non_ascii")
@@ -71,11 +79,11 @@ def content(text: str) -> list[float]:
     ]
 
 
-def metadata(lang: str | None, source: str | None, text: str) -> list[float]:
+def metadata(lang: str | None, source: str | None, text: str, names: list[dict]) -> list[float]:
     lines = text.split("\n")
     return [
-        float(zlib.crc32(f"l{lang}".encode()) % 61),
-        float(zlib.crc32(f"s{source}".encode()) % 251),
+        float(names[0].get(lang, 0)),
+        float(names[1].get(source, 0)),
         math.log1p(len(text)),
         math.log1p(len(lines)),
         math.log1p(len(text) / len(lines)),
@@ -86,11 +94,14 @@ def metadata(lang: str | None, source: str | None, text: str) -> list[float]:
 class View:
     """A logistic classifier over features cut into bins at training quantiles; names are bins as they are."""
 
-    def __init__(self, edges: list[list[float]], names: set[int]):
+    def __init__(self, edges: list[list[float]], names: dict[int, int]):
+        """names: features that are names already, with the number of their values."""
         self.edges, self.names = edges, names
-        self.sizes = [251 if k in names else len(e) + 1 for k, e in enumerate(edges)]
+        self.sizes = [names.get(k, len(e) + 1) for k, e in enumerate(edges)]
         self.first = np.cumsum([0, *self.sizes[:-1]])
         self.w, self.b, self.slope, self.shift = np.zeros(sum(self.sizes)), 0.0, 1.0, 0.0
+        #: Log odds of the labelled rows' classes; fits take them as equal.
+        self.prior = 0.0
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.int64)
@@ -122,37 +133,35 @@ class View:
         return self.b + self.w[self.cells(x)].sum(1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Coefficients and, last, the intercept, by damped Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    c = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(c))
-        c = c + np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.5 * c)
-    return c
+def known_names(docs: DataFrame) -> list[dict]:
+    """Number from 1 of the commonest languages and of the commonest sources among rows to learn from."""
+    out = []
+    for c in ("lang", "source"):
+        some = learnable(docs).groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), c).limit(MAX_NAMES).collect()
+        out.append({r[c]: k for k, r in enumerate(some, 1)})
+    return out
 
 
-def features(rows: DataFrame) -> DataFrame:
+def features(rows: DataFrame, names: list[dict]) -> DataFrame:
     """doc_id, y and x, the content and then the metadata features, of rows with text, lang and source."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(4)], np.int64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in runs(sizes, BATCH_CHARS):
                 part = batch.slice(a, b - a)
                 lang, source, texts = (part.column(k).to_pylist() for k in (2, 3, 4))
-                x = [content(t or "") + metadata(m, n, t or "") for m, n, t in zip(lang, source, texts, strict=True)]
+                x = [content(t or "") + metadata(m, n, t or "", names) for m, n, t in zip(lang, source, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    return rows.select("doc_id", "y", "lang", "source", "text").mapInArrow(task, "doc_id long, y int, x array<double>")
+    return rows.select("doc_id", "y", "lang", "source", "text").mapInArrow(lean("quality", task), "doc_id long, y int, x array<double>")
 
 
-def table(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def table(docs: DataFrame, labels: DataFrame, names: list[dict], per_class: int = PER_CLASS) -> DataFrame:
     """Features of the labelled sample and (y null) of all documents that no label names, one row each."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    pool = features(learnable(docs)).groupBy("doc_id").agg(F.min("x").alias("x")).join(named, "doc_id", "left_anti")
-    known = features(training_rows(docs, labels, "quality", per_class))
+    pool = features(learnable(docs), names).groupBy("doc_id").agg(F.min("x").alias("x")).join(named, "doc_id", "left_anti")
+    known = features(training_rows(docs, labels, "quality", per_class), names)
     return written(known.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("y"), "x")), "quality-features")
 
 
@@ -167,8 +176,9 @@ def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
             yield batch.column(0).to_numpy(), _split(x)
 
 
-def _keys(ids: np.ndarray, z: np.ndarray, label: float) -> np.ndarray:
-    """How sure a view is of a label; equal logits are put in an order by a hash of the doc_id."""
+def _keys(ids: np.ndarray, view: View, z: np.ndarray, label: float) -> np.ndarray:
+    """How sure a view is of a label, with classes at their own parts; equal logits are put in an order by a hash of the doc_id."""
+    z = z + view.prior
     turn = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
     return (z if label else -z) + turn.astype(float) / 2.0**53 * 1e-6
 
@@ -180,13 +190,20 @@ def given(ids: np.ndarray, x: list[np.ndarray], past: list) -> list[np.ndarray]:
         for v, view in enumerate(views):
             z = view.logit(x[v])
             for label in (1.0, 0.0):
-                key = _keys(ids, z, label)
+                key = _keys(ids, view, z, label)
                 out[1 - v][np.isnan(out[1 - v]) & (key >= _SURE_LOGIT) & (key > least[v, label])] = label
     return out
 
 
-def _fit(pool: DataFrame, views: list[View], past: list, x: list[np.ndarray], y: np.ndarray) -> None:
-    """Newton steps on the labelled rows and what the views have been given, classes at equal parts; halved where they overshoot."""
+def _newton(sums: list[list], c: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss at c, with both classes at equal parts and a ridge, and the step to its least as far as a parabola tells."""
+    ridge = np.append(np.full(len(c) - 1, 1e-3), 1e-9)
+    loss, grad, bend = (sum(s[k] * (0.5 / max(s[0], 1)) for s in sums) for k in (1, 2, 3))
+    return loss + 0.5 * float(ridge @ (c * c)), -np.linalg.solve(bend + np.diag(ridge), grad + ridge * c)
+
+
+def _pool_sums(pool: DataFrame, views: list[View], past: list) -> list | None:
+    """Sums of both views over what they have been given; one small row a task comes back."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -196,20 +213,22 @@ def _fit(pool: DataFrame, views: list[View], past: list, x: list[np.ndarray], y:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(total), 1)], pa.binary())], ["sums"])
 
+    total = None
+    for row in pool.mapInArrow(lean("quality", task), "sums binary").toLocalIterator() if past else []:
+        total = _plus(total, pickle.loads(zlib.decompress(bytes(row.sums))))
+    return total
+
+
+def _fit(pool: DataFrame, views: list[View], past: list, x: list[np.ndarray], y: np.ndarray) -> None:
+    """Newton steps on the labelled rows and what the views have been given, classes at equal parts; halved where they overshoot."""
     best: list = [(math.inf, None, None)] * len(views)
     for _ in range(STEPS):
-        total = [view.sums(x[v], y) for v, view in enumerate(views)]
-        if past:
-            for row in pool.mapInArrow(task, "sums binary").toLocalIterator():
-                total = _plus(total, pickle.loads(zlib.decompress(bytes(row.sums))))
+        total = _plus(_pool_sums(pool, views, past), [view.sums(x[v], y) for v, view in enumerate(views)])
         moved = 0.0
         for v, view in enumerate(views):
             c = np.append(view.w, view.b)
-            ridge = np.append(np.full(len(view.w), 1e-3), 1e-9)
-            loss, grad, bend = (sum(s[k] * (0.5 / max(s[0], 1)) for s in total[v]) for k in (1, 2, 3))
-            loss += 0.5 * float(ridge @ (c * c))
+            loss, step = _newton(total[v], c)
             if loss <= best[v][0] + 1e-12:
-                step = -np.linalg.solve(bend + np.diag(ridge), grad + ridge * c)
                 best[v] = (loss, c, step)
             else:
                 step = best[v][2] / 2
@@ -225,8 +244,8 @@ def _plus(a: list | None, b: list) -> list:
     return b if a is None else [[[p + q for p, q in zip(m, n, strict=True)] for m, n in zip(v, w, strict=True)] for v, w in zip(a, b, strict=True)]
 
 
-def _least(pool: DataFrame, views: list[View], past: list, most: int) -> dict:
-    """By view and label, the key above which stand the ``most`` surest rows that the other view has no label of."""
+def _least(pool: DataFrame, views: list[View], past: list, most: list[int]) -> dict:
+    """By view and label, the key above which stand the ``most[label]`` surest rows that the other view has no label of."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in _batches(stream):
@@ -234,14 +253,14 @@ def _least(pool: DataFrame, views: list[View], past: list, most: int) -> dict:
             for v, view in enumerate(views):
                 z = view.logit(part[v])
                 for label in (1.0, 0.0):
-                    key = _keys(ids, z, label)
+                    key = _keys(ids, view, z, label)
                     key = key[np.isnan(labels[1 - v]) & (key >= _SURE_LOGIT)]
                     slots = pa.array(np.full(len(key), 2 * v + int(label), np.int32))
                     yield pa.RecordBatch.from_arrays([slots, pa.array(key)], ["slot", "key"])
 
-    keys = pool.mapInArrow(task, "slot int, key double")
+    keys = pool.mapInArrow(lean("quality", task), "slot int, key double")
     counts = {r.slot: r.n for r in keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    over = {slot: 1 - (most + 0.5) / n for slot, n in counts.items() if n > most}
+    over = {slot: 1 - (most[slot % 2] + 0.5) / n for slot, n in counts.items() if n > most[slot % 2]}
     found = {}
     if over:
         wanted = [F.percentile_approx(F.when(F.col("slot") == slot, F.col("key")), part, 100_000).alias(str(slot)) for slot, part in over.items()]
@@ -249,53 +268,73 @@ def _least(pool: DataFrame, views: list[View], past: list, most: int) -> dict:
     return {(v, label): found.get(str(2 * v + int(label)), -math.inf) for v in range(len(views)) for label in (1.0, 0.0)}
 
 
-def co_train(rows: DataFrame) -> tuple[list[View], list, list[np.ndarray], np.ndarray] | None:
-    """Both views, the rounds, and features and labels of the rows that calibrate; None without labels of both classes."""
+def _outside(views: list[View], pooled: list | None, x: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+    """Logits of the labelled rows, each by the views without its fold."""
+    total = _plus(pooled, [view.sums(x[v], y) for v, view in enumerate(views)])
+    out = [np.zeros(len(y)) for _ in views]
+    for fold in range(FOLDS):
+        inside = np.arange(len(y)) % FOLDS == fold
+        for v, view in enumerate(views):
+            own = view.sums(x[v][inside], y[inside])
+            rest = [[p - q for p, q in zip(m, n, strict=True)] for m, n in zip(total[v], own, strict=True)]
+            c = np.append(view.w, view.b)
+            c = c + _newton(rest, c)[1]
+            out[v][inside] = c[-1] + c[:-1][view.cells(x[v][inside])].sum(1)
+    return out
+
+
+def co_train(rows: DataFrame, names: list[dict]) -> tuple[list[View], list, list[np.ndarray], np.ndarray] | None:
+    """Both views, the rounds, and the logits outside their folds and labels of the labelled rows; None without labels of both classes."""
     columns = ["doc_id", "x"]
     known = sorted((r.doc_id, float(r.y), r.x) for r in rows.where("y is not null").collect())  # 2 * per_class rows at most
     y = np.array([k[1] for k in known])
     if {0.0, 1.0} - set(y.tolist()):
         return None
     x = _split(np.array([k[2] for k in known]))
-    names, width = {len(CONTENT), len(CONTENT) + 1}, len(CONTENT) + len(METADATA)
-    quantiles = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
-    cuts = rows.agg(*[F.percentile_approx(F.col("x")[k], quantiles, 10_000).alias(str(k)) for k in range(width) if k not in names]).first().asDict()
+    named, width = {len(CONTENT), len(CONTENT) + 1}, len(CONTENT) + len(METADATA)
+    cuts = rows.agg(*[F.percentile_approx(F.col("x")[k], QUANTILES, 10_000).alias(str(k)) for k in range(width) if k not in named]).first().asDict()
     edges = [sorted(set(cuts.get(str(k), []))) for k in range(width)]
-    views = [View(edges[: len(CONTENT)], set()), View(edges[len(CONTENT) :], {0, 1})]
-    fits = np.arange(len(y)) % 4 > 0  # every fourth calibrates
+    views = [View(edges[: len(CONTENT)], {}), View(edges[len(CONTENT) :], {k: len(n) + 1 for k, n in enumerate(names)})]
     pool = rows.where("y is null").select(*columns)
-    most, past = int(GIVEN * pool.count()), []
+    parts = [float(np.mean(y == label)) for label in (0.0, 1.0)]
+    many, past = pool.count(), []
+    most = [int(GIVEN * part * many) for part in parts]
+    for view in views:
+        view.prior = math.log(parts[1] / parts[0])
     for turn in range(ROUNDS + 1):
-        _fit(pool, views, past, [part[fits] for part in x], y[fits])
-        if turn == ROUNDS or not most:
+        _fit(pool, views, past, x, y)
+        if turn == ROUNDS or not any(most):
             break
         held = [View(view.edges, view.names) for view in views]
         for old, view in zip(held, views, strict=True):
-            old.w, old.b = view.w, view.b
+            old.w, old.b, old.prior = view.w, view.b, view.prior
         past.append((held, _least(pool, held, past, most)))
-    return views, past, [part[~fits] for part in x], y[~fits]
+    return views, past, _outside(views, _pool_sums(pool, views, past), x, y), y
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """The model as plain values."""
-    found = co_train(table(docs, labels, per_class))
+    names = known_names(docs)
+    held = table(docs, labels, names, per_class)
+    found = co_train(held, names)
+    drop(held)
     if found is None:
         return {}
-    views, _, x, target = found
+    views, _, logits, target = found
     # Classes at their own parts here, so that scores are probabilities.
     weight, calibrated = np.ones(len(target)), []
-    for v, view in enumerate(views):
-        z = view.logit(x[v])
-        view.slope, view.shift = _logistic(z[:, None], target, weight).tolist()
+    for view, z in zip(views, logits, strict=True):
+        view.slope, view.shift = logistic(z[:, None], target, weight).tolist()
         calibrated.append(view.slope * z + view.shift)
-    joint = _logistic(np.column_stack(calibrated), target, weight)
-    return {"views": [{"edges": v.edges, "names": sorted(v.names), "w": v.w.tolist(), "b": v.b, "slope": v.slope, "shift": v.shift} for v in views], "joint": joint.tolist()}
+    joint = logistic(np.column_stack(calibrated), target, weight)
+    kept = [{"edges": v.edges, "names": v.names, "w": v.w.tolist(), "b": v.b, "slope": v.slope, "shift": v.shift} for v in views]
+    return {"views": kept, "joint": joint.tolist(), "names": names}
 
 
 def _load(model: dict) -> list[View]:
     out = []
     for v in model["views"]:
-        view = View(v["edges"], set(v["names"]))
+        view = View(v["edges"], v["names"])
         view.w, view.b, view.slope, view.shift = np.array(v["w"]), v["b"], v["slope"], v["shift"]
         out.append(view)
     return out
@@ -306,7 +345,7 @@ def _scores(model: dict, lang: list, source: list, texts: list) -> tuple[np.ndar
     if not model:
         return np.ones(n), np.ones(n), np.ones(n)
     texts = [t or "" for t in texts]
-    x = [np.array([content(t) for t in texts]), np.array([metadata(a, b, t) for a, b, t in zip(lang, source, texts, strict=True)])]
+    x = [np.array([content(t) for t in texts]), np.array([metadata(a, b, t, model["names"]) for a, b, t in zip(lang, source, texts, strict=True)])]
     z = [v.slope * v.logit(x[k]) + v.shift for k, v in enumerate(_load(model))]
     a, b, c = model["joint"]
     p = lambda q: 1 / (1 + np.exp(-np.clip(q, -30, 30)))
@@ -319,13 +358,13 @@ def _map(docs: DataFrame, model: dict, columns: list[str], schema: str, keep) ->
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(at["text"])], np.int64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(at["text"])), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in runs(sizes, BATCH_CHARS):
                 part = batch.slice(a, b - a)
                 lists = [part.column(at[c]).to_pylist() for c in ("lang", "source", "text")]
                 yield keep(part, _scores(model, *lists))
 
-    return docs.select(*columns).mapInArrow(task, schema)
+    return docs.select(*columns).mapInArrow(lean("quality", task), schema)
 
 
 def _typed(docs: DataFrame) -> DataFrame:

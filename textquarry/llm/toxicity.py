@@ -6,9 +6,12 @@ score the noisy-or of its sentences: 1 - prod(1 - p). Only documents have labels
 noisy-or is climbed by gradient, so blame settles on the sentences whose words explain the labels. The
 same model then finds those sentences.
 
-The fit sees at most ``PER_CLASS`` labelled rows of each class and runs in one task. Scores
-use the text alone. Null and empty texts have no sentence; their score is that of a bag with one empty
-sentence. Repeated rows score alike. Without training rows every score is 0. An empty table gives none. Labels,
+The fit sees at most ``PER_CLASS`` labelled rows of each class, in one task; ``FOLDS`` more tasks each fit on the rows
+outside a fold and score those in it. On these scores the noisy-or's logit is calibrated, classes weighing as
+the labels have them, so a score is a probability. Scores use the text alone. Null and empty texts have no
+sentence; their score is that of a bag with one empty sentence. Repeated rows score alike. Without training rows of
+both classes every score is 0; with fewer than ``MIN_CALIBRATED`` of one, scores stay as they are. A doc_id with both
+labels takes no part in the fit. An empty table gives none. Labels,
 language, source and doc_id are no input of a score; further columns are not read.
 """
 
@@ -18,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.labelled import held_out, training_rows
+from textquarry.llm.labelled import held_out, logistic, training_rows
 from textquarry.llm.token_counts import runs
+from textquarry.llm.workers import lean
 
 #: The documented bound of the sample that the model is fitted on.
 PER_CLASS = 2000
@@ -35,6 +40,9 @@ PER_CLASS = 2000
 MIN_DOCS = 8
 MIN_Z = 4.0
 STEPS = 600
+#: Folds that calibrate, and the rows of each class that this needs.
+FOLDS = 3
+MIN_CALIBRATED = 12
 #: Pull of weights towards nothing.
 RIDGE = 1e-5
 #: Weights nearer to nothing than this are dropped.
@@ -46,6 +54,14 @@ _ENDS = "\n.!?;…。！？"
 _TABLE = {ord(c): "\n" for c in _ENDS} | {c: " " for c in range(0x80) if not chr(c).isalnum() and chr(c) not in "\n.!?;"}
 
 
+class Model(NamedTuple):
+    bias: float
+    weights: dict[str, float]
+    #: Of the calibration of a document's logit.
+    slope: float
+    shift: float
+
+
 def _plain(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
@@ -123,23 +139,45 @@ def fit(texts: list[str], labels: list[int]) -> tuple[float, dict[str, float]]:
     return float(b), kept
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[float, dict[str, float]]:
-    """Fits on a bounded sample, in one task; the weights, no more than the sample's words, come back."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fits on a bounded sample, one task a fold and one for all; the weights, no more than the sample's words, come back."""
     sample = training_rows(docs, labels, "toxic", per_class)
 
-    def task(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*stream, pd.DataFrame({"doc_id": [], "text": [], "y": []})]).sort_values("doc_id")
-        bias, weights = fit(rows["text"].tolist(), rows["y"].astype(int).tolist())
-        yield pd.DataFrame({"word": ["", *weights], "weight": [bias, *weights.values()]})
-
-    found = {r.word: r.weight for r in sample.select("doc_id", "text", "y").coalesce(1).mapInPandas(task, "word string, weight double").collect()}
-    return found.pop("", -20.0), found
+    def task(rows: pd.DataFrame) -> pd.DataFrame:
+        fold = int(rows["fold"].iloc[0])
+        rows = rows.sort_values("doc_id")
+        out = np.arange(len(rows)) % FOLDS == fold  # none for the last
+        bias, weights = fit(rows["text"][~out].tolist(), rows["y"][~out].astype(int).tolist())
+        if fold == FOLDS:
+            return pd.DataFrame({"word": ["", *weights], "value": [bias, *weights.values()], "y": -1, "n_y": 0})
+        held = WordWeights(weights)
+        z = [_logit(score_text(t, bias, held)[0]) for t in rows["text"][out]]
+        return pd.DataFrame({"word": None, "value": z, "y": rows["y"][out], "n_y": rows["n_y"][out]})
+
+    spread = sample.select("doc_id", "text", "y", "n_y", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("fold"))
+    found = spread.groupBy("fold").applyInPandas(task, "word string, value double, y int, n_y long").collect()
+    weights = {r.word: r.value for r in found if r.y < 0}
+    model = Model(weights.pop("", -20.0), weights, 1.0, 0.0)
+    scored = sorted((r.value, r.y, r.n_y) for r in found if r.y >= 0)
+    z, y, n = (np.array(c, float) for c in zip(*scored, strict=True)) if scored else (np.empty(0),) * 3
+    parts = [int((y == k).sum()) for k in (0, 1)]
+    if min(parts) >= MIN_CALIBRATED:
+        weight = n / np.where(y == 1, parts[1], parts[0])
+        slope, shift = logistic(z[:, None], y, weight * len(y) / weight.sum())
+        if slope > 0:
+            model = Model(model.bias, model.weights, float(slope), float(shift))
+    return model
 
 
 def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _logit(p: float) -> float:
+    p = max(1e-12, min(1 - 1e-12, p))
+    return math.log(p / (1 - p))
+
+
 def score_text(text: str | None, bias: float, weights: WordWeights) -> tuple[float, float, int, int]:
     """Score of the text, and of its worst sentence with that sentence's start and end (code points)."""
     plain = _plain(text or "")
@@ -164,9 +202,9 @@ def score_text(text: str | None, bias: float, weights: WordWeights) -> tuple[flo
     return -math.expm1(log_none), _sigmoid(bias) if worst < 0 else worst, *span
 
 
-def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, worst_score, worst_start, worst_end of every row."""
-    bias, weights = model
+    bias, weights, slope, shift = model
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = WordWeights(weights)
@@ -175,18 +213,19 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
             for a, b in runs(sizes, BATCH_CHARS):
                 found = [score_text(t, bias, held) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 cols = list(zip(*found, strict=True))
+                cols[0] = [_sigmoid(slope * _logit(p) + shift) if weights else 0.0 for p in cols[0]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                     ["doc_id", "score", "worst_score", "worst_start", "worst_end"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, score double, worst_score double, worst_start long, worst_end long")
+    return rows.mapInArrow(lean("toxicity", task), "doc_id long, score double, worst_score double, worst_start long, worst_end long")
 
 
-def locate(docs: DataFrame, model: tuple[float, dict[str, float]], at_least: float = 0.5) -> DataFrame:
+def locate(docs: DataFrame, model: Model, at_least: float = 0.5) -> DataFrame:
     """doc_id, start, end, sentence, score of every sentence that scores ``at_least`` so much."""
-    bias, weights = model
+    bias, weights = model[:2]
 
     def task(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = WordWeights(weights)
@@ -200,7 +239,7 @@ def locate(docs: DataFrame, model: tuple[float, dict[str, float]], at_least: flo
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "sentence", "score"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(task, "doc_id long, start long, end long, sentence string, score double")
+    return rows.mapInPandas(lean("toxicity", task), "doc_id long, start long, end long, sentence string, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
