@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from textquarry.llm import substring_dedup as s
+from textquarry.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, repeat int, digest int, start string, owner string"
 
@@ -25,7 +26,8 @@ def test_cuts_survive_insertions():
     pieces = lambda data: set(s.digests(data, s.cut(np.frombuffer(data, np.uint8))))
     shared = pieces(a) & pieces(b)
     assert len(shared) > 0.85 * len(s.cut(np.frombuffer(passage, np.uint8)))
-    assert 25 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 60
+    # Minima within 16 bytes on either side lie 17 bytes apart at least, 33 on random bytes on average.
+    assert 20 < len(passage) / len(s.cut(np.frombuffer(passage, np.uint8))) < 50
     flat = np.zeros(10_000, np.uint8)
     assert 1 <= len(s.cut(flat)) <= 10_000 / s.RADIUS
 
@@ -110,3 +112,70 @@ def test_long_text_and_empty_table(spark):
     got = s.report(spark.createDataFrame([(1, long, 0, 0, "", ""), (None, "z" * 50_000, 0, 0, "", ""), (2, long, 0, 0, "", "")], SCHEMA)).collect()
     assert {(r.doc_id, r.text == "") for r in got if r.doc_id} == {(1, False), (2, True)}
     assert s.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_dedup(rows):
+    """The whole operator by loops over plain values: hash, cuts, owners, runs. rows: (doc_id, text)."""
+    gear = [int(x) for x in s.GEAR]
+
+    def cut(data):
+        h = [sum(gear[data[i - j]] << 2 * j for j in range(min(16, i + 1))) % 2**32 for i in range(len(data))]
+        ends, last = [], None
+        for i in range(len(h)):
+            if h[i] == min(h[max(0, i - 16) : i + 17]) and (last is None or i - last > 16):
+                ends.append(i + 1)
+                last = i
+        if data and (not ends or ends[-1] != len(data)):
+            ends.append(len(data))
+        return list(zip([0, *ends[:-1]], ends, strict=True))
+
+    laid = {(doc, text): [(a, text.encode()[a:b]) for a, b in cut(text.encode())] for doc, text in rows if text}
+    owner = {}
+    for (doc, text), pieces in laid.items():
+        for a, piece in pieces:
+            owner[piece] = min(owner.get(piece, (doc, a)), (doc, a))
+    out = []
+    for doc, text in rows:
+        data, spans, kept, at = (text or "").encode(), [], b"", 0
+        for a, piece in [*laid.get((doc, text), []), (len(data), None)]:
+            if piece is not None and owner[piece] != (doc, a):
+                spans[-1:] = [[spans[-1][0], a + len(piece)]] if spans and spans[-1][1] == a else [*spans[-1:], [a, a + len(piece)]]
+        n = 0
+        for a, b in spans:
+            if b - a >= 128:
+                while a < b and data[a] & 0xC0 == 0x80:
+                    a += 1
+                while a < b < len(data) and data[b] & 0xC0 == 0x80:
+                    b -= 1
+                kept, at, n = kept + data[at:a], b, n + 1
+        out.append((doc, text if not n else (kept + data[at:]).decode(), n))
+    return sorted(out, key=str)
+
+
+def test_query_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries()["op6_substring_dedup"](spark, sf).select("doc_id", "text", "n_spans").collect()
+    assert sorted(map(tuple, got), key=str) == plain_dedup(rows)
+
+
+def test_hot_passages_are_split(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOT_REPEATS", 3)
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 25)} {passage} {prose(rng, 25)}") for i in range(30)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], SCHEMA).repartition(4)
+    assert sorted(((r.doc_id, r.text, r.n_spans) for r in s.report(docs).collect()), key=str) == plain_dedup(rows)
+
+
+def test_names_and_rows_without_id(spark):
+    rng = random.Random(13)
+    passage, other = prose(rng, 60), prose(rng, 80)
+    rows = [(None, f"{prose(rng, 20)} {passage}"), (None, f"{passage} {prose(rng, 9)}"), (None, other), (None, other), (4, f"{passage} {prose(rng, 30)}"), (5, None)]
+    names = "doc_id long, text string, repeat_spans string, d string, h string, digest int"
+    docs = spark.createDataFrame([(*r, "mine", "d", "h", 3) for r in rows], names)
+    out = s.dedup(docs).collect()
+    assert s.dedup(docs).columns == ["doc_id", "text", "d", "h", "digest", "repeat_spans"]
+    assert sum(len(r.repeat_spans) for r in out if r.doc_id is None) == 1
+    assert [len(r.repeat_spans) for r in out if r.doc_id == 4] == [1]
+    assert [r.text for r in out if r.text == other] == [other] * 2 and all(r.d == "d" and r.digest == 3 for r in out)

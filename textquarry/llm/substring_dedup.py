@@ -9,12 +9,13 @@ every other chunk with it is a repeat. Repeats side by side form a run, and runs
 are removed; shorter ones, such as a shared short line, stay. A false match of digests would need a run of
 several such chunks to have an effect.
 
-Digests are pre-aggregated before the shuffle and joined back one owner row each, so a passage that a third of
-all documents hold neither meets in one task nor makes pairs.
+Digests are pre-aggregated before the shuffle and joined back one owner row each, so a passage makes no pairs. Those
+that ``HOT_REPEATS`` chunks or more have are joined in as many parts as that asks for, so a passage that a third of all
+documents hold doesn't meet in one task.
 
 Null and empty texts have no chunks and pass unchanged. Equal doc_ids count as one document: a repeated row
-is no repeat of itself. Null doc_ids come first and count as one. An empty table gives none. All columns of
-the input pass through; helper columns have names of their own.
+is no repeat of itself. Rows without doc_id come first, and are one document if their texts are equal. An empty table gives
+none. All columns of the input pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +25,23 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from textquarry.llm.storage import bounded, fresh, written
 from textquarry.llm.token_counts import runs
+from textquarry.llm.workers import lean
 
 #: Bytes that a hash value depends on: the gear hash is shifted by two bits a byte.
 WINDOW = 16
 RADIUS = 16
 #: Bytes of a run of repeats from which it is removed.
 MIN_RUN = 128
-BATCH_BYTES = 4_000_000
+#: Chunks of one digest that are joined by one task, about.
+HOT_REPEATS = 20_000
+BATCH_BYTES = 2_000_000
 #: The gear table, from a rule: the first four bytes of a digest of each byte value.
 GEAR = np.array([int.from_bytes(blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 _FAR = np.uint32(0xFFFFFFFF)
@@ -99,42 +106,54 @@ def digests(data: bytes, ends: np.ndarray) -> list[int]:
     return out
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells rows without doc_id apart; 0 for the others."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, start, of every chunk of every text."""
+    """digest, doc_id, h (hash of the text of rows without doc_id), start, of every chunk of every text."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)], np.int64)
+            texts = batch.column(2)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in runs(sizes, BATCH_BYTES):
                 keys, starts, found, counts = [], [], [], []
                 for k in range(a, b):
                     if not sizes[k]:
                         continue
-                    data = batch.column(1)[k].as_buffer().to_pybytes()
+                    data = texts[k].as_buffer().to_pybytes()
                     ends = cut(np.frombuffer(data, np.uint8))
                     found += digests(data, ends)
                     starts.append(np.concatenate([[0], ends[:-1]]))
                     keys.append(k)
                     counts.append(len(ends))
                 if keys:
-                    ids = batch.column(0).take(pa.array(np.repeat(keys, counts)))
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), ids, pa.array(np.concatenate(starts).astype(np.int32))], ["digest", "doc_id", "start"])
+                    of = pa.array(np.repeat(keys, counts))
+                    columns = [pa.array(found, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(starts).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "h", "start"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "digest long, doc_id long, start int")
+    return rows.select("doc_id", _text_hash(F.col("text")).alias("h"), "text").mapInArrow(lean("chunks", task), "digest long, doc_id long, h long, start int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, and its repeated chunks as sorted structs (start, digest, owner)."""
+    """doc_id, h, and the document's repeated chunks as sorted structs (start, digest, owner)."""
     laid = chunks(docs)
-    owners = (
-        laid.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .select("digest", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
-    )
-    found = laid.join(owners, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("start") == F.col("owner_start"))))
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "digest", "owner"))).alias("repeats"))
+    owners = laid.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    owners = owners.where("n > 1").select("digest", "n", F.col("first.doc_id").alias("owner"), F.col("first.h").alias("owner_h"), F.col("first.start").alias("owner_start"))
+    owners = written(owners, "owners")
+    hot = written(owners.where(F.col("n") > HOT_REPEATS).select("digest", F.ceil(F.col("n") / HOT_REPEATS).cast("int").alias("parts")), "hot-digests")
+    salted = laid.withColumn("part", F.lit(0))
+    if not hot.isEmpty():
+        part = F.coalesce(F.pmod(F.xxhash64("doc_id", "h", "start"), "parts"), F.lit(0)).cast("int")
+        salted = laid.join(bounded(hot), "digest", "left").withColumn("part", part).drop("parts")
+    spread = owners.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.when(F.col("n") > HOT_REPEATS, F.ceil(F.col("n") / HOT_REPEATS).cast("int") - 1).otherwise(F.lit(0)))))
+    found = salted.join(spread.drop("n"), ["digest", "part"])
+    itself = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("h") == F.col("owner_h")) & (F.col("start") == F.col("owner_start"))
+    # A document's chunks at most.
+    return found.where(~itself).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "digest", "owner"))).alias("repeats"))
 
 
 def removable(data: bytes, marked: dict[tuple[int, int], int | None], min_run: int = MIN_RUN) -> list[tuple[int, int, list]]:
@@ -164,13 +183,19 @@ def removable(data: bytes, marked: dict[tuple[int, int], int | None], min_run: i
     return whole
 
 
-def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """All columns of ``docs``, text without repeated passages, and repeat_spans: start, length (bytes of the old text), owners."""
-    found = repeats(docs).select(F.col("doc_id").alias("d__"), F.col("repeats").alias("r__"))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("d__")), "left").drop("d__")
-    names = [c for c in joined.columns if c != "r__"]
-    text_at, r_at = names.index("text"), joined.columns.index("r__")
-    span = "array<struct<start:long,length:long,owners:array<long>>>"
+def dedup(docs: DataFrame, min_run: int = MIN_RUN, spans_name: str = "repeat_spans") -> DataFrame:
+    """All columns of ``docs``, text without repeated passages, and ``spans_name``: start, length (bytes of the old text), owners.
+
+    A column of the input that has that name is replaced.
+    """
+    docs = docs.drop(spans_name)
+    d, h, r, own = (fresh([*docs.columns, spans_name], x) for x in ("d", "h", "r", "own_h"))
+    found = repeats(docs).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("repeats").alias(r))
+    text = docs.withColumn(own, _text_hash(F.col("text").cast("string")))
+    same = text["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h))
+    joined = text.join(found, same, "left").select(*[text[c] for c in docs.columns], r)
+    names = docs.columns
+    text_at, r_at = names.index("text"), len(names)
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("owners", pa.list_(pa.int64()))]))
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +221,10 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 for k, t in new.items():
                     held[k] = t
                 columns[text_at] = pa.array(held, texts.type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, arrow_span)], [*names, "repeat_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, arrow_span)], [*names, spans_name])
 
-    fields = [f for f in joined.schema.fields if f.name != "r__"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", repeat_spans {span}"
-    return joined.select(*names, "r__").mapInArrow(task, schema)
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType()), StructField("owners", ArrayType(LongType()))]))
+    return joined.mapInArrow(lean("chunks", task), StructType([*docs.schema.fields, StructField(spans_name, span)]))
 
 
 def report(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
