@@ -5,7 +5,7 @@ import re
 import pytest
 
 from oracle import connection, rows_of, sql_rows
-from textquarry.llm import jaccard_join
+from textquarry.llm import jaccard_join, storage
 from textquarry.llm.components import components
 from textquarry.llm.queries import oracle_sql, queries
 
@@ -67,15 +67,32 @@ def fixture(seed):
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"PIVOTS": 0}, {"MAX_GROUPS": 1, "PIVOTS": 0, "BLOCK": 8}, {"MAX_BROADCAST": 0, "MAX_GROUPS": 2}])
+@pytest.mark.parametrize("settings", [{}, {"PIVOTS": 0, "BATCH_BYTES": 300, "SMALL_GROUP": 0, "UNION_ROW": 20}, {"MAX_GROUPS": 1, "PIVOTS": 0, "BLOCK": 8}, {"MAX_BROADCAST_BYTES": 0, "MAX_GROUPS": 2}])
 def test_random_texts(spark, monkeypatch, settings):
     for k, v in settings.items():
-        monkeypatch.setattr(jaccard_join, k, v)
+        monkeypatch.setattr(storage if k == "MAX_BROADCAST_BYTES" else jaccard_join, k, v)
     rows = fixture(5)
     docs = spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], SCHEMA).repartition(3)
     assert found(jaccard_join.join(docs)) == brute(rows)
 
 
+def test_texts_of_common_passages(spark, monkeypatch):
+    """Texts put together from a few passages: every shingle is frequent, and links hang on tokens of many groups."""
+    monkeypatch.setattr(jaccard_join, "MAX_GROUPS", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(6)]
+    rows = []
+    for k in range(120):
+        some = rng.sample(passages, rng.choice([1, 2, 3, 4]))
+        some.insert(rng.randrange(len(some) + 1), " ".join(word() for _ in range(rng.randrange(12))))
+        rows.append((k, " ".join(some)))
+    want = brute(rows)
+    assert found(jaccard_join.join(spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], SCHEMA).repartition(3))) == want
+    assert len({w[2] for w in want}) < 120
+
+
 def test_empty_and_long(spark):
     assert jaccard_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
     long = " ".join(f"w{i}" for i in range(30_000))

@@ -28,13 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.llm.components import components
-from textquarry.llm.storage import written
+from textquarry.llm.storage import bounded, sweep, written
 from textquarry.llm.token_counts import runs
+from textquarry.llm.workers import lean
 
 WORDS = 5
 PERCENT = 75
@@ -48,11 +50,11 @@ MAX_GROUPS = 256
 BLOCK = 256
 #: Groups of so few members are opened without a bound: their union would cost more than the comparison.
 SMALL_GROUP = 4
-#: Keys broadcast at most (16 bytes each); beyond it the join is shuffled.
-MAX_BROADCAST = 1_000_000
 #: Counters that tell frequent tokens; collisions only change the order of tokens.
 COUNTERS = 1 << 20
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+#: Tokens of a group's union in a row, about; larger unions are cut by the token.
+UNION_ROW = 50_000
 
 _U = np.uint64
 _BASE, _LANES = _U(0x9E3779B97F4A7C15), [_U(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -109,6 +111,14 @@ def signature(s: np.ndarray) -> list[int]:
     return np.packbits(np.bincount(places, minlength=SIGNATURE_BITS) & 1).view(np.int64).tolist()
 
 
+def _parts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, of bounded bytes of text (the second column)."""
+    for batch in stream:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in runs(sizes, BATCH_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column(column)
     for k in range(batch.num_rows):
@@ -125,7 +135,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     seeds = _mix(np.arange(1, MIN_HASHES + 1).astype(_U) * _BASE) | _U(1)  # odd: each gives another order
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in _parts(stream):
             n, cls, low = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             signatures = []
             for k, s in _sets(batch, 1):
@@ -140,7 +150,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (low, signatures)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), *lists], ["doc_id", "n", "cls", "low", "sig"])
 
-    return _plain(docs).mapInArrow(task, "doc_id long, n long, cls long, low array<long>, sig array<long>")
+    return _plain(docs).mapInArrow(lean("sets", task), "doc_id long, n long, cls long, low array<long>, sig array<long>")
 
 
 def token_levels(docs: DataFrame) -> np.ndarray:
@@ -148,7 +158,7 @@ def token_levels(docs: DataFrame) -> np.ndarray:
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(COUNTERS, np.int64)
-        for batch in stream:
+        for batch in _parts(stream):
             for _, s in _sets(batch, 1):
                 np.add.at(held, (s >> _U(44)).astype(np.int64), 1)
         some = np.flatnonzero(held)
@@ -156,7 +166,7 @@ def token_levels(docs: DataFrame) -> np.ndarray:
             part = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], ["counter", "n"])
 
-    sums = written(_plain(docs).mapInArrow(task, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")), "counters")
+    sums = written(_plain(docs).mapInArrow(lean("sets", task), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")), "counters")
     mean = (sums.agg(F.sum("n")).first()[0] or 0) / COUNTERS
     least = mean + 6 * mean**0.5 + 16  # beyond what usual tokens add up to by chance
     levels = np.zeros(COUNTERS, np.uint8)
@@ -176,7 +186,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
-        for batch in stream:
+        for batch in _parts(stream):
             seen, tokens, owners = set(), [], []
             for _, s in _sets(batch, 1):
                 if not len(s) or (c := class_of(s)) in seen:
@@ -189,7 +199,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners))], ["token", "cls"])
 
-    return _plain(docs).mapInArrow(task, "token long, cls long")
+    return _plain(docs).mapInArrow(lean("sets", task), "token long, cls long")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -218,18 +228,17 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
             if emit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(t[emit]), pa.array(c[emit])], ["token", "cls"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(task, "token long, cls long")
+    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lean("sets", task), "token long, cls long")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
     """cls, tokens (array) of the classes named; each from the text of one of its documents."""
     ids = classes.join(names, "cls").select(F.col("cls").alias("want"), F.col("any_id").alias("id_"))
     ids = written(ids, "wanted")
-    small = ids.count() <= MAX_BROADCAST
-    rows = _plain(docs).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id_")).select("want", "text")
+    rows = _plain(docs).join(bounded(ids), F.col("doc_id") == F.col("id_")).select("want", "text")
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in _parts(stream):
             want = batch.column(0).to_numpy()
             found = [(int(want[k]), s) for k, s in _sets(batch, 1) if len(s) and class_of(s) == want[k]]
             for at in range(0, len(found), 256):
@@ -239,12 +248,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "tokens"])
 
     # A class may come twice if its row is repeated; links and bounds don't mind.
-    return written(rows.mapInArrow(task, "cls long, tokens array<long>"), "sets")
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table of a few narrow columns, to be broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    return written(rows.mapInArrow(lean("sets", task), "cls long, tokens array<long>"), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,8 +256,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    held = _bounded(pairs)  # so that sets are moved once, with their partner's name
-    right = right.join(_bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
+    held = bounded(pairs)  # so that sets are moved once, with their partner's name
+    right = right.join(bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
     joined = left.join(held, "a").join(right, "b").withColumn("both", both)
     return joined.where(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
@@ -261,9 +265,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs a, b (a written table) whose signatures allow a link, with the number of places they differ in."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    right = side("b").join(_bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
+    right = side("b").join(bounded(written(pairs.select("b").distinct(), "right-sides")), "b", "left_semi")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
-    joined = side("a").join(_bounded(pairs), "a").join(right, "b").withColumn("differ", differ)
+    joined = side("a").join(bounded(pairs), "a").join(right, "b").withColumn("differ", differ)
     # A link has at most so large a part of both sets' tokens in one of them only.
     return joined.where((100 + PERCENT) * F.col("differ") <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b", "differ")
 
@@ -337,6 +341,26 @@ def _block_links(docs: DataFrame, hot: DataFrame, names: DataFrame) -> DataFrame
     return cut.join(sides, "blk").groupBy("i", "j").applyInPandas(task, "a long, b long")
 
 
+def _opened(candidates: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The candidates whose bound, the query's tokens in the group's token union, allows a link."""
+    wanted = bounded(written(candidates.select(F.col("other").alias("grp")).distinct(), "asked-groups"))
+    members = written(grouped.join(wanted, "grp", "left_semi"), "members")
+    cuts = bounded(written(members.groupBy("grp").agg(F.ceil(F.sum("n") / UNION_ROW).cast("int").alias("cuts")), "union-cuts"))
+    cut = F.pmod("token", "cuts").cast("int").alias("cut")
+    held = sets.select("cls", "tokens").join(bounded(members.select("cls", "grp"), members), "cls").join(cuts, "grp")
+    asked = sets.select("cls", "tokens").join(bounded(candidates.withColumnRenamed("other", "grp"), candidates), "cls").join(cuts, "grp")
+    # Usual unions are one array, of UNION_ROW tokens at most; larger ones are put together token by token, in several.
+    whole = held.where("cuts = 1").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    parts = held.where("cuts > 1").select("grp", "cuts", F.explode("tokens").alias("token")).groupBy("grp", cut).agg(F.collect_set("token").alias("union"))
+    most = F.size(F.array_intersect("own", "union")).alias("most")
+    met = asked.where("cuts = 1").select("cls", "n", "grp", F.col("tokens").alias("own")).join(whole, "grp").select("cls", "n", "grp", most)
+    long = asked.where("cuts > 1").select("cls", "n", "grp", "cuts", F.explode("tokens").alias("token"))
+    long = long.groupBy("cls", "n", "grp", cut).agg(F.collect_list("token").alias("own"))  # tokens of one set
+    met = met.unionByName(long.join(parts, ["grp", "cut"]).select("cls", "n", "grp", most))
+    bound = met.groupBy("cls", "n", "grp").agg(F.sum("most").alias("most"))
+    return written(bound.where(100 * F.col("most") >= PERCENT * F.col("n")).select("cls", "n", "grp"), "opened")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between classes that connect all that are connected. classes: cls, n, low, sig, any_id."""
     names = classes.select("cls", "any_id")
@@ -344,9 +368,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     near = written(_linked(pairs, _sets_of(docs, ends, names)), "near")
     grouped = written(_grouped(classes, components(near)), "groups")
+    sweep(docs.sparkSession)
 
     rows = shared_tokens(prefixes(docs, token_levels(docs)))
-    matrix = written(rows.join(grouped, "cls").select("token", "cls", "n", "grp"), "matrix")
+    matrix = written(rows.join(bounded(grouped), "cls").select("token", "cls", "n", "grp"), "matrix")
+    del rows
+    sweep(docs.sparkSession)
     cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
     widths = written(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1), "widths")
     usual = widths.where(F.col("groups") <= MAX_GROUPS).select("token")
@@ -362,6 +389,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     enough = (low <= high) & (F.col("shared") >= F.least(need(low), need(high)) - 1e-6)
     candidates = shared.join(sizes, "other").where(enough).select("cls", "n", "other")
     candidates = written(candidates, "candidates")
+    sweep(docs.sparkSession)
 
     # The bound: tokens of the query in the union of the group's tokens.
     many = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_GROUP).select(F.col("grp").alias("other"))
@@ -373,10 +401,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     small = written(_possible(small, classes).select("a", "b"), "small-possible")
     wanted = large.select("cls").unionByName(members.select("cls")).unionByName(small.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
     sets = _sets_of(docs, wanted, names)
-    union = sets.join(_bounded(members), "cls").select("grp", F.explode("tokens").alias("token")).distinct()
-    asked = sets.join(_bounded(large), "cls").select("cls", "n", F.col("other").alias("grp"), F.explode("tokens").alias("token"))
-    bound = asked.join(union, ["grp", "token"]).groupBy("cls", "n", "grp").agg(F.count(F.lit(1)).alias("most"))
-    opened = bound.where(100 * F.col("most") >= PERCENT * F.col("n")).select("cls", "n", "grp")
+    opened = _opened(large, sets, grouped)
     inner = written(inside(opened).distinct(), "opened-pairs")
     pairs_far = written(_possible(inner, classes).select("a", "b").unionByName(small), "far-pairs")
     far = _linked(pairs_far, sets)
@@ -391,8 +416,9 @@ def join(docs: DataFrame) -> DataFrame:
     named = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("sig").alias("sig"), F.min("doc_id").alias("any_id")), "classes")
     grouped = written(_grouped(classes, components(links(docs, classes))), "components")
-    least = classes.select("cls", "any_id").join(grouped, "cls").groupBy("grp").agg(F.min("any_id").alias("component"))
-    of = grouped.join(least, "grp").select(F.col("cls").alias("c__"), "component")
-    whole = rows.join(of, (F.col("n") > 0) & (F.col("cls") == F.col("c__")), "left")
+    least = classes.select("cls", "any_id").join(bounded(grouped), "cls").groupBy("grp").agg(F.min("any_id").alias("component"))
+    # Both sides of each join are plain tables, so a hot group or class is split where they are not broadcast.
+    of = written(grouped.join(bounded(written(least, "names")), "grp").select(F.col("cls").alias("c__"), "component"), "class-names")
+    whole = rows.select("doc_id", "n", "cls").join(bounded(of), (F.col("n") > 0) & (F.col("cls") == F.col("c__")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
