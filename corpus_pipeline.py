@@ -25,16 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of linked documents."""
-    found = jaccard_join.join(docs)
-    gone = storage.written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone__")).distinct(), "near-duplicates")
-    small = gone.count() <= jaccard_join.MAX_BROADCAST
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("gone__"), "left_anti")
+    gone_id = storage.fresh(docs.columns, "gone")
+    found = jaccard_join.join(docs).where(F.col("component_id") != F.col("doc_id"))
+    gone = storage.written(found.select(F.col("doc_id").alias(gone_id)).distinct(), "near-duplicates")
+    return docs.join(storage.bounded(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document holds out of the texts."""
-    cut = substring_dedup.dedup(docs).drop("repeat_spans")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Cuts passages that an earlier document holds out of the texts; ``n_chars``, where there is one, follows."""
+    spans = storage.fresh(docs.columns, "spans")
+    cut = substring_dedup.dedup(docs, spans_name=spans)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
