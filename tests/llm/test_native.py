@@ -89,9 +89,9 @@ def contaminated(text, items):
 ITEMS = [(1, "ONE two, three four five six seven eight nine ten eleven twelve"), (10, "two-three FOUR"), (2, "aa aa"), (7, None), (8, " . "), (11, "two three four"), (3, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")]
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**8, -1])
 def test_decontamination_edges(spark, limit, monkeypatch):
-    monkeypatch.setattr(decontamination, "MAX_BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", limit)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame(ROWS, DOCS)
     got = [((r.doc_id or 0), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(docs, bench).collect()]

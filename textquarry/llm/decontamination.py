@@ -2,9 +2,9 @@
 
 Benchmark items are normalised and cut into windows of ``WIDTH`` words (an item of fewer words is one
 window). The distinct windows of all items, keyed by 64-bit hash, are one broadcast hash set as long as
-their measured number stays below ``MAX_BROADCAST_WINDOWS``; beyond it the same equi-join is shuffled. Every
-window of every document probes that set, a hit is verified word by word, and the words that hits
-cover are counted, removed, or lead to the document's removal.
+their measured bytes stay below ``MAX_BROADCAST_BYTES``; beyond it the same equi-join is shuffled. Texts are
+cut into words once, and their windows of all widths that items have probe that set in one pass. A hit is
+verified word by word, and the words that hits cover are counted, removed, or lead to the document's removal.
 
 Null texts have no words. A text without words meets no window. Documents are told apart by
 (doc_id, hash of the text), so repeated rows give the same result each, and equal doc_ids with other texts
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from textquarry.llm.storage import written
 
 WIDTH = 10
-#: Up to 200 bytes each: about 200 MB at most are broadcast.
-MAX_BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows and their items, as measured when they are written, up to which they are broadcast.
+MAX_BROADCAST_BYTES = 48_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that are no letter or digit.
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,14 +37,24 @@ def _window_hash(h: Column, at: Column | int, width: int) -> Column:
     return F.xxhash64(*[F.get(h, at + F.lit(j)) for j in range(width)])
 
 
-def _hashes(w: Column, width: int) -> Column:
-    """Hashes of the windows of ``width`` words; none for shorter texts."""
+def _hashes(w: Column, widths: list[int]) -> Column:
+    """Hashes of the windows of each width, one width after another; a text shorter than a width has none of it."""
 
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: _window_hash(h, i, width))
+        def of(width: int) -> Column:
+            each = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: _window_hash(h, i, width))
+            return F.when(F.size(h) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
-    each = F.get(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), windows), F.lit(0))
-    return F.when(F.size(w) >= width, each).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(*map(of, widths))
+
+    return F.get(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), windows), F.lit(0))
+
+
+def _first_word(place: Column, n: Column, width: Column, widths: list[int]) -> Column:
+    """The first word of the window that stands at ``place`` of ``_hashes``, in a text of n words."""
+    shorter = [F.when(width > k, F.greatest(n - k + 1, F.lit(0))).otherwise(F.lit(0)) for k in widths[:-1]]
+    # Not below 0 where a hash is by chance that of another width: the words then decide.
+    return F.greatest(place - sum(shorter, F.lit(0)), F.lit(0))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -65,32 +75,29 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, at (first word, from 0), width, items of every verified hit."""
     held = written(windows, "benchmark-windows")
     widths = sorted(r.width for r in held.select("width").distinct().collect())  # ``width`` values at most
-    small = held.count() <= MAX_BROADCAST_WINDOWS
-    rows = None
-    for size in widths:
-        h = F.get(_hashes(F.col("win"), size), F.lit(0))
-        set_ = held.where(F.col("width") == size).select(h.alias("h"), "win", "items")
-        cut = _key(docs).select("doc_id", "text_hash", "w", _hashes(F.col("w"), size).alias("hs"))
-        if small:
-            # The outer form: for the inner one the optimizer derives a filter on the array, and pushes it
-            # down with the words spelled out inside the lambda, where each window would cut the text again.
-            probed = cut.select("doc_id", "text_hash", "w", F.posexplode_outer("hs").alias("at", "h")).join(F.broadcast(set_), "h")
-            # Not a plain equality, which would become a join key and be computed for every window.
-            found = probed.where(F.coalesce(F.slice("w", F.col("at") + 1, size) == F.col("win"), F.lit(False)))
-        else:
-            # Only hashes are shuffled; the texts of documents with a hit are looked up again.
-            laid = cut.select("doc_id", "text_hash", F.posexplode_outer("hs").alias("at", "h"))
-            some = laid.join(set_, "h").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
-            per_doc = some.agg(F.collect_set(F.struct("at", "win", "items")).alias("c"))
-            same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-            back = _key(docs).join(per_doc, same).select("doc_id", "text_hash", "w", F.explode_outer("c").alias("c"))
-            found = back.where(F.slice("w", F.col("c.at") + 1, size) == F.col("c.win")).select("doc_id", "text_hash", "c.at", "c.items")
-        found = found.select("doc_id", "text_hash", "at", F.lit(size).alias("width"), "items")
-        rows = found if rows is None else rows.unionByName(found)
-    if rows is None:
-        spark = docs.sparkSession
-        rows = spark.createDataFrame([], "doc_id long, text_hash long, at int, width int, items array<string>")
-    return rows
+    if not widths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, at int, width int, items array<string>")
+    h = F.coalesce(*[F.when(F.col("width") == k, F.get(_hashes(F.col("win"), [k]), F.lit(0))) for k in widths])
+    set_ = held.select(h.alias("h"), "win", "width", "items")
+    cut = _key(docs).select("doc_id", "text_hash", "w", _hashes(F.col("w"), widths).alias("hs"))
+    at = _first_word(F.col("place"), F.col("n"), F.col("width"), widths).alias("at")
+    if held.bytes_ <= MAX_BROADCAST_BYTES:
+        # The outer form: for the inner one the optimizer derives a filter on the array, and pushes it
+        # down with the words spelled out inside the lambda, where each window would cut the text again.
+        probed = cut.select("doc_id", "text_hash", "w", F.posexplode_outer("hs").alias("place", "h")).join(F.broadcast(set_), "h")
+        laid = probed.select("doc_id", "text_hash", "w", "win", "width", "items", "place", F.size("w").alias("n"))
+        found = laid.select("doc_id", "text_hash", "w", "win", "width", "items", at)
+        # Not a plain equality, which would become a join key and be computed for every window.
+        found = found.where(F.coalesce(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win"), F.lit(False)))
+    else:
+        # Only hashes are shuffled; the texts of documents with a hit are looked up again.
+        laid = cut.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode_outer("hs").alias("place", "h"))
+        some = laid.join(set_, "h").select("doc_id", "text_hash", "win", "width", "items", at)
+        per_doc = some.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set(F.struct("at", "win", "width", "items")).alias("c"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+        back = _key(docs).join(per_doc, same).select("doc_id", "text_hash", "w", F.explode_outer("c").alias("c")).select("doc_id", "text_hash", "w", "c.*")
+        found = back.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win"))
+    return found.select("doc_id", "text_hash", "at", "width", "items")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
