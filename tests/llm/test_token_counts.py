@@ -36,12 +36,20 @@ def test_long_sequences(library, held, text):
     assert held.count([text]).tolist() == [len(library.encode(text))]
 
 
-def test_array_and_heap_agree(held):
+def test_both_array_forms_agree(held):
     rng = random.Random(8)
-    for _ in range(300):
-        word = "".join(rng.choice("abceinost") for _ in range(rng.randrange(1, 60)))
-        flat = held.symbol[[ord(c) for c in word]]
-        assert held.survivors(flat, np.array([len(word)])).tolist() == [held.survivors_by_heap(flat.tolist())]
+    for letters in ("abceinost", "ab", "=-", "etionrs") * 8:
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 64))) for _ in range(40)]
+        flat = held.symbol[[ord(c) for c in "".join(words)]]
+        n = np.array([len(w) for w in words])
+        assert held.survivors(flat, n).tolist() == held.survivors_by_rank(flat, n).tolist()
+
+
+def test_long_random_sequences(library, held):
+    rng = random.Random(9)
+    letters = ("abceinost", "ab", "=-", "etionrsh", "ABCDEFGHabcdefgh0123456789+/")
+    texts = ["".join(rng.choice(letters[k % 5]) for _ in range(rng.randrange(65, 4000))) for k in range(100)]
+    assert held.count(texts).tolist() == [len(x) for x in library.encode(texts, num_threads=1)]
 
 
 def test_query(spark, library):

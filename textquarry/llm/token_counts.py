@@ -4,8 +4,8 @@ Rank-synchronous array merging. Texts fall into pre-tokens at places no piece ca
 new to the worker are laid out as one ragged array of symbol ids; in each step every sequence finds its
 own lowest-rank pair (leftmost among equals) by one segmented minimum, all those pairs merge at once, and
 sequences without a pair leave. The symbols that survive are the tokens; a symbol outside the vocabulary
-counts its UTF-8 bytes. Sequences of more than ``MAX_WIDTH`` symbols, where one merge a step would be slow,
-merge through a heap in the same order.
+counts its UTF-8 bytes. In sequences of more than ``MAX_WIDTH`` symbols, where one merge a step would be
+slow, all pairs of the lowest rank merge in one step, as far as that gives the same order.
 
 A null or empty text has no bytes and no tokens. Rows are independent, so repeated rows repeat. An empty
 table gives none. Further columns are not read.
@@ -141,29 +141,61 @@ class PieceCounter:
             rank[before] = self._pair_ranks(flat[before], flat[before + 1])
         return out
 
-    def survivors_by_heap(self, symbols: list[int]) -> int:
-        """The same for one long sequence."""
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        sym = np.array(symbols, np.int64)
-        first = self._pair_ranks(sym[:-1], sym[1:])
-        table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
-        heap = [(int(r), i, symbols[i], symbols[i + 1]) for i, r in enumerate(first.tolist()) if r < _NONE]
-        heapq.heapify(heap)
-        held: list[int | None] = list(symbols)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if held[i] != left or j >= n or held[j] != right:
+    def survivors_by_rank(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for long sequences: a step merges all pairs of the lowest rank and visits no other symbol.
+
+        The sequences stand in one array with a symbol of no pair behind each. Places of pairs wait by rank. Of
+        pairs that overlap every other one merges, from the left. A step ends behind a merge that makes a pair
+        of its own or a lower rank, since that pair comes before those further right.
+        """
+        ends = np.cumsum(n)
+        sym = np.insert(flat, ends, self.size)
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        rank = np.append(self._pair_ranks(sym[:-1], sym[1:]), _NONE)
+        gone = np.zeros(len(sym), bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < _NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            values, first = np.unique(rank[places], return_index=True)
+            for value, some in zip(values.tolist(), np.split(places, first[1:]), strict=False):
+                if value not in waiting:
+                    waiting[value] = []
+                    heapq.heappush(queue, value)
+                waiting[value].append(some)
+
+        wait(np.arange(len(sym)))
+        while queue:
+            lowest = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(lowest)))
+            places = places[rank[places] == lowest]
+            if not len(places):
                 continue
-            held[i], held[j] = table[left * self.n_symbols + right][1], None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (hit := table.get(held[a] * self.n_symbols + held[b])):
-                    heapq.heappush(heap, (hit[0], a, held[a], held[b]))
-        return int(sum(self.weight[s] for s in held if s is not None))
+            nth = np.arange(len(places))
+            heads = np.where(np.append(True, after[places[:-1]] != places[1:]), nth, 0)
+            at = places[(nth - np.maximum.accumulate(heads)) % 2 == 0]
+            right = after[at]
+            beyond = after[right]
+            new = self.merged[self._find(sym[at], sym[right])[0]]
+            left = sym[before[at]]  # in front of the first symbol: the last one, which has no pair
+            side_by_side = np.flatnonzero(beyond[:-1] == at[1:])
+            left[side_by_side + 1] = new[side_by_side]
+            made = np.minimum(self._pair_ranks(left, new), self._pair_ranks(new, sym[beyond]))
+            stop = np.flatnonzero(made <= lowest)
+            if len(stop):
+                end = stop[0] + 1
+                at, right, beyond, new = at[:end], right[:end], beyond[:end], new[:end]
+            sym[at], after[at], before[beyond] = new, beyond, at
+            rank[right], gone[right] = _NONE, True
+            front = before[at]
+            changed = np.unique(np.concatenate((at, front[front >= 0])))
+            rank[changed] = self._pair_ranks(sym[changed], sym[after[changed]])
+            wait(changed)
+            if len(stop):
+                wait(places[places > at[-1]])
+        return np.add.reduceat(np.where(gone, 0, self.weight[sym]), ends - n + np.arange(len(n)))
 
     def _count_units(self, units: list[str]) -> np.ndarray:
         texts = [SPACE + u.replace(" ", SPACE) for u in units]
@@ -182,8 +214,8 @@ class PieceCounter:
         short = n <= MAX_WIDTH
         if short.any():
             counts[short] = self.survivors(flat[np.repeat(short, n)], n[short])
-        for k in np.flatnonzero(~short):
-            counts[k] = self.survivors_by_heap(flat[starts[k] : starts[k] + n[k]].tolist())
+        if not short.all():
+            counts[~short] = self.survivors_by_rank(flat[np.repeat(~short, n)], n[~short])
         return np.add.reduceat(counts, np.searchsorted(starts, first))
 
     def count(self, texts: list[str]) -> np.ndarray:
