@@ -50,8 +50,9 @@ MAX_GROUPS = 256
 BLOCK = 256
 #: Groups of so few members are opened without a bound: their union would cost more than the comparison.
 SMALL_GROUP = 4
-#: Counters that tell frequent tokens; collisions only change the order of tokens.
-COUNTERS = 1 << 20
+#: Counters that tell frequent tokens, a power of two; collisions only change the order of tokens. They move in blocks.
+COUNTERS = 1 << 22
+COUNTER_BLOCK = 1 << 12
 BATCH_BYTES = 2_000_000
 #: Tokens of a group's union in a row, about; larger unions are cut by the token.
 UNION_ROW = 50_000
@@ -153,26 +154,43 @@ def profiles(docs: DataFrame) -> DataFrame:
     return _plain(docs).mapInArrow(lean("sets", task), "doc_id long, n long, cls long, low array<long>, sig array<long>")
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> _U(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
 def token_levels(docs: DataFrame) -> np.ndarray:
     """A level for each counter: 0 for usual tokens, more the more frequent they are. COUNTERS bytes."""
 
-    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int64)
+    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.uint32)
         for batch in _parts(stream):
             for _, s in _sets(batch, 1):
-                np.add.at(held, (s >> _U(44)).astype(np.int64), 1)
-        some = np.flatnonzero(held)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], ["counter", "n"])
-
-    sums = written(_plain(docs).mapInArrow(lean("sets", task), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")), "counters")
+                np.add.at(held, _counter(s), 1)
+        # Past 65,535 in one task a token is frequent, however often it comes.
+        blocks = np.minimum(held, 65_535).astype("<u2").reshape(-1, COUNTER_BLOCK)
+        del held
+        for k in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()])], ["block", "counts"])
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums.setdefault(k, np.zeros(COUNTER_BLOCK, np.int64))
+                sums[k] += np.frombuffer(counts.as_buffer(), "<u2")
+        for k, total in sums.items():
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k * COUNTER_BLOCK + some), pa.array(total[some])], ["counter", "n"])
+
+    counted = _plain(docs).mapInArrow(lean("sets", count), "block int, counts binary")
+    sums = written(counted.repartition("block").mapInArrow(lean("sets", add), "counter long, n long"), "counters")
     mean = (sums.agg(F.sum("n")).first()[0] or 0) / COUNTERS
     least = mean + 6 * mean**0.5 + 16  # beyond what usual tokens add up to by chance
     levels = np.zeros(COUNTERS, np.uint8)
-    # COUNTERS rows at most.
-    for r in sums.where(F.col("n") > least).collect():
-        levels[r.counter] = min(255, 1 + int(8 * np.log2(r.n / least)))
+    frequent = sums.where(F.col("n") > least).toArrow()  # COUNTERS rows at most
+    if frequent.num_rows:
+        level = 1 + (8 * np.log2(frequent["n"].to_numpy() / least)).astype(np.int64)
+        levels[frequent["counter"].to_numpy()] = np.minimum(level, 255)
     return levels
 
 
@@ -192,7 +210,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)  # copies side by side are laid out once
-                order = np.argsort(level[(s >> _U(44)).astype(np.int64)], kind="stable")
+                order = np.argsort(level[_counter(s)], kind="stable")
                 first = s[order[: prefix_size(len(s))]]
                 tokens.append(first)
                 owners.append(np.full(len(first), c, np.int64))
