@@ -67,7 +67,7 @@ def fixture(seed):
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"PIVOTS": 0, "BATCH_BYTES": 300, "SMALL_GROUP": 0, "UNION_ROW": 20}, {"MAX_GROUPS": 1, "PIVOTS": 0, "BLOCK": 8}, {"MAX_BROADCAST_BYTES": 0, "MAX_GROUPS": 2}])
+@pytest.mark.parametrize("settings", [{}, {"SHARE": 0, "PIVOTS": 0}, {"SHARE": 1, "PIVOTS": 0}, {"PIVOTS": 0, "BATCH_BYTES": 300, "SMALL_GROUP": 0, "UNION_ROW": 20}, {"MAX_GROUPS": 1, "PIVOTS": 0, "BLOCK": 8}, {"MAX_BROADCAST_BYTES": 0, "MAX_GROUPS": 2}])
 def test_random_texts(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(storage if k == "MAX_BROADCAST_BYTES" else jaccard_join, k, v)

@@ -7,9 +7,10 @@
    parity of the tokens of each of its places, so two differ in no more places than their sets in tokens.
 3. The matrix: tokens against groups. Tokens are taken in one global order, frequent ones last, and of a set of n
    only the first n - ceil(t n) + 1 are laid out: two sets that link share one of those. A token that stands
-   in one group only is left out; the others give candidates, a class (query) and another group. A candidate
-   stays if the two have enough of those tokens in common: with sizes n and m, a link has 3 (n + m) / 7 tokens in
-   common, and beyond the first tokens there are less than t max(n, m).
+   in one group only is left out; the others give candidates, a class (query) and another group. With sizes n and m,
+   a link has 3 (n + m) / 7 tokens in common, so the first l of them stand so early in both sets that the rest fits
+   behind them. Only cells whose places allow that meet, and a candidate stays if l of them do. ``SHARE`` sets l,
+   between 1 and what the first tokens laid out can hold.
 4. A candidate's bound is the number of the query's tokens in the group's token union. No member can link
    if it is below t n. Only groups that qualify are opened, and the query is compared with their members exactly.
    Tokens of more than ``MAX_GROUPS`` groups go another exact way: their classes are compared block by block,
@@ -48,6 +49,8 @@ SIGNATURE_BITS = 1024
 #: Groups of one token that are candidates of each other; larger lists are compared in blocks.
 MAX_GROUPS = 256
 BLOCK = 256
+#: Of the tokens that a link must have among the first ones, the part that is asked for: less of it, fewer cells meet, but more pairs stay.
+SHARE = 0.25
 #: Groups of so few members are opened without a bound: their union would cost more than the comparison.
 SMALL_GROUP = 4
 #: Counters that tell frequent tokens, a power of two; collisions only change the order of tokens. They move in blocks.
@@ -199,13 +202,13 @@ def prefix_size(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """token, cls: the first tokens of every set in the global order (level, hash)."""
+    """token, cls, at: the first tokens of every set in the global order (level, hash), and their places in it."""
     held = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for batch in _parts(stream):
-            seen, tokens, owners = set(), [], []
+            seen, tokens, owners, places = set(), [], [], []
             for _, s in _sets(batch, 1):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -214,39 +217,40 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 first = s[order[: prefix_size(len(s))]]
                 tokens.append(first)
                 owners.append(np.full(len(first), c, np.int64))
+                places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners))], ["token", "cls"])
+                columns = np.concatenate(tokens).astype(np.int64), np.concatenate(owners), np.concatenate(places)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "at"])
 
-    return _plain(docs).mapInArrow(lean("sets", task), "token long, cls long")
+    return _plain(docs).mapInArrow(lean("sets", task), "token long, cls long, at int")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
     """The distinct rows whose token stands in two classes or more, in one pass over sorted rows."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row that is not out yet
+        last, was_out = [], False  # the last row, and whether it is out already
         for batch in stream:
-            t, c = (batch.column(k).to_numpy() for k in (0, 1))
-            if last is not None:
-                t, c = np.append(last[0], t), np.append(last[1], c)
-                was_out = last[2]
-            else:
-                was_out = False
+            columns = [batch.column(k).to_numpy() for k in range(3)]
+            if last:
+                columns = [np.append(x, y) for x, y in zip(last, columns, strict=True)]
+            t, c, _ = columns
             if not len(t):
                 continue
+            # A class has a token at one place, so rows of equal token and class are equal.
             new = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-            t, c = t[new], c[new]
+            t, c, at = columns = [x[new] for x in columns]
             same = t[1:] == t[:-1]
             out = np.append(False, same) | np.append(same, False)
             out[0] |= was_out
             emit = out.copy()
             emit[0] &= not was_out
             # The last row stays until it is known whether the next one has its token.
-            last = (t[-1:], c[-1:], bool(out[-1]))
+            last, was_out = [x[-1:] for x in columns], bool(out[-1])
             if emit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[emit]), pa.array(c[emit])], ["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in columns], ["token", "cls", "at"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lean("sets", task), "token long, cls long")
+    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lean("sets", task), "token long, cls long, at int")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
@@ -379,6 +383,26 @@ def _opened(candidates: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataF
     return written(bound.where(100 * F.col("most") >= PERCENT * F.col("n")).select("cls", "n", "grp"), "opened")
 
 
+def _candidates(matrix: DataFrame, widths: DataFrame, grouped: DataFrame) -> DataFrame:
+    """cls, n, other: queries and the groups that have enough tokens in common with them, at places early enough."""
+    usual = widths.where(F.col("groups") <= MAX_GROUPS).select("token")
+    sizes = written(grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
+    # How far a query's size may go for a member's token to be one of the first in common: P n <= room.
+    room = F.max(100 * F.col("n") - (100 + PERCENT) * F.col("at")).alias("room")
+    cells = matrix.join(usual, "token", "left_semi").groupBy("token", F.col("grp").alias("other")).agg(room).join(bounded(sizes), "other")
+    # Sizes of members that can link; the need is least at one of the two ends.
+    t, n = PERCENT / 100, F.col("n")
+    low, high = F.greatest("lo", F.ceil(t * n)), F.least("hi", F.floor(n / t))
+    need = lambda m: PERCENT / (100 + PERCENT) * (n + m) - t * F.greatest(n, m)
+    least = SHARE * F.least(need(low), need(high))
+    # The first l tokens in common have the other ones behind them in both sets; l is below ``least`` + 1.
+    early = (100 + PERCENT) * (n - F.col("at") + least) >= PERCENT * (n + low) - 1e-6
+    fits = (100 + PERCENT) * least + F.col("room") >= PERCENT * n - 1e-6
+    met = matrix.join(cells, "token").where((F.col("grp") != F.col("other")) & (low <= high) & early & fits)
+    shared = met.groupBy("cls", "n", "other").agg(F.count(F.lit(1)).alias("shared"), F.first(least).alias("least"))
+    return shared.where(F.col("shared") >= F.col("least") - 1e-6).select("cls", "n", "other")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between classes that connect all that are connected. classes: cls, n, low, sig, any_id."""
     names = classes.select("cls", "any_id")
@@ -389,24 +413,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sweep(docs.sparkSession)
 
     rows = shared_tokens(prefixes(docs, token_levels(docs)))
-    matrix = written(rows.join(bounded(grouped), "cls").select("token", "cls", "n", "grp"), "matrix")
+    matrix = written(rows.join(bounded(grouped), "cls").select("token", "cls", "at", "n", "grp"), "matrix")
     del rows
     sweep(docs.sparkSession)
-    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
-    widths = written(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1), "widths")
-    usual = widths.where(F.col("groups") <= MAX_GROUPS).select("token")
-    met = matrix.join(cells.join(usual, "token").withColumnRenamed("grp", "other"), "token").where(F.col("grp") != F.col("other"))
-    # Members with the token whose sizes allow no link need not be counted.
-    met = met.where((100 * F.col("to_n") >= PERCENT * F.col("n")) & (PERCENT * F.col("from_n") <= 100 * F.col("n")))
-    shared = met.groupBy("cls", "n", "other").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    # Sizes of members that can link; the need is least at one of the two ends.
-    t, n = PERCENT / 100, F.col("n")
-    low, high = F.greatest("lo", F.ceil(t * n)), F.least("hi", F.floor(n / t))
-    need = lambda m: PERCENT / (100 + PERCENT) * (n + m) - t * F.greatest(n, m)
-    enough = (low <= high) & (F.col("shared") >= F.least(need(low), need(high)) - 1e-6)
-    candidates = shared.join(sizes, "other").where(enough).select("cls", "n", "other")
-    candidates = written(candidates, "candidates")
+    widths = written(matrix.groupBy("token").agg(F.count_distinct("grp").alias("groups")).where(F.col("groups") > 1), "widths")
+    candidates = written(_candidates(matrix, widths, grouped), "candidates")
     sweep(docs.sparkSession)
 
     # The bound: tokens of the query in the union of the group's tokens.
