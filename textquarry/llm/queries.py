@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import (
+    collocations,
     decontamination,
     jaccard_join,
     packing,
@@ -76,6 +77,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 #: SQL for op10: overlaps of all pairs that share a shingle, and a recursive walk over the links.
 _OP10_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -103,6 +108,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: SQL for op13: every phrase counted, every cut scored, and every longer candidate looked at, not only those of one word more.
+_OP13_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM c WHERE k > 1),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (x.a + y.a) AS BIGINT) AS score
+      FROM cuts JOIN c x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN c y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+within AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM (SELECT DISTINCT lang, k, phrase, a, w FROM cuts)),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM within WHERE within.lang = best.lang AND within.phrase = best.phrase AND 100 * CAST(within.a AS HUGEINT) >= 80 * CAST(best.a AS HUGEINT)))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict:
     return {
@@ -116,8 +137,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL}
+    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL, "op13_collocations": _OP13_SQL}
