@@ -11,6 +11,7 @@ from textquarry.llm import (
     decontamination,
     jaccard_join,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -77,6 +78,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: SQL for op12: nodes are lists of turns, and each adds to the totals of all lists that it starts with.
+_OP12_SQL = """
+WITH o AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, list(x ORDER BY pos) AS w, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS digits FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, w, xor(list_reduce(list_prepend(4294967295, digits), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, k: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 9 AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(f.w, [])[1:h], h.w[h + 1:]) AS w FROM h LEFT JOIN t f ON f.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d, w[1:d] AS p, len(w) = d AS ends FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].t) END AS own FROM m GROUP BY p, d),
+up AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN up ON up.p = n.p AND up.d = n.d),
+total AS (SELECT p[1:e] AS p, e AS d, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM k) GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, parent.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(k.ids) AS ends_sha256
+FROM k JOIN total ON total.p = k.p AND total.d = k.d LEFT JOIN n parent ON parent.d = k.d - 1 AND parent.p = k.p[1:k.d - 1]
+"""
+
 #: SQL for op13: every phrase counted, every cut scored, and every longer candidate looked at, not only those of one word more.
 _OP13_SQL = """
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
@@ -137,9 +157,10 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL, "op13_collocations": _OP13_SQL}
+    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL, "op12_prefix_trie": _OP12_SQL, "op13_collocations": _OP13_SQL}
