@@ -20,6 +20,7 @@ from textquarry.llm import (
     token_counts,
     token_files,
     toxicity,
+    warc,
 )
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -78,6 +79,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = storage.new_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -113,6 +120,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: SQL for op11.
+_OP11_SQL = """
+SELECT page_id, strlen(p) AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM (SELECT page_id, p, CASE WHEN strlen(p) >= 1000 THEN max(page_id) OVER (PARTITION BY p) ELSE page_id END AS keeper FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
+"""
+
 #: SQL for op12: nodes are lists of turns, and each adds to the totals of all lists that it starts with.
 _OP12_SQL = """
 WITH o AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
@@ -157,10 +170,11 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_warc": op11_warc,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL, "op12_prefix_trie": _OP12_SQL, "op13_collocations": _OP13_SQL}
+    return {"op4_decontamination": _OP4_SQL, "op10_jaccard_join": _OP10_SQL, "op11_warc": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_collocations": _OP13_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textquarry.sources.shared import new_folder, shared_dir
 
-__all__ = ["bounded", "create", "drop", "fresh", "mapped", "new_folder", "shared_dir", "small_batches", "sweep", "written"]
+__all__ = ["bounded", "chunks", "create", "drop", "fresh", "mapped", "new_folder", "remove", "rename", "shared_dir", "small_batches", "sweep", "written"]
 
 
 @contextmanager
@@ -53,9 +54,13 @@ def fresh(columns: list[str], name: str) -> str:
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at_)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table.written_at_)
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder and what it holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -124,3 +129,39 @@ def mapped(path: str, dtype) -> np.ndarray:
     store, inner = fs.FileSystem.from_uri(path)
     with store.open_input_file(inner) as src:
         return np.frombuffer(src.read(), dtype)
+
+
+def chunks(path: str, size: int = 1 << 18) -> Iterator[bytes]:
+    """A file's bytes, a piece at a time."""
+    local = _local(path)
+    if local is not None:
+        with open(local, "rb") as src:
+            while piece := src.read(size):
+                yield piece
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner) as src:
+        while piece := src.read(size):
+            yield piece
+
+
+def rename(source: str, target: str, size: int) -> None:
+    """Gives a file of ``size`` bytes its name; done again, it finds the file in place and leaves it."""
+    local = _local(source)
+    if local is not None:
+        there = _local(target)
+        if os.path.exists(local):
+            os.replace(local, there)
+        elif not os.path.exists(there) or os.path.getsize(there) != size:
+            raise FileNotFoundError(source)
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(source)
+    there = fs.FileSystem.from_uri(target)[1]
+    if store.get_file_info(inner).type == fs.FileType.File:
+        store.move(inner, there)
+    elif store.get_file_info(there).size != size:
+        raise FileNotFoundError(source)
