@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.storage import written
+from textquarry.llm.storage import fresh, quoted, written
 
 WIDTH = 10
 #: Bytes of windows and their items, as measured when they are written, up to which they are broadcast.
@@ -137,8 +137,9 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_hit: int = 1) -> DataFrame:
     """The rows of ``docs`` with fewer than ``min_hit`` hit words, all columns as they were."""
-    bad = written(spans(docs, benchmark, width).where(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("d__"), F.col("text_hash").alias("t__")), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d__")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t__"))
+    d, t = (fresh(docs.columns, x) for x in ("d", "t"))
+    bad = written(spans(docs, benchmark, width).where(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)), "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
     return docs.join(bad, same, "left_anti")
 
 
@@ -147,10 +148,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
 
     A text is taken as words and the breaks before them; a hit word goes with its break.
     """
-    found = written(spans(docs, benchmark, width).select(F.col("doc_id").alias("d__"), F.col("text_hash").alias("t__"), F.col("marks").alias("m__")), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d__")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t__"))
+    d, t, m = (fresh(docs.columns, x) for x in ("d", "t", "m"))
+    found = written(spans(docs, benchmark, width).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("marks").alias(m)), "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
     tokens = F.regexp_extract_all(F.col("text"), F.lit(r"([\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
-    covered = F.array_distinct(F.flatten(F.transform("m__", lambda m: F.sequence(m["start"], m["start"] + m["width"] - 1))))
+    covered = F.array_distinct(F.flatten(F.transform(m, lambda x: F.sequence(x["start"], x["start"] + x["width"] - 1))))
 
     def kept(k: Column) -> Column:
         # The difference of positions is hash-based, so long texts stay linear.
@@ -159,4 +161,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
 
     cut = F.get(F.transform(F.array(tokens), kept), F.lit(0))  # the tokens are made once
     joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("m__").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(m).isNotNull(), cut).otherwise(F.col("text"))).select(*quoted(docs.columns))

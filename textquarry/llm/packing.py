@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.token_files import TokenFiles, nullable_ids, per_part, write
+from textquarry.llm.token_files import Part, TokenFiles, nullable_ids, per_part, write
 
 LENGTH = 2048
 #: Documents cut at once.
@@ -43,9 +43,9 @@ def _cuts(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 def pieces(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
 
-    def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs, nulls = held.open(k)
-        base = held.parts[k][4]
+    def job(held: Part, opened: tuple) -> Iterator[pa.RecordBatch]:
+        ids, offsets, docs, nulls = opened
+        base = held.id_base
         for at in range(0, len(docs), RUN):
             bounds = offsets[at : at + RUN + 1].astype(np.int64) + base
             starts, ends = bounds[:-1], bounds[1:]
@@ -74,9 +74,9 @@ def pieces(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> Data
 def sequences(spark: SparkSession, files: TokenFiles, length: int = LENGTH) -> DataFrame:
     """sequence_id and its ids; windows inside one part come straight from its file."""
 
-    def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, _, _, _ = held.open(k)
-        base, n = held.parts[k][4], len(ids)
+    def job(held: Part, opened: tuple) -> Iterator[pa.RecordBatch]:
+        ids = opened[0]
+        base, n = held.id_base, len(ids)
         at = 0
         while at < n:
             window = (base + at) // length

@@ -27,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.labelled import held_out, learnable, logistic, training_rows
-from textquarry.llm.storage import drop, written
+from textquarry.llm.storage import by_place, drop, written
 from textquarry.llm.token_counts import runs
 from textquarry.llm.workers import lean
 
@@ -46,6 +47,8 @@ _SURE_LOGIT = math.log(SURE / (1 - SURE))
 #: Edges of a feature's bins: its quantiles, closer at both ends, where the odd documents are.
 QUANTILES = [0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.25, 0.33, 0.42, 0.5, 0.58, 0.67, 0.75, 0.84, 0.92, 0.96, 0.98, 0.99, 0.995]
 STEPS = 12
+#: Tasks that add up what the others have summed.
+ADDERS = 8
 FOLDS = 5
 MAX_NAMES = 1000
 BATCH_CHARS = 1_000_000
@@ -203,18 +206,36 @@ def _newton(sums: list[list], c: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def _pool_sums(pool: DataFrame, views: list[View], past: list) -> list | None:
-    """Sums of both views over what they have been given; one small row a task comes back."""
+    """Sums of both views over what they have been given: a row a task, added up in ``ADDERS`` tasks, whose rows come back.
+
+    One job over all partitions. Sums are added in the order of partitions, so they are the same each time.
+    """
+    if not past:
+        return None
+
+    def packed(part: int, total: list | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([zlib.compress(pickle.dumps(total), 1)], pa.binary())})
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for ids, part in _batches(stream):
             labels = given(ids, part, past)
             total = _plus(total, [view.sums(part[v], labels[v]) for v, view in enumerate(views)])
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(total), 1)], pa.binary())], ["sums"])
+        yield from packed(TaskContext.get().partitionId(), total)
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = 0, None
+        for batch in stream:
+            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = part if total is None else first
+                total = _plus(total, pickle.loads(zlib.decompress(sums)))
+        yield from packed(first, total)
 
+    schema = "part int, sums binary"
+    rows = pool.mapInArrow(lean("quality", task), schema).repartition(ADDERS, "part").sortWithinPartitions("part")
     total = None
-    for row in pool.mapInArrow(lean("quality", task), "sums binary").toLocalIterator() if past else []:
+    for row in sorted(rows.mapInArrow(lean("quality", add), schema).collect()):
         total = _plus(total, pickle.loads(zlib.decompress(bytes(row.sums))))
     return total
 
@@ -364,7 +385,7 @@ def _map(docs: DataFrame, model: dict, columns: list[str], schema: str, keep) ->
                 lists = [part.column(at[c]).to_pylist() for c in ("lang", "source", "text")]
                 yield keep(part, _scores(model, *lists))
 
-    return docs.select(*columns).mapInArrow(lean("quality", task), schema)
+    return by_place(columns, docs).mapInArrow(lean("quality", task), schema)
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -386,7 +407,8 @@ def keep_good(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
     def out(part: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
         return part.filter(pa.array(found[2] >= at_least))
 
-    return _map(docs, model, docs.columns, docs.schema, out)
+    placed = by_place(docs.columns, docs).schema
+    return _map(docs, model, docs.columns, placed, out).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textquarry.sources.shared import new_folder, shared_dir
 
-__all__ = ["bounded", "chunks", "create", "drop", "fresh", "mapped", "new_folder", "remove", "rename", "shared_dir", "small_batches", "sweep", "written"]
+__all__ = ["bounded", "by_place", "chunks", "create", "drop", "fresh", "mapped", "new_folder", "quoted", "remove", "rename", "shared_dir", "small_batches", "sweep", "written"]
 
 
 @contextmanager
@@ -51,6 +51,16 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """The names as Spark's expressions take them, whatever they hold."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
+def by_place(columns: list[str], df: DataFrame) -> DataFrame:
+    """The columns named by their places: what goes to Python workers can't have any name. ``toDF`` gives the names back."""
+    return df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(quoted(columns))])
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for table in tables:
@@ -77,7 +87,7 @@ def _row_bytes(table: DataFrame) -> Column:
     """Bytes of a row in memory: numbers take 8, strings and arrays what they hold; the row itself about 40."""
     total = F.lit(40).cast("long")
     for field in table.schema.fields:
-        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        kind, c = field.dataType.typeName(), F.col(quoted([field.name])[0])
         size = F.lit(8)
         if kind in ("string", "binary"):
             size = F.coalesce(F.octet_length(c), F.lit(0)) + 16

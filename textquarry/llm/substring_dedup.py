@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from textquarry.llm.storage import bounded, fresh, written
+from textquarry.llm.storage import bounded, by_place, fresh, quoted, written
 from textquarry.llm.token_counts import runs
 from textquarry.llm.workers import lean
 
@@ -193,7 +193,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, spans_name: str = "repeat_spa
     found = repeats(docs).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("repeats").alias(r))
     text = docs.withColumn(own, _text_hash(F.col("text").cast("string")))
     same = text["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h))
-    joined = text.join(found, same, "left").select(*[text[c] for c in docs.columns], r)
+    joined = text.join(found, same, "left").select(*[text[c] for c in quoted(docs.columns)], r)
     names = docs.columns
     text_at, r_at = names.index("text"), len(names)
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("owners", pa.list_(pa.int64()))]))
@@ -221,10 +221,12 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, spans_name: str = "repeat_spa
                 for k, t in new.items():
                     held[k] = t
                 columns[text_at] = pa.array(held, texts.type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, arrow_span)], [*names, spans_name])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, arrow_span)], [f"c{i}" for i in range(len(names) + 1)])
 
     span = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType()), StructField("owners", ArrayType(LongType()))]))
-    return joined.mapInArrow(lean("chunks", task), StructType([*docs.schema.fields, StructField(spans_name, span)]))
+    placed = by_place(joined.columns, joined)
+    out = StructType([*placed.schema.fields[:-1], StructField(f"c{len(names)}", span)])
+    return placed.mapInArrow(lean("chunks", task), out).toDF(*names, spans_name)
 
 
 def report(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

@@ -17,6 +17,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +35,41 @@ from textquarry.llm.workers import lean
 BATCH_BYTES = 2_000_000
 
 
+class Part(NamedTuple):
+    name: str
+    documents: int
+    ids: int
+    #: Numbers of the first document and of the first id.
+    document_base: int
+    id_base: int
+
+    def open(self, folder: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets in the part, document ids and which of these are null."""
+        stem = f"{folder}/{self.name}"
+        return storage.mapped(f"{stem}.bin", dtype), storage.mapped(f"{stem}.off", "<u8"), storage.mapped(f"{stem}.doc", "<i8"), storage.mapped(f"{stem}.nul", "|u1")
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     folder: str
     dtype: str
-    #: (part name, documents, ids, first document's number, first id's number) in order.
-    parts: tuple[tuple[str, int, int, int, int], ...]
+    #: In order.
+    parts: tuple[Part, ...]
 
     @property
     def n_tokens(self) -> int:
-        return sum(p[2] for p in self.parts)
+        return sum(p.ids for p in self.parts)
 
     def manifest(self) -> str:
-        keys = ("name", "documents", "ids", "document_base", "id_base")
-        return json.dumps({"dtype": self.dtype, "parts": [dict(zip(keys, p, strict=True)) for p in self.parts]})
+        return json.dumps({"dtype": self.dtype, "parts": [p._asdict() for p in self.parts]})
 
     def open(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, offsets in the part, document ids of part k and which of these are null."""
-        stem = f"{self.folder}/{self.parts[k][0]}"
-        return storage.mapped(f"{stem}.bin", self.dtype), storage.mapped(f"{stem}.off", "<u8"), storage.mapped(f"{stem}.doc", "<i8"), storage.mapped(f"{stem}.nul", "|u1")
+        return self.parts[k].open(self.folder, self.dtype)
 
 
 def load(folder: str) -> TokenFiles:
     spec = json.loads(bytes(storage.mapped(f"{folder}/manifest", np.uint8)))
-    return TokenFiles(folder, spec["dtype"], tuple(tuple(p.values()) for p in spec["parts"]))
+    return TokenFiles(folder, spec["dtype"], tuple(Part(**p) for p in spec["parts"]))
 
 
 def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -109,7 +121,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, in_o
         done = sorted(rows.mapInArrow(lean("tokens", task), "part long, name string, documents long, ids long").collect())
     parts, n_docs, n_ids = [], 0, 0
     for row in done:
-        parts.append((row["name"], row["documents"], row["ids"], n_docs, n_ids))
+        parts.append(Part(row["name"], row["documents"], row["ids"], n_docs, n_ids))
         n_docs, n_ids = n_docs + row["documents"], n_ids + row["ids"]
     files = TokenFiles(folder, dtype, tuple(parts))
     with storage.create(f"{folder}/manifest") as out:
@@ -118,17 +130,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, in_o
 
 
 def per_part(spark: SparkSession, files: TokenFiles, job, schema: str) -> DataFrame:
-    """``job(files, k)`` yields record batches for part k; one task a part."""
-    n = len(files.parts)
-    if not n:
+    """``job(part, files of the part)`` yields record batches; one task a part, which is told of its own part alone."""
+    if not files.parts:
         return spark.createDataFrame([], schema)
+    folder, dtype = files.folder, files.dtype
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for k in batch.column(0).to_pylist():
-                yield from job(files, k)
+            for row in batch.drop_columns(["k"]).to_pylist():
+                part = Part(**row)
+                yield from job(part, part.open(folder, dtype))
 
-    return spark.range(0, n, 1, n).mapInArrow(lean("tokens", task), schema)
+    listed = spark.createDataFrame([(k, *p) for k, p in enumerate(files.parts)], "k int, name string, documents long, ids long, document_base long, id_base long")
+    return listed.repartitionById(len(files.parts), F.col("k")).mapInArrow(lean("tokens", task), schema)
 
 
 def nullable_ids(ids: np.ndarray, nulls: np.ndarray) -> pa.Array:
@@ -138,12 +152,12 @@ def nullable_ids(ids: np.ndarray, nulls: np.ndarray) -> pa.Array:
 def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """Every document as the files hold it: doc_id, start (ids before it), ids."""
 
-    def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs, nulls = held.open(k)
+    def job(held: Part, opened: tuple) -> Iterator[pa.RecordBatch]:
+        ids, offsets, docs, nulls = opened
         for at in range(0, len(docs), 256):
             part = offsets[at : at + 257].astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(ids[part[0] : part[-1]].astype(np.int32)))
-            starts = pa.array(part[:-1] + held.parts[k][4], pa.int64())
+            starts = pa.array(part[:-1] + held.id_base, pa.int64())
             yield pa.RecordBatch.from_arrays([nullable_ids(docs[at : at + 256], nulls[at : at + 256]), starts, lists], ["doc_id", "start", "ids"])
 
     return per_part(spark, files, job, "doc_id long, start long, ids array<int>")
@@ -152,13 +166,13 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
 def digest(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the mapped files."""
 
-    def job(held: TokenFiles, k: int) -> Iterator[pa.RecordBatch]:
-        ids, offsets, docs, nulls = held.open(k)
+    def job(held: Part, opened: tuple) -> Iterator[pa.RecordBatch]:
+        ids, offsets, docs, nulls = opened
         for at in range(0, len(docs), 8192):
             part = offsets[at : at + 8193].astype(np.int64)
             sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(part[:-1], part[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [nullable_ids(docs[at : at + 8192], nulls[at : at + 8192]), pa.array(part[:-1] + held.parts[k][4], pa.int64()), pa.array(np.diff(part), pa.int64()), pa.array(sums, pa.int64())],
+                [nullable_ids(docs[at : at + 8192], nulls[at : at + 8192]), pa.array(part[:-1] + held.id_base, pa.int64()), pa.array(np.diff(part), pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
