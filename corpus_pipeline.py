@@ -37,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = substring_dedup.dedup(docs, spans_name=spans)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*storage.quoted(docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
