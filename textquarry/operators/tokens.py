@@ -10,13 +10,13 @@ from textquarry.functions import tokenize
 from textquarry.functions.uax29 import words_any_script
 
 
-def tokens(corpus: DataFrame, scope: Scope, any_script: bool = False) -> DataFrame:
-    """One row an item: ``token``. Oversize items are left out, empty lines are items."""
+def tokens(corpus: DataFrame, scope: Scope, any_script: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row an item: ``token``, after the columns to ``keep``. Oversize items are left out, empty lines are items."""
     text = F.col("text")
     arr = words_of(text, any_script) if scope is Scope.WORD else tokenize.items(text, scope)
     # The outer form: for the inner one the optimizer adds a filter on the array, which cuts every text twice.
     # Its null for a text without items falls to the size guard.
-    return corpus.select(F.explode_outer(arr).alias("token")).where(tokenize.within_size(F.col("token"), scope))
+    return corpus.select(*keep, F.explode_outer(arr).alias("token")).where(tokenize.within_size(F.col("token"), scope))
 
 
 def words_of(text: Column, any_script: bool = False) -> Column:

@@ -1,6 +1,7 @@
 """The persisted indexes: six Parquet datasets, sorted so that scans can skip row groups.
 
-Layout: ``<root>/scope=<word|line>/type=<trie|suffix|ngram>/``. Every dataset holds distinct tokens with
+``build_all`` and what follows it keep versions (see ``store``); ``build_index`` writes a single one to
+``<root>/scope=<word|line>/type=<trie|suffix|ngram>/``. Every dataset holds distinct tokens with
 their multiplicity; lines also hold their words. ``trie`` is sorted by token, ``suffix`` by the reversed
 token, ``ngram`` by token; ``postings`` (optional) maps each interior bigram to the tokens that hold it.
 """
@@ -10,59 +11,44 @@ from __future__ import annotations
 import logging
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.enums import Scope, SearchType
 from textquarry.operators.search import TOP_K, predicate, rank
 from textquarry.operators.tokens import bigrams, counted, item_bigrams, tokens, with_line_words
+from textquarry.plans import store
 
 log = logging.getLogger(__name__)
-ALL = [(s, k) for s in Scope for k in SearchType]
 
 
 def index_path(root: str, scope: Scope, kind: SearchType) -> str:
     return f"{root}/scope={scope.value}/type={kind.index_name}"
 
 
-def _clustered(items: DataFrame, kind: SearchType) -> DataFrame:
-    key = "token"
-    if kind is SearchType.SUFFIX:
-        items, key = items.withColumn("token_rev", F.reverse("token")), "token_rev"
-    return items.repartitionByRange(key).sortWithinPartitions(key)
-
-
-def _write(items: DataFrame, scope: Scope, kind: SearchType, root: str, mode: str = "overwrite") -> None:
-    _clustered(items, kind).write.mode(mode).parquet(index_path(root, scope, kind))
-
-
 def _items(corpus: DataFrame, scope: Scope, any_script: bool) -> DataFrame:
     items = counted(tokens(corpus, scope, any_script))
     return with_line_words(items, any_script) if scope is Scope.LINE else items
 
 
 def build_index(corpus: DataFrame, scope: Scope, kind: SearchType, root: str, any_script: bool = False) -> None:
-    """One index; replaces what stands at its place."""
-    _write(_items(corpus, Scope(scope), any_script), Scope(scope), SearchType(kind), root)
+    """One index, without versions; replaces what stands at its place."""
+    scope, kind = Scope(scope), SearchType(kind)
+    store._clustered(_items(corpus, scope, any_script), kind).write.mode("overwrite").parquet(index_path(root, scope, kind))
 
 
-def _write_all(corpus: DataFrame, root: str, mode: str, any_script: bool) -> None:
-    for scope in Scope:
-        items = _items(corpus, scope, any_script).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for kind in SearchType:
-                _write(items, scope, kind, root, mode)
-        finally:
-            items.unpersist()
+def load_one(spark: SparkSession, root: str, scope: Scope, kind: SearchType) -> dict[tuple[Scope, SearchType], DataFrame]:
+    """What ``build_index`` wrote, for ``search``; all other searches of it have no match."""
+    scope, kind = Scope(scope), SearchType(kind)
+    return {(scope, kind): spark.read.parquet(index_path(root, scope, kind))}
 
 
 def build_all(corpus: DataFrame, root: str, any_script: bool = False) -> float:
-    """All six; each scope is tokenised and counted once. Returns the seconds it took."""
+    """All six, as a version of their own; each scope is tokenised and counted once. Returns the seconds it took."""
     began = time.monotonic()
-    _write_all(corpus, root, "overwrite", any_script)
+    store.build(corpus, root, store.Items(any_script))
     took = time.monotonic() - began
-    log.info("built %d indexes in %.3f s", len(ALL), took)
+    log.info("built %d indexes in %.3f s", len(store.ALL), took)
     return took
 
 
@@ -111,29 +97,27 @@ def search_postings(spark: SparkSession, root: str, scope: Scope, term: str, k:
     return rank(found.where(test).withColumn("freq", F.lit(1).cast("long")), term, k)
 
 
-def load_index(spark: SparkSession, root: str) -> dict[tuple[Scope, SearchType], DataFrame]:
+def load_index(spark: SparkSession, root: str, version: int | None = None, strict: bool = True) -> dict[tuple[Scope, SearchType], DataFrame]:
     """All six or an error. Reads footers only; data is read by queries.
 
-    Appended batches may hold a token again, so multiplicities are summed by those who need them.
+    ``version``: an older state of the index. ``strict=False``: an index that is lost has no match, instead of failing all.
     """
     began = time.monotonic()
-    found = {(s, k): spark.read.parquet(index_path(root, s, k)) for s, k in ALL}
+    if strict and not store.versions(spark, root):
+        raise FileNotFoundError(f"no index in {root}")
+    found = store.load(spark, root, version, strict)
     log.info("loaded %d indexes in %.3f s", len(found), time.monotonic() - began)
     return found
 
 
-def append_index(corpus: DataFrame, root: str, any_script: bool = False) -> None:
-    """Adds the items of new texts without rewriting what is there; ``compact`` merges the batches."""
-    _write_all(corpus, root, "append", any_script)
-
+def append_index(corpus: DataFrame, root: str, any_script: bool = False, source: str | None = None, batch: int | None = None) -> None:
+    """Adds the items of new texts without rewriting what is there; ``compact`` merges the batches.
 
-def merged(index: DataFrame) -> DataFrame:
-    """One row a token again after appends."""
-    rest = [c for c in index.columns if c not in ("token", "freq")]
-    return index.groupBy("token").agg(F.sum("freq").alias("freq"), *[F.first(c).alias(c) for c in rest])
+    With ``source`` and ``batch`` a repeated append adds nothing.
+    """
+    store.append(corpus, root, store.Items(any_script), source, batch)
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Writes the merged indexes to another root."""
-    for (scope, kind), index in load_index(spark, root).items():
-        _clustered(merged(index).drop("token_rev"), kind).write.mode("overwrite").parquet(index_path(target, scope, kind))
+def compact(spark: SparkSession, root: str, target: str | None = None, any_script: bool = False) -> None:
+    """Merges what is alive into one segment: the next version, or an index at another root."""
+    store.compact(spark, root, target, store.Items(any_script))

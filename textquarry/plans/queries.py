@@ -10,9 +10,14 @@ from textquarry.functions.scoring import highlight, rank_label
 from textquarry.functions.tokenize import lines as cut
 from textquarry.operators.search import count_matches, prepare, search
 from textquarry.operators.tokens import bigram_counts, counted, tokens
-from textquarry.plans.index import append_index, build_all, build_postings, compact, load_index, lookup_postings, search_postings
+from textquarry.operators.batch import batch_prefix
+from textquarry.plans import documents, sql, store
+from textquarry.plans.documents import And, Not, Or, Phrase, Word
+from textquarry.plans.fuzzy import build_fuzzy, fuzzy_search
+from textquarry.plans.index import append_index, build_all, build_index, build_postings, compact, load_index, load_one, lookup_postings, search_postings
 from textquarry.sources.corpus import from_column, read_table
 from textquarry.sources.shared import new_folder
+from textquarry.streaming import windows
 from textquarry.streaming.append import load_stream_index, start_indexing
 
 #: name -> (table, column, scope, type, term, mode)
@@ -223,6 +228,175 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     return search(load_stream_index(spark, _built(spark, sf, "streamed", build)), Scope.WORD, SearchType.SUFFIX, "en")
 
 
+def _identified(spark: SparkSession, sf: str, table: str, column: str, key: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    return rows.select(F.col(key).alias("doc_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
+
+
+def _changed(spark: SparkSession, sf: str) -> str:
+    """An index of documents: built, items appended twice under one batch number, and every seventh document and item deleted."""
+
+    def build(root: str) -> None:
+        store.build(_identified(spark, sf, "documents", "text", "doc_id"), root)
+        more = spark.read.parquet(f"{sf}/pages.parquet").select((-F.col("page_id") - 1).alias("doc_id"), F.col("url").alias("text"))
+        for _ in range(2):
+            store.append(more, root, source="pages", batch=0)
+        store.delete(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 7 = 0").select("doc_id"), root)
+        store.delete(more.where("doc_id % 7 = 0").select("doc_id"), root)
+
+    return _built(spark, sf, "changed", build)
+
+
+def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The first version, read after the index has changed."""
+    return search(load_index(spark, _changed(spark, sf), version=0), Scope.WORD, SearchType.PREFIX, "th")
+
+
+def _deleted(scope: Scope, kind: SearchType, term: str, merged: bool):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = _changed(spark, sf)
+        if merged:
+            root = _built(spark, sf, "changed-merged", lambda to, root=root: compact(spark, root, to))
+        return search(load_index(spark, root), scope, kind, term)
+
+    return run
+
+
+#: Rows that the deletes of ``_changed`` leave.
+_SQL_LEFT = "(SELECT text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT url AS text FROM pages WHERE (page_id + 1) % 7 <> 0) AS x"
+
+
+def _single(spark: SparkSession, sf: str) -> DataFrame:
+    """One index of one scope, and a search of it."""
+    scope, kind = Scope.LINE, SearchType.SUFFIX
+    root = _built(spark, sf, "single", lambda r: build_index(read_table(spark, sf, "part", "p_name"), scope, kind, r))
+    return search(load_one(spark, root, scope, kind), scope, kind, "widget")
+
+
+LAYOUT = documents.Documents(("text", "source"), ("lang", "source"))
+PHRASES = {"phrase_search_2": ("and", "the"), "phrase_search_3": ("thanedble", "the", "anea"), "phrase_search_5": ("to", "thanedble", "the", "anea", "eriner")}
+#: Both halves of an Or, a phrase, and what is left out.
+EXPRESSION = And(Or(Word("thanedble"), And(Word("and"), Word("the"))), Not(Phrase(("of", "and"))), Not(Word("src1", "source")))
+BM25_WORDS = ["thanedble", "anea", "is", "src2"]
+BM25_FIELDS = {"text": 1.0, "source": 0.5}
+
+
+def _documents(spark: SparkSession, sf: str) -> documents.Index:
+    """Postings of documents: half of them built, half appended, every eleventh deleted."""
+
+    def build(root: str) -> None:
+        rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+        store.build(rows.where("doc_id % 2 = 0"), root, LAYOUT)
+        store.append(rows.where("doc_id % 2 <> 0"), root, LAYOUT)
+        store.delete(rows.where("doc_id % 11 = 0"), root, LAYOUT)
+
+    return documents.Index(spark, _built(spark, sf, "documents", build))
+
+
+def _phrase(words: tuple[str, ...]):
+    return lambda spark, sf: documents.phrase_search(_documents(spark, sf), list(words))
+
+
+def _fuzzy(distance: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        items = lambda: counted(tokens(read_table(spark, sf, "documents", "text"), Scope.WORD))
+        root = _built(spark, sf, "fuzzy", lambda r: build_fuzzy(items(), r, 2))
+        # The SQL's distance counts bytes, so both sides leave other words out.
+        return fuzzy_search(spark, root, "thanedble", distance).where(F.octet_length("token") == F.char_length("token"))
+
+    return run
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms are the words of two to five letters a-z of the benchmark."""
+    terms = tokens(read_table(spark, sf, "benchmark", "text"), Scope.WORD).where(F.col("token").rlike("^[a-z]{2,5}$")).select(F.col("token").alias("term"))
+    return batch_prefix(counted(tokens(read_table(spark, sf, "documents", "text"), Scope.WORD)), terms, 20)
+
+
+def _windowed(spark: SparkSession, sf: str) -> DataFrame:
+    name = "events.parquet"
+    table = spark.read.parquet(f"{sf}/{name}")
+    single = table.inputFiles()[0].endswith(f"/{name}")
+    stream = spark.readStream.schema(table.schema)
+    raw = stream.option("pathGlobFilter", name).parquet(sf) if single else stream.parquet(f"{sf}/{name}")
+    events = raw.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", F.col("value").cast("decimal(18,4)").alias("value"))
+    kinds = {
+        "tumbling": windows.tumbling(events, "event_type", "value", "6 hours", "10 minutes"),
+        "sliding": windows.sliding(events, "event_type", "value", "12 hours", "6 hours", "10 minutes"),
+        "session": windows.sessions(events, "user_id", "value", "90 minutes", "10 minutes"),
+    }
+
+    def build(root: str) -> None:
+        started = [windows.start(counts, f"{root}/{kind}", f"{root}/checkpoint-{kind}") for kind, counts in kinds.items()]
+        for query in started:
+            query.awaitTermination()
+
+    root, rows = _built(spark, sf, "windows", build), None
+    for kind, counts in kinds.items():
+        some = windows.closed(spark, counts, f"{root}/{kind}")
+        some = some.select(F.lit(kind).alias("kind"), "key", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.col("total").cast("double").alias("total"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows
+
+
+def _sql_search_function(spark: SparkSession, sf: str) -> DataFrame:
+    root = _built(spark, sf, "index-documents", lambda r: build_all(read_table(spark, sf, "documents", "text"), r))
+    sql.register(spark, load_index(spark, root))
+    text = (
+        "SELECT priority, token FROM text_search('word', 'prefix', :term) LATERAL VIEW explode(sequence(1, CAST(least(freq, 100) AS INT))) AS copy "
+        "ORDER BY priority, token LIMIT 100"
+    )
+    return spark.sql(text, args={"term": "th"})
+
+
+#: Documents of ``_documents`` with their words.
+_SQL_WORDS = f"(SELECT doc_id, lang, source, {_sql_words('lower(text)')} AS w, {_sql_words('lower(source)')} AS s FROM documents WHERE doc_id % 11 <> 0)"
+
+
+def _sql_starts(words: tuple[str, ...]) -> str:
+    tests = " AND ".join(f"w[i + {j}] = '{w}'" for j, w in enumerate(words))
+    return f"list_filter(range(1, coalesce(len(w), 0) - {len(words) - 2}), lambda i: {tests})"
+
+
+_SQL_MATCHES = (
+    f"(SELECT doc_id, lang, source FROM {_SQL_WORDS} WHERE (list_contains(w, 'thanedble') OR (list_contains(w, 'and') AND list_contains(w, 'the'))) "
+    f"AND len({_sql_starts(('of', 'and'))}) = 0 AND NOT list_contains(s, 'src1'))"
+)
+
+
+def _sql_bm25() -> str:
+    parts = []
+    for field, weight in BM25_FIELDS.items():
+        c = {"text": "w", "source": "s"}[field]
+        for word in BM25_WORDS:
+            n = f"len(list_filter({c}, lambda x: x = '{word}'))"
+            df = f"(SELECT count(*) FROM d WHERE list_contains({c}, '{word}'))"
+            gain = f"{n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * len({c}) / (SELECT sum(len({c})) / count(*) FROM d)))"
+            parts.append(f"SELECT doc_id, {weight} * ln(1 + ((SELECT count(*) FROM d) - {df} + 0.5) / ({df} + 0.5)) * {gain} AS score FROM d WHERE list_contains({c}, '{word}')")
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(w, []) AS w, coalesce(s, []) AS s FROM {_SQL_WORDS}) "
+        f"SELECT doc_id, round(sum(score), 6) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100"
+    )
+
+
+def _sql_windows() -> str:
+    """Windows whose end the watermark, the last time less ten minutes, has passed."""
+    us, hour = "epoch_us(ts)", 3_600_000_000
+    rows = f"(SELECT {us} AS t, event_type, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS DECIMAL(18,4)) AS value FROM events) AS e"
+    sums = "count(*) AS n, sum(value) AS total"
+    fixed = [
+        f"SELECT '{kind}' AS kind, event_type AS key, t - t % {6 * hour} - {back} AS start_us, t - t % {6 * hour} - {back} + {size * hour} AS end_us, {sums} FROM {rows} GROUP BY event_type, t - t % {6 * hour}"
+        for kind, size, backs in (("tumbling", 6, (0,)), ("sliding", 12, (0, 6 * hour)))
+        for back in backs
+    ]
+    sliding = f"SELECT kind, key, start_us, end_us, CAST(sum(n) AS BIGINT) AS n, sum(total) AS total FROM ({' UNION ALL '.join(fixed)}) GROUP BY kind, key, start_us, end_us"
+    gap = 90 * 60 * 1_000_000
+    opened = f"SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < {gap} THEN 0 ELSE 1 END AS opens FROM {rows}"
+    numbered = f"SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM ({opened})"
+    session = f"SELECT 'session' AS kind, user_id AS key, min(t) AS start_us, max(t) + {gap} AS end_us, {sums} FROM ({numbered}) GROUP BY user_id, session"
+    return f"SELECT kind, key, start_us, end_us, n, CAST(total AS DOUBLE) AS total FROM ({sliding} UNION ALL {session}) WHERE end_us <= (SELECT max({us}) FROM events) - 600000000"
+
+
 def queries() -> dict:
     return {name: _run(spec) for name, spec in SEARCHES.items()} | {name: _indexed(spec) for name, spec in INDEXED.items()} | {
         "index_counts": _index_counts,
@@ -232,6 +406,21 @@ def queries() -> dict:
         "appended_search": lambda spark, sf: _appended(spark, sf, False),
         "compacted_search": lambda spark, sf: _appended(spark, sf, True),
         "streamed_search": _streamed,
+        "snapshot_search": _snapshot,
+        "deleted_search": _deleted(Scope.WORD, SearchType.PREFIX, "th", False),
+        "deleted_line_search": _deleted(Scope.LINE, SearchType.CONTAINS, "the", False),
+        "deleted_compacted_search": _deleted(Scope.WORD, SearchType.PREFIX, "th", True),
+        "single_index_search": _single,
+        **{name: _phrase(words) for name, words in PHRASES.items()},
+        "fuzzy_word_1": _fuzzy(1),
+        "fuzzy_word_2": _fuzzy(2),
+        "boolean_search": lambda spark, sf: documents.boolean_search(_documents(spark, sf), EXPRESSION),
+        "bm25_search": lambda spark, sf: documents.bm25_search(_documents(spark, sf), BM25_WORDS, BM25_FIELDS),
+        "facet_counts": lambda spark, sf: documents.facets(_documents(spark, sf), EXPRESSION, ["lang", "source"]),
+        "facet_cube": lambda spark, sf: documents.facets(_documents(spark, sf), Word("the"), ["lang", "source"], cube=True),
+        "batch_prefix": _batch,
+        "windowed_counts": _windowed,
+        "sql_search": _sql_search_function,
         "result_tokens": lambda spark, sf: _run(SEARCHES["word_prefix"])(spark, sf).select("token"),
         "word_tokens": _token_counts(Scope.WORD),
         "line_tokens": _token_counts(Scope.LINE),
@@ -264,6 +453,33 @@ def oracle_sql() -> dict[str, str]:
         "appended_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
         "compacted_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
         "streamed_search": _sql_search(("conversations", "text", Scope.WORD, SearchType.SUFFIX, "en", Mode.COMPAT)),
+        "snapshot_search": _sql_search(("documents", "text", Scope.WORD, SearchType.PREFIX, "th", Mode.COMPAT)),
+        "deleted_search": _sql_search((_SQL_LEFT, "text", Scope.WORD, SearchType.PREFIX, "th", Mode.COMPAT)),
+        "deleted_line_search": _sql_search((_SQL_LEFT, "text", Scope.LINE, SearchType.CONTAINS, "the", Mode.COMPAT)),
+        "deleted_compacted_search": _sql_search((_SQL_LEFT, "text", Scope.WORD, SearchType.PREFIX, "th", Mode.COMPAT)),
+        "single_index_search": _sql_search(SEARCHES["line_suffix"]),
+        **{
+            name: f"SELECT doc_id, CAST(len(starts) AS BIGINT) AS n_hits, starts[1] - 1 AS first FROM (SELECT doc_id, {_sql_starts(words)} AS starts FROM {_SQL_WORDS}) WHERE len(starts) > 0"
+            for name, words in PHRASES.items()
+        },
+        **{
+            f"fuzzy_word_{d}": f"SELECT CAST(levenshtein(token, 'thanedble') AS INTEGER) AS distance, token, count(*) AS freq FROM ({word_items}) WHERE strlen(token) = length(token) AND levenshtein(token, 'thanedble') <= {d} GROUP BY token"
+            for d in (1, 2)
+        },
+        "boolean_search": f"SELECT doc_id FROM {_SQL_MATCHES}",
+        "bm25_search": _sql_bm25(),
+        "facet_counts": f"SELECT lang, source, grouping(lang, source) AS grouping, count(*) AS n_docs FROM {_SQL_MATCHES} GROUP BY ROLLUP (lang, source)",
+        "facet_cube": f"SELECT lang, source, grouping(lang, source) AS grouping, count(*) AS n_docs FROM {_SQL_WORDS} WHERE list_contains(w, 'the') GROUP BY CUBE (lang, source)",
+        "batch_prefix": (
+            f"WITH i AS (SELECT token, count(*) AS freq FROM ({word_items}) GROUP BY token), "
+            f"t AS (SELECT DISTINCT token AS term, length(token) AS size FROM ({_sql_items('benchmark', 'text', Scope.WORD)}) WHERE regexp_full_match(token, '[a-z]{{2,5}}')), "
+            "laid AS (SELECT left(token, size) AS term, token, freq FROM i, (SELECT DISTINCT size FROM t) WHERE length(token) > size), "
+            "copies AS (SELECT term, CAST((length(token) - length(term)) % 256 AS INTEGER) AS priority, token, unnest(range(0, least(freq, 20))) AS c FROM laid JOIN t USING (term)), "
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY priority, token) AS place FROM copies) "
+            "SELECT term, priority, token FROM ranked WHERE place <= 20"
+        ),
+        "windowed_counts": _sql_windows(),
+        "sql_search": _sql_search(("documents", "text", Scope.WORD, SearchType.PREFIX, "th", Mode.COMPAT)),
         "result_tokens": f"SELECT token FROM ({_sql_search(SEARCHES['word_prefix'])})",
         "word_tokens": f"SELECT token, count(*) AS n FROM ({word_items}) GROUP BY token",
         "line_tokens": f"SELECT token, count(*) AS n FROM ({line_items}) GROUP BY token",
