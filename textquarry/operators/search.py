@@ -9,6 +9,8 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,7 +121,7 @@ def matches(
     scope, kind, mode = Scope(scope), SearchType(kind), Mode(mode)
     stored = isinstance(source, Mapping)
     test = predicate(scope, kind, term, mode, any_script, stored)
-    log.debug("search %s %s %r", scope.value, kind.value, term)
+    log.debug("search %s %s %r in %s", scope.value, kind.value, term, "the index of " + kind.index_name if stored else "a corpus")
     if stored:
         indexed = source.get((scope, kind))
         if indexed is None:
@@ -164,6 +166,25 @@ def rank(found: DataFrame, term: str, k: int = TOP_K) -> DataFrame:
     return best.select("priority", "token", copies.alias("copy")).orderBy("priority", "token").limit(k).select("priority", "token")
 
 
+def count_searches(source: DataFrame, searches: list[tuple[Scope, SearchType, str]], mode: Mode = Mode.COMPAT, any_script: bool = False) -> DataFrame:
+    """scope, type, term, n_matches of many searches of a corpus: texts are cut once a scope, and all its tests are sums of one aggregation."""
+    rows = None
+    for scope in Scope:
+        own = [(SearchType(k), t) for s, k, t in searches if Scope(s) is scope]
+        if not own:
+            continue
+        items = counted(tokens(source, scope, any_script))
+        # Only items that pass some test's plain part have their words cut.
+        if scope is Scope.LINE:
+            items = with_line_words(items.where(reduce(or_, [_plain_test(k, t) for k, t in own])), any_script)
+        hits = [F.when(predicate(scope, k, t, mode, any_script), F.lit(1).cast("long") if k is SearchType.CONTAINS else F.col("freq")) for k, t in own]
+        sums = items.agg(*[F.coalesce(F.sum(h), F.lit(0)).cast("long").alias(f"n{i}") for i, h in enumerate(hits)])
+        each = F.array(*[F.struct(F.lit(k.value).alias("type"), F.lit(t).alias("term"), F.col(f"n{i}").alias("n_matches")) for i, (k, t) in enumerate(own)])
+        some = sums.select(F.lit(scope.value).alias("scope"), F.explode(each).alias("x")).select("scope", "x.*")
+        rows = some if rows is None else rows.unionByName(some)
+    return rows
+
+
 def count_matches(source: DataFrame | Mapping, scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPAT, any_script: bool = False) -> DataFrame:
     """The number of matches before the cut to k, as one row: ``n_matches``."""
     return matches(source, scope, kind, term, mode, any_script).agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("long").alias("n_matches"))

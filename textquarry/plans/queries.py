@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.enums import Mode, Scope, SearchType
 from textquarry.functions.scoring import highlight, rank_label
 from textquarry.functions.tokenize import lines as cut
-from textquarry.operators.search import count_matches, prepare, search
+from textquarry.operators.search import count_searches, prepare, search
 from textquarry.operators.tokens import bigram_counts, counted, tokens
 from textquarry.operators.batch import batch_prefix
 from textquarry.plans import documents, sql, store
@@ -106,22 +106,18 @@ def _gram_counts(table: str, scope: Scope):
     return run
 
 
+COUNTED = [(scope, kind, term) for scope in Scope for kind, term in ((SearchType.PREFIX, "th"), (SearchType.SUFFIX, "en"), (SearchType.CONTAINS, "me"))]
+
+
 def _result_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = None
-    for scope in Scope:
-        for kind, term in ((SearchType.PREFIX, "th"), (SearchType.SUFFIX, "en"), (SearchType.CONTAINS, "me")):
-            n = count_matches(read_table(spark, sf, "documents", "text"), scope, kind, term)
-            n = n.select(F.lit(scope.value).alias("scope"), F.lit(kind.value).alias("type"), "n_matches")
-            rows = n if rows is None else rows.unionByName(n)
-    return rows
+    return count_searches(read_table(spark, sf, "documents", "text"), COUNTED).drop("term")
 
 
 def _sql_result_counts() -> str:
     return " UNION ALL ".join(
         f"SELECT '{scope.value}' AS scope, '{kind.value}' AS type, count(*) AS n_matches "
         f"FROM ({_sql_matches('documents', 'text', scope, kind, term, Mode.COMPAT)})"
-        for scope in Scope
-        for kind, term in ((SearchType.PREFIX, "th"), (SearchType.SUFFIX, "en"), (SearchType.CONTAINS, "me"))
+        for scope, kind, term in COUNTED
     )
 
 
