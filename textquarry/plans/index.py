@@ -52,26 +52,29 @@ def build_all(corpus: DataFrame, root: str, any_script: bool = False) -> float:
     return took
 
 
-#: Ids in a row of a gram's postings, about.
+#: Tokens or ids in a row of a gram's postings, about.
 POSTINGS_ROW = 10_000
 
 
 def build_postings(corpus: DataFrame, scope: Scope, root: str, any_script: bool = False) -> None:
-    """gram -> sorted ids, and id -> token. Pays off only for terms that hit few grams.
+    """gram -> words, or gram -> ids of lines and id -> line. Pays off only for terms that hit few grams.
 
-    A gram's list of ids grows with the number of distinct tokens that hold it, so lists are cut into as many
+    A word is about as long as an id, so it stands in its postings itself, and a lookup reads nothing else; a line stands once, with the items.
+    A gram's list grows with the number of distinct tokens that hold it, so lists are cut into as many
     blocks (by a hash) as that number asks for; a gram may have several rows.
     """
-    base = f"{root}/scope={scope.value}"
+    base, whole = f"{root}/scope={scope.value}", scope is Scope.WORD
     items = tokens(corpus, scope, any_script).distinct().withColumn("id", F.xxhash64("token"))
     items.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{base}/type=items")
     stored = items.sparkSession.read.parquet(f"{base}/type=items")
-    grams = bigrams(stored, scope, any_script).withColumn("id", F.xxhash64("token")).drop("token")
+    grams = bigrams(stored, scope, any_script).withColumn("id", F.xxhash64("token"))
+    grams = grams.select("gram", "id", *["token"] * whole)
     blocks = grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / POSTINGS_ROW).alias("blocks"))
+    held = F.sort_array(F.collect_set("token" if whole else "id")).alias("tokens" if whole else "ids")
     (
         grams.join(blocks, "gram")
         .groupBy("gram", F.pmod("id", F.col("blocks")).alias("block"))
-        .agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        .agg(held)
         .repartitionByRange("gram", "block")
         .sortWithinPartitions("gram", "block")
         .write.mode("overwrite")
@@ -82,8 +85,10 @@ def build_postings(corpus: DataFrame, scope: Scope, root: str, any_script: bool
 def lookup_postings(spark: SparkSession, root: str, scope: Scope, gram: list[str], any_script: bool = False) -> DataFrame:
     """Tokens that hold the interior bigram. Ids without an item are ignored, and so is an item that only has another's id."""
     base, wanted = f"{root}/scope={scope.value}", F.array(*map(F.lit, gram))
-    ids = spark.read.parquet(f"{base}/type=postings").where(F.col("gram") == wanted).select(F.explode("ids").alias("id"))
-    found = ids.join(spark.read.parquet(f"{base}/type=items"), "id").select("token")
+    rows = spark.read.parquet(f"{base}/type=postings").where(F.col("gram") == wanted)
+    if scope is Scope.WORD:
+        return rows.select(F.explode("tokens").alias("token")).distinct()
+    found = rows.select(F.explode("ids").alias("id")).join(spark.read.parquet(f"{base}/type=items"), "id").select("token")
     return found.where(F.array_contains(item_bigrams(scope, any_script), wanted)).distinct()
 
 

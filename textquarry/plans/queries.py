@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from textquarry.enums import Mode, Scope, SearchType
 from textquarry.functions.scoring import highlight, rank_label
 from textquarry.functions.tokenize import lines as cut
-from textquarry.operators.search import count_searches, prepare, search
+from textquarry.operators.search import count_matches, count_searches, prepare, search
 from textquarry.operators.tokens import bigram_counts, counted, tokens
 from textquarry.operators.batch import batch_prefix
 from textquarry.plans import documents, sql, store
 from textquarry.plans.documents import And, Not, Or, Phrase, Word
 from textquarry.plans.fuzzy import build_fuzzy, fuzzy_search
 from textquarry.plans.index import append_index, build_all, build_index, build_postings, compact, load_index, load_one, lookup_postings, search_postings
+from textquarry.sources import files
 from textquarry.sources.corpus import from_column, read_table
 from textquarry.sources.shared import new_folder
 from textquarry.streaming import windows
@@ -113,10 +114,10 @@ def _result_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_searches(read_table(spark, sf, "documents", "text"), COUNTED).drop("term")
 
 
-def _sql_result_counts() -> str:
+def _sql_result_counts(table: str = "documents", lost: tuple = ()) -> str:
     return " UNION ALL ".join(
         f"SELECT '{scope.value}' AS scope, '{kind.value}' AS type, count(*) AS n_matches "
-        f"FROM ({_sql_matches('documents', 'text', scope, kind, term, Mode.COMPAT)})"
+        f"FROM ({_sql_matches(table, 'text', scope, kind, term, Mode.COMPAT)}) WHERE {(scope, kind) not in lost}"
         for scope, kind, term in COUNTED
     )
 
@@ -200,6 +201,33 @@ def _postings_lines(spark: SparkSession, sf: str) -> DataFrame:
     return search_postings(spark, _postings(Scope.LINE, "conversations")(spark, sf), Scope.LINE, "of the")
 
 
+def _stray(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings whose lines that begin with a T are gone: their ids are ignored."""
+
+    def build(root: str) -> None:
+        build_postings(read_table(spark, sf, "conversations", "text"), Scope.LINE, f"{root}/all")
+        build_postings(read_table(spark, sf, "conversations", "text"), Scope.LINE, root)
+        left = spark.read.parquet(f"{root}/all/scope=line/type=items").where(~F.col("token").startswith("T"))
+        left.write.mode("overwrite").parquet(f"{root}/scope=line/type=items")
+
+    return search_postings(spark, _built(spark, sf, "stray", build), Scope.LINE, "of the")
+
+
+def _lost(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of each index, one of which is gone from the disk and has none."""
+
+    def build(root: str) -> None:
+        build_all(read_table(spark, sf, "conversations", "text"), root)
+        name = store.version(spark, root).segments[0].name
+        files.remove(spark, store.dataset(root, name, Scope.WORD, SearchType.SUFFIX.index_name))
+
+    index, rows = load_index(spark, _built(spark, sf, "lost", build), strict=False), None
+    for scope, kind, term in COUNTED:
+        n = count_matches(index, scope, kind, term).select(F.lit(scope.value).alias("scope"), F.lit(kind.value).alias("type"), "n_matches")
+        rows = n if rows is None else rows.unionByName(n)
+    return rows
+
+
 def _appended(spark: SparkSession, sf: str, merged: bool) -> DataFrame:
     def build(root: str) -> None:
         build_all(read_table(spark, sf, "conversations", "text"), root)
@@ -399,6 +427,8 @@ def queries() -> dict:
         "postings_lookup": _postings_lookup,
         "postings_word_contains": _postings_words,
         "postings_line_contains": _postings_lines,
+        "stray_postings": _stray,
+        "lost_index_counts": _lost,
         "appended_search": lambda spark, sf: _appended(spark, sf, False),
         "compacted_search": lambda spark, sf: _appended(spark, sf, True),
         "streamed_search": _streamed,
@@ -446,6 +476,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "postings_word_contains": contains,
         "postings_line_contains": _sql_search(("conversations", "text", Scope.LINE, SearchType.CONTAINS, "of the", Mode.COMPAT)),
+        "stray_postings": _sql_search(("(SELECT token AS text FROM (" + talk + ") WHERE NOT starts_with(token, 'T')) AS x", "text", Scope.LINE, SearchType.CONTAINS, "of the", Mode.COMPAT)),
+        "lost_index_counts": _sql_result_counts("conversations", ((Scope.WORD, SearchType.SUFFIX),)),
         "appended_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
         "compacted_search": _sql_search((both, "text", Scope.WORD, SearchType.PREFIX, "me", Mode.COMPAT)),
         "streamed_search": _sql_search(("conversations", "text", Scope.WORD, SearchType.SUFFIX, "en", Mode.COMPAT)),
