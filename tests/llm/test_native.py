@@ -152,3 +152,19 @@ def test_sharding(spark, monkeypatch):
     assert len(got) == len(some)
     check_shards(got, [(r[0], r[1]) for r in some], 4)
     assert sharding.assign(spark.createDataFrame([], DOCS), 4).count() == 0
+
+
+@pytest.mark.parametrize("bits,n", [(2, 4), (2, 7), (16, 4), (1, 3)])
+def test_least_capacity_over_single_groups(spark, monkeypatch, bits, n):
+    """However coarse the places are, no order of whole groups could be cut into smaller shards."""
+    monkeypatch.setattr(sharding, "STEP_BITS", bits)
+    monkeypatch.setattr(sharding, "PLACES", 1 << bits)
+    texts = [f"text {i} " * (1 + i * i % 37) for i in range(90)] + ["hot " * 40] * 25 + [None, "", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = docs.selectExpr("xxhash64(coalesce(text, '')) AS h", "octet_length(coalesce(text, '')) + 1 AS n").groupBy("h").agg({"n": "sum"}).orderBy("h").collect()
+    rows = sharding.assign(docs, n).collect()
+    total = Counter()
+    for r in rows:
+        total[r.shard] += r.size
+    assert max(total.values()) == sharding.least_capacity([g[1] for g in groups], n) and len(rows) == len(texts)
+    check_shards(rows, list(enumerate(texts)), n)
