@@ -102,6 +102,37 @@ def test_writers_at_once(spark, tmp_path, monkeypatch):
     assert counts(spark, root) == {"home": 1}
 
 
+def test_writers_during_a_compaction(spark, tmp_path, monkeypatch):
+    """What was added and deleted while segments were merged stands beside the merged one; a build in between stops it."""
+    root = str(tmp_path)
+    store.append(docs(spark, [(1, "me"), (2, "met met"), (3, "home")]), root)
+    store.delete(spark.createDataFrame([(1,)], "doc_id long"), root)
+    real, between = store.Items.rewrite, [lambda: (store.append(docs(spark, [(1, "so"), (4, "met")]), root), store.delete(spark.createDataFrame([(3,), (4,)], "doc_id long"), root))]
+
+    def slow(self, *args):
+        real(self, *args)
+        between.pop()()
+
+    monkeypatch.setattr(store.Items, "rewrite", slow)
+    store.compact(spark, root)
+    held = store.version(spark, root)
+    assert held.kind == "compact" and len(held.segments) == 3 and len(held.deletes) == 1
+    assert counts(spark, root) == {"met": 2, "so": 1}
+    between.append(lambda: store.build(docs(spark, [(9, "new")]), root))
+    with pytest.raises(store.ConcurrentCommit):
+        store.compact(spark, root)
+    assert counts(spark, root) == {"new": 1}
+    monkeypatch.undo()
+    store.delete(spark.createDataFrame([(9,)], "doc_id long"), root)
+    store.compact(spark, root)
+    assert counts(spark, root) == {}
+    said = store.history(spark, root).orderBy("number").collect()
+    assert [r.kind for r in said] == ["append", "delete", "append", "delete", "compact", "build", "delete", "compact"]
+    assert store.as_of(spark, root, said[5].at) == 5 and store.as_of(spark, root, "2999") == 7
+    with pytest.raises(ValueError):
+        store.as_of(spark, root, "1999")
+
+
 def test_id_that_comes_again(spark, tmp_path):
     root = str(tmp_path)
     store.append(docs(spark, [(1, "me"), (2, "met")]), root)

@@ -242,19 +242,44 @@ def delete(ids: DataFrame, root: str, layout=None) -> Version:
 
 
 def compact(spark: SparkSession, root: str, target: str | None = None, layout=None) -> Version:
-    """One segment of what is alive, as the next version, or as the first of another root. Fails if a writer was first: nothing is lost."""
+    """One segment of what is alive, as the next version, or as the first of another root.
+
+    Writers go on meanwhile: what they have added or deleted since is kept beside the new segment. Only if the segments that were merged
+    have gone, by a build or another compaction, it fails and changes nothing.
+    """
     base = version(spark, root)
     if not base.segments:
         return base
-    to = target or root
-    name = uuid.uuid4().hex
+    to, name = target or root, uuid.uuid4().hex
     (layout or Items()).rewrite(spark, root, base, to, name)
-    onto = base if target is None else version(spark, to)
-    done = _commit(spark, to, onto, "compact", [Segment(name, onto.number + 1)], [], base.sources)
-    if done is None:
-        files.remove(spark, f"{to}/segments/{name}")
-        raise ConcurrentCommit(to)
-    return done
+    for _ in range(RETRIES):
+        onto = version(spark, to)
+        if target is not None:
+            segments, deletes, sources = [Segment(name, onto.number + 1)], [], base.sources
+        elif set(base.segments) <= set(onto.segments):
+            # Later delete vectors reach up to this version at least, and so to the new segment.
+            segments = [Segment(name, base.number), *(s for s in onto.segments if s not in base.segments)]
+            deletes, sources = [d for d in onto.deletes if d not in base.deletes], onto.sources
+        else:
+            break
+        if done := _commit(spark, to, onto, "compact", segments, deletes, sources):
+            return done
+    files.remove(spark, f"{to}/segments/{name}")
+    raise ConcurrentCommit(to)
+
+
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """number, kind, at, segments, deletes of every version that is kept."""
+    rows = [(v.number, v.kind, v.at, len(v.segments), len(v.deletes)) for v in (version(spark, root, n) for n in versions(spark, root))]
+    return spark.createDataFrame(rows, "number long, kind string, at string, segments int, deletes int")
+
+
+def as_of(spark: SparkSession, root: str, at: str) -> int:
+    """The last version made at or before a time (ISO 8601, UTC)."""
+    known = [v.number for v in (version(spark, root, n) for n in versions(spark, root)) if v.at <= at]
+    if not known:
+        raise ValueError(f"no version of {root} at {at}")
+    return max(known)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
