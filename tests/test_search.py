@@ -257,3 +257,19 @@ def test_strict_text(spark, tmp_path):
     with pytest.raises(Exception, match="UTF-8"):
         read_text(spark, str(tmp_path)).collect()
     assert read_text(spark, str(tmp_path), strict=False).count() == 1
+
+
+def test_interior_pairs(spark):
+    """Pairs of characters where every grapheme is one, of graphemes elsewhere."""
+    import regex
+    from pyspark.sql import functions as F
+
+    from textquarry.functions.tokenize import interior_pairs
+
+    rng = random.Random(4)
+    units = ["a", "é", "é", "日", "👍🏽", "👨‍👩‍👧", "🇩🇪", "각", "कि", "𝒳", "_"]
+    tokens_ = ["".join(rng.choice(units[:2] if k % 2 else units) for _ in range(rng.randrange(7))) for k in range(200)]
+    got = spark.createDataFrame([(t,) for t in tokens_], "t string").select(interior_pairs(F.col("t"))).collect()
+    for t, (pairs,) in zip(tokens_, got, strict=True):
+        g = regex.findall(r"\X", t)
+        assert pairs == [g[i] + g[i + 1] for i in range(1, len(g) - 1)] if len(g) > 2 else pairs == [], t

@@ -26,6 +26,8 @@ WORD_SEPARATOR = (
     r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
 )
 HAS_ALNUM = r"[\p{L}\p{N}]"
+#: What a token holds if some of its graphemes may have more than one character.
+JOINING = r"[\p{M}\p{Cf}\p{So}\p{Sk}\p{IsHangul}]"
 
 
 def words(text: Column) -> Column:
@@ -62,6 +64,15 @@ def interior_bigrams(units: Column) -> Column:
     return bind(units, pairs)
 
 
+def interior_pairs(token: Column) -> Column:
+    """Interior pairs of graphemes, each joined to a string; characters where graphemes are such."""
+    n = F.char_length(token)
+    plain = F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.substring(token, i, F.lit(2)))
+    whole = F.transform(interior_bigrams(graphemes(token)), lambda g: F.array_join(g, ""))
+    none = F.array().cast("array<string>")
+    return F.when(token.rlike(JOINING), whole).otherwise(F.when(n >= 3, plain).otherwise(none))
+
+
 def items(text: Column, scope: Scope) -> Column:
     return words(text) if scope is Scope.WORD else lines(text)
 

@@ -43,7 +43,7 @@ def _grapheme_hit(term: str) -> Column:
     grams = F.transform(tokenize.interior_bigrams(tokenize.graphemes(token)), lambda g: F.array_join(g, ""))
     hit = F.array_contains(grams, term) if len(term.encode()) == 2 else F.exists(grams, lambda g: g.contains(term))
     # Without marks or joiners a grapheme is a character, and the plain predicate says the same.
-    return ~token.rlike(r"[\p{M}\p{Cf}\p{So}\p{Sk}\p{IsHangul}]") | hit
+    return ~token.rlike(tokenize.JOINING) | hit
 
 
 def _line_gram_hit(w: Column, term: str, extended: bool) -> Column:

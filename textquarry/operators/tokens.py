@@ -39,9 +39,7 @@ def counted(items: DataFrame) -> DataFrame:
 def item_bigrams(scope: Scope, any_script: bool = False) -> Column:
     """Distinct interior bigrams of ``token``: grapheme pairs joined for words, word pairs for lines."""
     if scope is Scope.WORD:
-        # The pair of graphemes is stored joined, as one string.
-        pairs = tokenize.interior_bigrams(tokenize.graphemes(F.col("token")))
-        grams = F.transform(pairs, lambda g: F.array(F.array_join(g, "")))
+        grams = F.transform(tokenize.interior_pairs(F.col("token")), lambda g: F.array(g))
     else:
         grams = tokenize.interior_bigrams(words_of(F.col("token"), any_script))
     return F.array_distinct(grams)
