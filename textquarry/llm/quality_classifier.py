@@ -233,7 +233,7 @@ def _pool_sums(pool: DataFrame, views: list[View], past: list) -> list | None:
         yield from packed(first, total)
 
     schema = "part int, sums binary"
-    rows = pool.mapInArrow(lean("quality", task), schema).repartition(ADDERS, "part").sortWithinPartitions("part")
+    rows = pool.mapInArrow(lean("quality", task), schema).repartition(ADDERS).sortWithinPartitions("part")
     total = None
     for row in sorted(rows.mapInArrow(lean("quality", add), schema).collect()):
         total = _plus(total, pickle.loads(zlib.decompress(bytes(row.sums))))
