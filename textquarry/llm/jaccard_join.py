@@ -188,7 +188,8 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     counted = _plain(docs).mapInArrow(lean("sets", count), "block int, counts binary")
     sums = written(counted.repartition("block").mapInArrow(lean("sets", add), "counter long, n long"), "counters")
     mean = (sums.agg(F.sum("n")).first()[0] or 0) / COUNTERS
-    least = mean + 6 * mean**0.5 + 16  # beyond what usual tokens add up to by chance
+    # Beyond what most counters of usual tokens add up to by chance. A usual token on a fuller counter only stands later in its set.
+    least = mean + 2 * mean**0.5 + 2
     levels = np.zeros(COUNTERS, np.uint8)
     frequent = sums.where(F.col("n") > least).toArrow()  # COUNTERS rows at most
     if frequent.num_rows:
