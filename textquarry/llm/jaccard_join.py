@@ -7,7 +7,7 @@
    parity of the tokens of each of its places, so two differ in no more places than their sets in tokens.
 3. The matrix: tokens against groups. Tokens are taken in one global order, frequent ones last, and of a set of n
    only the first n - ceil(t n) + 1 are laid out: two sets that link share one of those. A token that stands
-   in one group only is left out; the others give candidates, a class (query) and another group. With sizes n and m,
+   in one group only is left out; the others give candidates, a class (query) and another group of greater name. With sizes n and m,
    a link has 3 (n + m) / 7 tokens in common, so the first l of them stand so early in both sets that the rest fits
    behind them. Only cells whose places allow that meet, and a candidate stays if l of them do. ``SHARE`` sets l,
    between 1 and what the first tokens laid out can hold.
@@ -399,7 +399,8 @@ def _candidates(matrix: DataFrame, widths: DataFrame, grouped: DataFrame) -> Dat
     # The first l tokens in common have the other ones behind them in both sets; l is below ``least`` + 1.
     early = (100 + PERCENT) * (n - F.col("at") + least) >= PERCENT * (n + low) - 1e-6
     fits = (100 + PERCENT) * least + F.col("room") >= PERCENT * n - 1e-6
-    met = matrix.join(cells, "token").where((F.col("grp") != F.col("other")) & (low <= high) & early & fits)
+    # A link between two groups is found from either: the one of lesser name asks.
+    met = matrix.join(cells, "token").where((F.col("grp") < F.col("other")) & (low <= high) & early & fits)
     shared = met.groupBy("cls", "n", "other").agg(F.count(F.lit(1)).alias("shared"), F.first(least).alias("least"))
     return shared.where(F.col("shared") >= F.col("least") - 1e-6).select("cls", "n", "other")
 
