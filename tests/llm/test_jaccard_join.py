@@ -93,6 +93,33 @@ def test_texts_of_common_passages(spark, monkeypatch):
     assert len({w[2] for w in want}) < 120
 
 
+@pytest.mark.parametrize("pivots,sf", [(0, None), (1, "/root/testdata/sf0.01")])
+def test_links_between_groups_come_through_the_bound(spark, monkeypatch, pivots, sf):
+    """Candidates are asked for their bound, those that qualify are opened, and every link between groups is of an opened one."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    bound, compare, seen, compared = jaccard_join._opened, jaccard_join._linked, {}, []
+
+    def opened(candidates, sets, grouped):
+        out = bound(candidates, sets, grouped)
+        seen.update(asked=candidates.count(), opened={(r.cls, r.grp) for r in out.collect()}, group={r.cls: r.grp for r in grouped.collect()})
+        return out
+
+    def linked(pairs, sets):
+        out = storage.written(compare(pairs, sets), "spied")
+        compared.append({(r.a, r.b) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_opened", opened)
+    monkeypatch.setattr(jaccard_join, "_linked", linked)
+    rows = fixture(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if sf else spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], SCHEMA).repartition(3)
+    got = found(jaccard_join.join(docs))
+    assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] if sf else rows)
+    far = compared[-1]
+    assert far and len(compared) == 2 and 0 < len(seen["opened"]) <= seen["asked"]
+    assert all((a, seen["group"][b]) in seen["opened"] for a, b in far)
+
+
 def test_empty_and_long(spark):
     assert jaccard_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
     long = " ".join(f"w{i}" for i in range(30_000))

@@ -51,7 +51,7 @@ MAX_GROUPS = 256
 BLOCK = 256
 #: Of the tokens that a link must have among the first ones, the part that is asked for: less of it, fewer cells meet, but more pairs stay.
 SHARE = 0.25
-#: Groups of so few members are opened without a bound: their union would cost more than the comparison.
+#: Of groups of so few members, those go to the bound of whose members one has a signature that allows a link.
 SMALL_GROUP = 4
 #: Counters that tell frequent tokens, a power of two; collisions only change the order of tokens. They move in blocks.
 COUNTERS = 1 << 22
@@ -422,20 +422,20 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     candidates = written(_candidates(matrix, widths, grouped), "candidates")
     sweep(docs.sparkSession)
 
-    # The bound: tokens of the query in the union of the group's tokens.
+    # The bound, tokens of the query in the union of the group's tokens, is asked of every group. Where a group is small, members'
+    # signatures come first, so that few unions are put together.
     many = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_GROUP).select(F.col("grp").alias("other"))
-    large = written(candidates.join(many, "other", "left_semi"), "large")
-    members = written(large.select(F.col("other").alias("grp")).distinct().join(grouped, "grp").select("grp", "cls"), "members")
     inside = lambda some: some.join(grouped.select("grp", F.col("cls").alias("b"), F.col("n").alias("m")), "grp").where(_fits("n", "m")).select(F.col("cls").alias("a"), "b")
-    small = inside(candidates.join(many, "other", "left_anti").withColumnRenamed("other", "grp"))
-    small = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-pairs")
-    small = written(_possible(small, classes).select("a", "b"), "small-possible")
-    wanted = large.select("cls").unionByName(members.select("cls")).unionByName(small.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
-    sets = _sets_of(docs, wanted, names)
-    opened = _opened(large, sets, grouped)
+    small = written(candidates.join(many, "other", "left_anti").withColumnRenamed("other", "grp"), "small")
+    possible = _possible(written(inside(small).distinct(), "small-pairs"), classes).select(F.col("a").alias("cls"), F.col("b").alias("member"))
+    thinned = possible.join(grouped.select(F.col("cls").alias("member"), F.col("grp").alias("other")), "member").select("cls", "other").distinct()
+    asked = candidates.join(many, "other", "left_semi").select("cls", "n", "other").unionByName(thinned.join(candidates, ["cls", "other"]).select("cls", "n", "other"))
+    asked = written(asked, "asked")
+    members = asked.select(F.col("other").alias("grp")).distinct().join(grouped, "grp").select("cls")
+    sets = _sets_of(docs, asked.select("cls").unionByName(members).distinct(), names)
+    opened = _opened(asked, sets, grouped)
     inner = written(inside(opened).distinct(), "opened-pairs")
-    pairs_far = written(_possible(inner, classes).select("a", "b").unionByName(small), "far-pairs")
-    far = _linked(pairs_far, sets)
+    far = _linked(written(_possible(inner, classes).select("a", "b"), "far-pairs"), sets)
 
     hot = matrix.join(widths.where(F.col("groups") > MAX_GROUPS), "token").select("cls", "n")
     return near.unionByName(written(far, "far")).unionByName(_block_links(docs, hot, names))
