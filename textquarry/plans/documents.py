@@ -98,29 +98,36 @@ class Index:
         paths = [_place(self.root, s.name, "blocks") for s in self.version.segments]
         return self.spark.read.parquet(*paths).where((F.col("field") == field) & F.col("word").isin([w.lower() for w in words]))
 
-    def frequencies(self, words: list[str], field: str = "text") -> dict[str, int]:
-        """Documents that hold each word: sums of blocks, less what delete vectors took. A row a word."""
-        found = {r.word: r.n for r in self.bounds(words, field).groupBy("word").agg(F.sum("n_docs").alias("n")).collect()}
-        for segment in self.version.segments:
-            if vectors := self.version.vectors(segment):
-                every = self.spark.read.parquet(_place(self.root, segment.name, "positions")).where((F.col("field") == field) & F.col("word").isin(list(found)))
-                gone = every.select("word", *ID).exceptAll(store.without(self.spark, self.root, every.select("word", *ID), vectors))
-                for r in gone.groupBy("word").count().collect():
-                    found[r["word"]] -= r["count"]
+    def estimates(self, words: list[str], field: str = "text") -> dict[str, int]:
+        """Documents that hold each word, deleted ones too: what orders joins."""
+        found = {r.word: r.n for r in self.bounds(words, field).groupBy("word").agg(F.sum("n_docs").alias("n")).collect()}  # a row a word
         return {w.lower(): found.get(w.lower(), 0) for w in words}
 
+    def _deleted(self, what: str):
+        """Rows of deleted documents in the segments, for each set of delete vectors."""
+        for vectors, names in store.by_vectors(self.version).items():
+            if vectors:
+                rows = self.spark.read.parquet(*[_place(self.root, n, what) for n in names])
+                yield store.within(self.spark, self.root, rows, vectors)
+
+    def frequencies(self, words: list[str], field: str = "text") -> dict[str, int]:
+        """Documents that hold each word: sums of blocks, less what delete vectors took."""
+        found = self.estimates(words, field)
+        for gone in self._deleted("positions"):
+            for r in gone.where((F.col("field") == field) & F.col("word").isin(list(found))).groupBy("word").count().collect():
+                found[r["word"]] -= r["count"]
+        return found
+
     def size(self, field: str) -> tuple[int, int]:
-        """Documents and words of a field."""
-        plain = [s for s in self.version.segments if not self.version.vectors(s)]
-        parts = []
-        if plain:
-            parts.append(self.spark.read.parquet(*[_place(self.root, s.name, "summary") for s in plain]).where(F.col("field") == field).select("n_docs", "n_words"))
-        for s in self.version.segments:
-            if vectors := self.version.vectors(s):
-                rows = store.without(self.spark, self.root, self.spark.read.parquet(_place(self.root, s.name, "lengths")).where(F.col("field") == field), vectors)
-                parts.append(rows.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words")))
-        total = [p.agg(F.sum("n_docs"), F.sum("n_words")).first() for p in parts]
-        return sum(t[0] or 0 for t in total), sum(t[1] or 0 for t in total)
+        """Documents and words of a field: sums of the segments, less what delete vectors took."""
+        paths = [_place(self.root, n, "summary") for names in store.by_vectors(self.version).values() for n in names]
+        total = F.sum("n_docs").alias("n"), F.sum("n_words").alias("m")
+        n, m = self.spark.read.parquet(*paths).where(F.col("field") == field).agg(*total).first()
+        n, m = n or 0, m or 0
+        for gone in self._deleted("lengths"):
+            lost = gone.where(F.col("field") == field).agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("m")).first()
+            n, m = n - lost.n, m - (lost.m or 0)
+        return n, m
 
 
 def _shifted(at: Column, by: int) -> Column:
@@ -135,7 +142,7 @@ def phrase_hits(index: Index, words: list[str], field: str = "text") -> DataFram
     """
     if not words:
         raise ValueError("a phrase has words")
-    known = index.frequencies(words, field)
+    known = index.estimates(words, field)
     order = sorted(range(len(words)), key=lambda i: (known[words[i].lower()], i))
     hits = index.postings(words[order[0]], field).select(*ID, _shifted(F.col("at"), order[0]).alias("starts"))
     for i in order[1:]:
@@ -182,15 +189,15 @@ class Not:
     part: object
 
 
-def _estimate(index: Index, e, known: dict) -> int:
+def _estimate(e, known: dict) -> int:
     """Documents that an expression has at most."""
     if isinstance(e, Word):
         return known[e]
     if isinstance(e, Phrase):
         return min(known[Word(w, e.field)] for w in e.words)
     if isinstance(e, And):
-        return min([_estimate(index, p, known) for p in e.parts if not isinstance(p, Not)], default=2**62)
-    return sum(_estimate(index, p, known) for p in e.parts) if isinstance(e, Or) else 2**62
+        return min([_estimate(p, known) for p in e.parts if not isinstance(p, Not)], default=2**62)
+    return sum(_estimate(p, known) for p in e.parts) if isinstance(e, Or) else 2**62
 
 
 def _words(e) -> set[Word]:
@@ -210,7 +217,7 @@ def matching(index: Index, expression) -> DataFrame:
     known = {}
     for field in {w.field for w in _words(expression)}:
         own = [w for w in _words(expression) if w.field == field]
-        found = index.frequencies([w.word for w in own], field)
+        found = index.estimates([w.word for w in own], field)
         known |= {w: found[w.word.lower()] for w in own}
 
     def plan(e) -> DataFrame:
@@ -225,7 +232,7 @@ def matching(index: Index, expression) -> DataFrame:
             return rows.distinct()
         if isinstance(e, Not):
             return everything().join(plan(e.part), ID, "left_anti")
-        wanted = sorted((p for p in e.parts if not isinstance(p, Not)), key=lambda p: _estimate(index, p, known))
+        wanted = sorted((p for p in e.parts if not isinstance(p, Not)), key=lambda p: _estimate(p, known))
         rows = plan(wanted[0]) if wanted else everything()
         for p in wanted[1:]:
             rows = rows.join(plan(p), ID, "left_semi")

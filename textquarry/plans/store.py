@@ -187,13 +187,28 @@ def append(corpus: DataFrame, root: str, layout=None, source: str | None = None,
     raise ConcurrentCommit(root)
 
 
+def _named(spark: SparkSession, root: str, vectors: tuple[Deletes, ...]) -> DataFrame:
+    gone = spark.read.parquet(*[f"{root}/deletes/{d.name}" for d in vectors])
+    return F.broadcast(gone) if sum(d.rows for d in vectors) <= MAX_BROADCAST_IDS else gone
+
+
 def without(spark: SparkSession, root: str, rows: DataFrame, vectors: tuple[Deletes, ...]) -> DataFrame:
     """Rows of documents that no delete vector names."""
-    if not vectors:
-        return rows
-    gone = spark.read.parquet(*[f"{root}/deletes/{d.name}" for d in vectors])
-    gone = F.broadcast(gone) if sum(d.rows for d in vectors) <= MAX_BROADCAST_IDS else gone
-    return rows.join(gone, "doc_id", "left_anti").select(*rows.columns)
+    return rows.join(_named(spark, root, vectors), "doc_id", "left_anti").select(*rows.columns) if vectors else rows
+
+
+def within(spark: SparkSession, root: str, rows: DataFrame, vectors: tuple[Deletes, ...]) -> DataFrame:
+    """Rows of documents that one of the delete vectors names."""
+    return rows.join(_named(spark, root, vectors), "doc_id", "left_semi").select(*rows.columns)
+
+
+def by_vectors(held: Version) -> dict[tuple[Deletes, ...], list[str]]:
+    """The names of a version's segments with documents, by the delete vectors that hold for them."""
+    groups: dict[tuple[Deletes, ...], list[str]] = {}
+    for segment in held.segments:
+        if not segment.retracts:
+            groups.setdefault(held.vectors(segment), []).append(segment.name)
+    return groups
 
 
 def alive(spark: SparkSession, root: str, held: Version, path_of) -> DataFrame:
@@ -201,13 +216,9 @@ def alive(spark: SparkSession, root: str, held: Version, path_of) -> DataFrame:
 
     Segments with the same delete vectors are read together.
     """
-    groups: dict[tuple[Deletes, ...], list[str]] = {}
-    for segment in held.segments:
-        if not segment.retracts:
-            groups.setdefault(held.vectors(segment), []).append(path_of(segment.name))
     rows = None
-    for vectors, paths in groups.items():
-        some = without(spark, root, spark.read.parquet(*paths), vectors)
+    for vectors, names in by_vectors(held).items():
+        some = without(spark, root, spark.read.parquet(*map(path_of, names)), vectors)
         rows = some if rows is None else rows.unionByName(some)
     return rows
 
