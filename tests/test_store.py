@@ -186,3 +186,43 @@ def test_shared_folder_has_a_scheme(spark, tmp_path):
         assert shared_dir(Session(spark, "/x/y")) == "viewfs://store/x/y"
     finally:
         held.set("fs.defaultFS", "file:///")
+
+
+def _size(place):
+    return sum(p.stat().st_size for p in place.rglob("*.parquet"))
+
+
+def test_index_is_small(spark, tmp_path):
+    """Lines stand once in each order, without their words, and texts once: it was eight times as much."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(f"{rng.randrange(10**6):06d}" for _ in range(12)) for _ in range(10))) for i in range(400)]
+    docs(spark, rows).coalesce(1).write.option("compression", "zstd").parquet(str(tmp_path / "in"))
+    store.build(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "index"))
+    held = next((tmp_path / "index" / "segments").iterdir())
+    assert _size(held / "scope=line") < 3 * _size(tmp_path / "in") and _size(held / "type=texts") < 2 * _size(tmp_path / "in")
+
+
+def test_line_search_shuffles_matches_only(spark, tmp_path):
+    """A line's test passes the merging of segments; it read the stored words, which kept it above and moved every line."""
+    root = str(tmp_path)
+    for k in range(3):
+        store.append(docs(spark, [(k, "so the home\nme met"), (k + 10, "or the time")]), root)
+    store.delete(spark.createDataFrame([(0,), (10,)], "doc_id long"), root)
+    found = search(load_index(spark, root), Scope.LINE, C, "the")
+    assert [tuple(r) for r in found.collect()] == [(8, "or the time"), (8, "so the home")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("slice(")
+
+
+def test_texts_of_both_rules(spark, tmp_path):
+    """Deletes and compactions cut a text as it was cut when it came in."""
+    root, text = str(tmp_path), "日本語 me"
+    store.append(docs(spark, [(1, text)]), root, store.Items(any_script=True))
+    store.append(docs(spark, [(2, text), (3, "me")]), root)
+    store.compact(spark, root)
+    store.delete(spark.createDataFrame([(1,)], "doc_id long"), root)
+    assert counts(spark, root) == {"日本語": 1, "me": 2}
+    store.delete(spark.createDataFrame([(2,)], "doc_id long"), root)
+    store.compact(spark, root)
+    assert counts(spark, root) == {"me": 1}
+    assert search(load_index(spark, root), Scope.LINE, P, "m").count() == 0

@@ -100,8 +100,8 @@ def predicate(scope: Scope, kind: SearchType, term: str, mode: Mode = Mode.COMPA
     def on(w: Column) -> Column:
         return _line_test(kind, term, mode, w, F.lower(F.try_element_at(w, F.lit(1))), F.lower(F.try_element_at(w, F.lit(-1))))
 
-    # A line is cut once, and only if it passes the test of the token.
-    return F.when(test, tokenize.bind(words_of(F.col("token"), any_script), on)).otherwise(F.lit(False))
+    # A line is cut once, and only if it passes the test of the token, which stands alone too so that it can reach a scan.
+    return test & F.when(test, tokenize.bind(words_of(F.col("token"), any_script), on)).otherwise(F.lit(False))
 
 
 def prepare(corpus: DataFrame, scope: Scope, any_script: bool = False) -> DataFrame:
@@ -120,10 +120,11 @@ def matches(
     """
     scope, kind, mode = Scope(scope), SearchType(kind), Mode(mode)
     stored = isinstance(source, Mapping)
-    test = predicate(scope, kind, term, mode, any_script, stored)
+    indexed = source.get((scope, kind)) if stored else None
+    # Indexes of a store hold lines without their words; single ones hold both.
+    test = predicate(scope, kind, term, mode, any_script or getattr(source, "any_script", False), indexed is not None and "words" in indexed.columns)
     log.debug("search %s %s %r in %s", scope.value, kind.value, term, "the index of " + kind.index_name if stored else "a corpus")
     if stored:
-        indexed = source.get((scope, kind))
         if indexed is None:
             log.warning("no index for %s, %s", scope.value, kind.value)
             return SparkSession.active().createDataFrame([], "token string, freq long")
@@ -135,9 +136,8 @@ def matches(
         # The optimizer tests items before they are counted: repeats that don't match are never shuffled.
         found = counted(tokens(source, scope, any_script)).where(test)
     if kind is SearchType.CONTAINS:
-        # A corpus is counted already; appended index batches may hold a token twice.
-        distinct = found.select("token").distinct() if stored else found.select("token")
-        return distinct.withColumn("freq", F.lit(1).cast("long"))
+        # Tokens are distinct: a corpus is counted, and so are the segments of an index when it is loaded.
+        return found.select("token", F.lit(1).cast("long").alias("freq"))
     return found.select("token", "freq")
 
 

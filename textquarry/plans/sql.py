@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from textquarry.enums import Scope, SearchType
 from textquarry.functions.scoring import SCORE_MODULUS
+from textquarry.operators.tokens import with_line_words
 
 NAME = "text_search"
 
@@ -42,6 +43,8 @@ def register(spark: SparkSession, indexes: Mapping, prefix: str = "text_index")
     branches = []
     for (scope, kind), index in indexes.items():
         view = f"{prefix}_{scope.value}_{kind.value}"
+        if scope is Scope.LINE and "words" not in index.columns:
+            index = with_line_words(index, getattr(indexes, "any_script", False))
         index.createOrReplaceTempView(view)
         freq = "CAST(1 AS BIGINT)" if kind is SearchType.CONTAINS else "freq"
         branches.append(

@@ -1,14 +1,15 @@
 """An index as a chain of versions, each a list of segments that never change.
 
 Layout: ``<root>/versions/<number>.json`` and ``<root>/segments/<name>/``. What a segment holds is up to a layout:
-``Items`` here, ``documents.Documents`` for postings. A segment of items has six datasets of counted items
-(see ``index``) and, for each scope, ``type=docs``: what every document adds, sorted by doc_id. A writer
-puts its segment under a new name and then creates the next version's file, which exactly one writer can do: readers see all six
+``Items`` here, ``documents.Documents`` for postings. A segment of items has, for each scope, its counted items sorted by token
+(``trie``, for prefix and interior searches) and by reversed token (``suffix``, which holds no other form), and the texts of
+documents with ids, which deletes cut again. The words of lines are not stored: a search cuts the lines that hold its term. A writer
+puts its segment under a new name and then creates the next version's file, which exactly one writer can do: readers see all
 datasets of a change or none, whatever fails on the way, and go on reading an older version while it is made.
 
 A delete adds two things: a delete vector (doc_ids), which is anti-joined wherever single documents are read, and a segment with the
 negative counts of those documents, so that searches, which read counts alone, need no documents. ``compact``
-applies the vectors and leaves one segment. A version knows the last batch of each source, so a repeated append adds nothing.
+applies the vectors, sums the counts and leaves one segment. A version knows the last batch of each source, so a repeated append adds nothing.
 
 A null doc_id is a document that can't be deleted. Rows with equal doc_ids are deleted together; added again later, an id is alive again.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.enums import Scope, SearchType
-from textquarry.operators.tokens import tokens, with_line_words
+from textquarry.operators.tokens import counted, tokens
 from textquarry.sources import files
 
 log = logging.getLogger(__name__)
@@ -47,6 +48,8 @@ class Segment:
     since: int
     #: Counts of deleted documents, below zero; such a segment has no documents of its own.
     retracts: bool = False
+    #: Some of its texts were cut by the full word rules.
+    any_script: bool = False
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,15 @@ def dataset(root: str, segment: str, scope: Scope, what: str) -> str:
     return f"{root}/segments/{segment}/scope={scope.value}/type={what}"
 
 
+def _held(kind: SearchType) -> str:
+    """The dataset that answers a kind of search: interior ones read every item, in whatever order."""
+    return (SearchType.PREFIX if kind is SearchType.CONTAINS else kind).index_name
+
+
+def _texts(root: str, segment: str) -> str:
+    return f"{root}/segments/{segment}/type=texts"
+
+
 def _file(root: str, number: int) -> str:
     return f"{root}/versions/{number:010d}.json"
 
@@ -91,6 +103,8 @@ def version(spark: SparkSession, root: str, number: int | None = None) -> Versio
     if not known:
         return Version()
     held = json.loads(files.read(spark, _file(root, known[-1] if number is None else number)))
+    if any("any_script" not in s for s in held["segments"]):
+        raise ValueError(f"{root} has the layout of an earlier release; build it anew")
     return Version(held["number"], held["kind"], held["at"], tuple(Segment(**s) for s in held["segments"]), tuple(Deletes(**d) for d in held["deletes"]), held["sources"])
 
 
@@ -116,43 +130,58 @@ class Items:
         self.any_script = any_script
 
     def write(self, corpus: DataFrame, root: str, name: str) -> None:
-        self._write(corpus.sparkSession, root, name, lambda scope: _docs_of(corpus, scope, self.any_script))
+        spark, place = corpus.sparkSession, _texts(root, name)
+        if "doc_id" in corpus.columns:
+            rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(self.any_script).alias("any_script"))
+            _put(rows.where(F.col("text").isNotNull()).sortWithinPartitions("doc_id"), place)
+            corpus = spark.read.parquet(place)  # and so does a task that is run again
+        else:
+            _put(spark.createDataFrame([], "doc_id long, text string, any_script boolean"), place)
+        for scope in Scope:
+            write_kinds(counted(tokens(corpus, scope, self.any_script)), scope, lambda kind, scope=scope: dataset(root, name, scope, kind.index_name))
 
     def rewrite(self, spark: SparkSession, root: str, held: Version, to: str, name: str) -> None:
-        """Everything alive in a version, as one segment."""
-        self._write(spark, to, name, lambda scope: documents(spark, root, held, scope))
-
-    def _write(self, spark: SparkSession, root: str, name: str, docs_of) -> None:
-        """Texts are cut once a scope; the rest reads what that wrote, and so does a task that is run again."""
+        """Everything alive in a version, as one segment: texts are copied, and counts summed, none is cut."""
+        texts = alive(spark, root, held, lambda segment: _texts(root, segment))
+        _put(texts.sortWithinPartitions("doc_id"), _texts(to, name))
         for scope in Scope:
-            place = dataset(root, name, scope, "docs")
-            docs_of(scope).repartitionByRange("doc_id", "token").sortWithinPartitions("doc_id", "token").write.parquet(place)
-            items = spark.read.parquet(place).groupBy("token").agg(F.sum("freq").alias("freq"))
-            items = with_line_words(items, self.any_script) if scope is Scope.LINE else items
-            write_kinds(items, scope, lambda kind, scope=scope: dataset(root, name, scope, kind.index_name))
+            rows = spark.read.parquet(*[dataset(root, s.name, scope, SearchType.PREFIX.index_name) for s in held.segments])
+            items = rows.groupBy("token").agg(F.sum("freq").alias("freq")).where("freq > 0")
+            write_kinds(items, scope, lambda kind, scope=scope: dataset(to, name, scope, kind.index_name))
 
     def retract(self, root: str, held: Version, gone: DataFrame, low: int, high: int, name: str) -> bool:
         """A segment with the negative counts of the documents ``gone``."""
+        # Files are sorted by id: the range reaches the scan.
+        texts = alive(gone.sparkSession, root, held, lambda segment: _texts(root, segment)).where(F.col("doc_id").between(low, high))
+        texts = texts.join(gone, "doc_id", "left_semi")
         for scope in Scope:
-            # Documents are sorted by id: the range reaches the scan.
-            rows = documents(gone.sparkSession, root, held, scope).where(F.col("doc_id").between(low, high))
-            items = rows.join(gone, "doc_id", "left_semi").groupBy("token").agg((-F.sum("freq")).alias("freq"))
-            items = with_line_words(items, self.any_script) if scope is Scope.LINE else items
-            write_kinds(items, scope, lambda kind, scope=scope: dataset(root, name, scope, kind.index_name))
+            items = tokens(texts.where(~F.col("any_script")), scope)
+            if any(s.any_script for s in held.segments):
+                items = items.unionByName(tokens(texts.where("any_script"), scope, True))
+            lost = counted(items).select("token", (-F.col("freq")).alias("freq"))
+            write_kinds(lost, scope, lambda kind, scope=scope: dataset(root, name, scope, kind.index_name))
         return True
 
 
+def _put(rows: DataFrame, place: str) -> None:
+    """Zstandard: an index is written once and read often."""
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(place)
+
+
 def write_kinds(items: DataFrame, scope: Scope, path_of) -> None:
-    """The three datasets of a scope from its counted items; ``path_of(kind)`` says where."""
-    for kind in SearchType:
-        _clustered(items, kind).write.mode("overwrite").parquet(path_of(kind))
+    """The datasets of a scope from its counted items; ``path_of(kind)`` says where.
+
+    Items stay in the partitions that counting dealt them to, and are sorted there: every file tells by its page index where a
+    beginning stands. The second order is made of what the first one wrote.
+    """
+    place = path_of(SearchType.PREFIX)
+    _put(items.select("token", "freq").sortWithinPartitions("token"), place)
+    turned = items.sparkSession.read.parquet(place).select(F.reverse("token").alias("token_rev"), "freq")
+    _put(turned.sortWithinPartitions("token_rev"), path_of(SearchType.SUFFIX))
 
 
-def _docs_of(corpus: DataFrame, scope: Scope, any_script: bool) -> DataFrame:
-    """doc_id, token, freq of every document."""
-    held = corpus if "doc_id" in corpus.columns else corpus.withColumn("doc_id", F.lit(None).cast("long"))
-    cut = tokens(held.withColumn("doc_id", F.col("doc_id").cast("long")), scope, any_script, keep=("doc_id",))
-    return cut.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("freq"))
+def _any_script(layout) -> bool:
+    return getattr(layout, "any_script", False)
 
 
 def build(corpus: DataFrame, root: str, layout=None) -> Version:
@@ -161,7 +190,7 @@ def build(corpus: DataFrame, root: str, layout=None) -> Version:
     (layout or Items()).write(corpus, root, name)
     for _ in range(RETRIES):
         base = version(spark, root)
-        if done := _commit(spark, root, base, "build", [Segment(name, base.number + 1)], [], {}):
+        if done := _commit(spark, root, base, "build", [Segment(name, base.number + 1, any_script=_any_script(layout))], [], {}):
             return done
     raise ConcurrentCommit(root)
 
@@ -182,7 +211,7 @@ def append(corpus: DataFrame, root: str, layout=None, source: str | None = None,
             files.remove(spark, f"{root}/segments/{name}")
             return base
         sources = base.sources | ({} if source is None else {source: batch})
-        if done := _commit(spark, root, base, "append", [*base.segments, Segment(name, base.number + 1)], base.deletes, sources):
+        if done := _commit(spark, root, base, "append", [*base.segments, Segment(name, base.number + 1, any_script=_any_script(layout))], base.deletes, sources):
             return done
     raise ConcurrentCommit(root)
 
@@ -223,11 +252,6 @@ def alive(spark: SparkSession, root: str, held: Version, path_of) -> DataFrame:
     return rows
 
 
-def documents(spark: SparkSession, root: str, held: Version, scope: Scope) -> DataFrame:
-    """doc_id, token, freq of the documents alive in a version."""
-    return alive(spark, root, held, lambda name: dataset(root, name, scope, "docs"))
-
-
 def delete(ids: DataFrame, root: str, layout=None) -> Version:
     """Takes the documents of a column ``doc_id`` out. Unknown ids and null do nothing."""
     spark = ids.sparkSession
@@ -261,15 +285,15 @@ def compact(spark: SparkSession, root: str, target: str | None = None, layout=No
     base = version(spark, root)
     if not base.segments:
         return base
-    to, name = target or root, uuid.uuid4().hex
+    to, name, any_script = target or root, uuid.uuid4().hex, any(s.any_script for s in base.segments)
     (layout or Items()).rewrite(spark, root, base, to, name)
     for _ in range(RETRIES):
         onto = version(spark, to)
         if target is not None:
-            segments, deletes, sources = [Segment(name, onto.number + 1)], [], base.sources
+            segments, deletes, sources = [Segment(name, onto.number + 1, any_script=any_script)], [], base.sources
         elif set(base.segments) <= set(onto.segments):
             # Later delete vectors reach up to this version at least, and so to the new segment.
-            segments = [Segment(name, base.number), *(s for s in onto.segments if s not in base.segments)]
+            segments = [Segment(name, base.number, any_script=any_script), *(s for s in onto.segments if s not in base.segments)]
             deletes, sources = [d for d in onto.deletes if d not in base.deletes], onto.sources
         else:
             break
@@ -308,28 +332,29 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     return free
 
 
-_KINDS = {Scope.WORD: "token string, freq long", Scope.LINE: "token string, freq long, words array<string>, first_lc string, last_lc string"}
+class Indexes(dict):
+    """(scope, type) -> index of a version; ``any_script``: lines are cut by the full word rules."""
 
+    any_script = False
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """One row a token of the tokens that are left. Tests of a token pass the grouping and reach the scan."""
-    keys = [c for c in ("token", "token_rev") if c in rows.columns]
-    rest = [c for c in rows.columns if c not in (*keys, "freq")]
-    return rows.groupBy(*keys).agg(F.sum("freq").alias("freq"), *[F.first(c).alias(c) for c in rest]).where("freq > 0")
 
+def load(spark: SparkSession, root: str, number: int | None = None, strict: bool = True) -> Indexes:
+    """The six indexes of a version: ``token, freq``, for suffixes ``token_rev`` too.
 
-def load(spark: SparkSession, root: str, number: int | None = None, strict: bool = True) -> dict[tuple[Scope, SearchType], DataFrame]:
-    """The six indexes of a version. ``strict``: a dataset that is gone from the disk fails; else it is left out, and searches of it have no match."""
-    held, found = version(spark, root, number), {}
+    ``strict``: a dataset that is gone from the disk fails; else it is left out, and searches of it have no match.
+    """
+    held, found = version(spark, root, number), Indexes()
+    found.any_script = any(s.any_script for s in held.segments)
     for scope, kind in ALL:
-        paths = [dataset(root, s.name, scope, kind.index_name) for s in held.segments]
+        key = "token_rev" if kind is SearchType.SUFFIX else "token"
+        paths = [dataset(root, s.name, scope, _held(kind)) for s in held.segments]
         lost = [] if strict else [p for p in paths if not files.exists(spark, p)]
         if lost:
             log.warning("no index for %s, %s: %s", scope.value, kind.value, lost)
-        elif not paths:
-            empty = spark.createDataFrame([], _KINDS[scope])
-            found[scope, kind] = empty.withColumn("token_rev", F.reverse("token")) if kind is SearchType.SUFFIX else empty
-        else:
-            rows = spark.read.parquet(*paths)
-            found[scope, kind] = rows if len(paths) == 1 else _merged(rows)
+            continue
+        rows = spark.read.parquet(*paths) if paths else spark.createDataFrame([], f"{key} string, freq long")
+        if len(paths) > 1:
+            # One row a token of the tokens that are left. Tests of a token pass the grouping and reach the scan.
+            rows = rows.groupBy(key).agg(F.sum("freq").alias("freq")).where("freq > 0")
+        found[scope, kind] = rows.select(F.reverse(key).alias("token"), "freq", key) if kind is SearchType.SUFFIX else rows
     return found
