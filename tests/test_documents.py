@@ -142,3 +142,23 @@ def test_same_id_other_text(spark, tmp_path):
     assert d.phrase_search(index, ["so"]).first().n_hits == 2
     with pytest.raises(FileNotFoundError):
         d.Index(spark, str(tmp_path / "none"))
+
+
+def test_places_of_a_batch(monkeypatch):
+    """Batches are taken in steps; null and empty texts have no row, words over the size limit only take their place."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    cut = [None if i % 7 == 0 else [rng.choice(["me", "so", "x" * 300, "the"]) for _ in range(rng.randrange(0, 9))] for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "key": [1] * 60, "field": ["text"] * 60, "w": pa.array(cut, pa.list_(pa.string()))})
+    want = sorted((i, w, [p for p, x in enumerate(c) if x == w], len(c)) for i, c in enumerate(cut) if c for w in set(c) if len(w) < 256)
+    for step in (1, 5, 40, 1 << 20):
+        monkeypatch.setattr(d, "STEP", step)
+        rows = [r for b in d._places(iter([batch.slice(3), batch.slice(0, 3), batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert sorted((r["doc_id"], r["word"], r["at"], r["length"]) for r in rows) == want and all(r["n"] == len(r["at"]) for r in rows)
+
+
+def test_ranked_search_reads_positions_alone(spark, made):
+    """Postings hold the length of their field: before, blocks and scores joined them with all lengths."""
+    _, scored = d.block_scores(d.Index(spark, made[0]), ["me"], {"text": 1.0})
+    assert "n_words" not in scored(spark.createDataFrame([(0,)], "block long"))._jdf.queryExecution().toString()

@@ -2,7 +2,7 @@
 
 A segment of the layout ``Documents`` holds, sorted so that tests of a word and of a range of documents reach the scan:
 
-- ``positions``: field, word, doc_id, key, n, at (places of the word, from 0); a hot word's rows lie in many files,
+- ``positions``: field, word, doc_id, key, n, at (places of the word, from 0), length (of the field); a hot word's rows lie in many files,
 - ``blocks``: field, word, block (2^BLOCK_BITS doc_ids), n_docs, max_n, min_len: what bounds any score in the block,
 - ``lengths``: field, doc_id, key, n_words, and the corpus's attributes; a row for each document, with words or not,
 - ``summary``: field, n_docs, n_words.
@@ -14,9 +14,13 @@ under the same id. Rows without doc_id cannot be named in a result and are left
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,11 @@ from textquarry.plans.store import Version
 #: Documents of a block have the same doc_id but for so many low bits.
 BLOCK_BITS = 8
 ID = ["doc_id", "key"]
+#: Documents of a part have the same doc_id but for so many low bits; the rows of a word and a part lie in one file.
+PART_BITS = 16
+#: Words that are put together at once, about.
+STEP = 1 << 20
+_POSITIONS = "field string, word string, doc_id long, key long, n int, at array<int>, length long"
 
 
 def _place(root: str, name: str, what: str) -> str:
@@ -46,34 +55,66 @@ class Documents:
         each = F.array(*[F.struct(F.lit(f).alias("field"), tokenize.words(F.lower(t)).alias("w")) for f, t in zip(self.fields, texts, strict=True)])
         rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*texts).alias("key"), *attributes, F.explode_outer(each).alias("f"))
         rows = rows.where(F.col("doc_id").isNotNull()).select(*ID, *attributes, "f.field", "f.w")
-        # Range partitions keep the rows of a (field, word, doc_id) together: what follows needs no other shuffle.
-        laid = rows.select("field", *ID, F.posexplode_outer("w").alias("at", "word")).where(tokenize.within_size(F.col("word"), Scope.WORD))
-        held = laid.repartitionByRange("field", "word", "doc_id").groupBy("field", "word", *ID).agg(F.sort_array(F.collect_set("at")).alias("at"))
-        held = held.select("field", "word", *ID, F.size("at").alias("n"), "at").sortWithinPartitions("field", "word", *ID)
-        held.write.parquet(_place(root, name, "positions"))
+        self._lay(rows.mapInArrow(_places, _POSITIONS), root, name)
         n_words = F.coalesce(F.size("w"), F.lit(0)).cast("long")
         lengths = rows.select("field", *ID, F.greatest(n_words, F.lit(0).cast("long")).alias("n_words"), *attributes).dropDuplicates(["field", *ID])
         self._finish(corpus.sparkSession, root, name, lengths)
 
+    def _lay(self, rows: DataFrame, root: str, name: str) -> None:
+        """Rows of documents that repeat become one where they are sorted."""
+        by = ["word", "field", "part", *ID]
+        dealt = rows.withColumn("part", F.shiftright("doc_id", PART_BITS)).repartition("word", "field", "part")
+        held = dealt.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "at", "length")]).sortWithinPartitions(*by)
+        store._put(held.select("field", "word", *ID, "n", "at", "length"), _place(root, name, "positions"))
+
     def rewrite(self, spark: SparkSession, root: str, held: Version, to: str, name: str) -> None:
-        rows = alive(spark, root, held, "positions")
-        rows.repartitionByRange("field", "word", "doc_id").sortWithinPartitions("field", "word", *ID).write.parquet(_place(to, name, "positions"))
+        self._lay(alive(spark, root, held, "positions"), to, name)
         self._finish(spark, to, name, alive(spark, root, held, "lengths"))
 
     def _finish(self, spark: SparkSession, root: str, name: str, lengths: DataFrame) -> None:
-        lengths.repartitionByRange("field", "doc_id").sortWithinPartitions("field", "doc_id").write.parquet(_place(root, name, "lengths"))
+        store._put(lengths.sortWithinPartitions("field", "doc_id"), _place(root, name, "lengths"))
         held = spark.read.parquet(_place(root, name, "lengths"))
         held.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words")).coalesce(1).write.parquet(_place(root, name, "summary"))
-        rows = spark.read.parquet(_place(root, name, "positions")).select("field", "word", *ID, "n").join(held.select("field", *ID, "n_words"), ["field", *ID])
+        rows = spark.read.parquet(_place(root, name, "positions"))
         blocks = rows.groupBy("field", "word", F.shiftright("doc_id", BLOCK_BITS).alias("block")).agg(
-            F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("max_n"), F.min("n_words").alias("min_len")
+            F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("max_n"), F.min("length").alias("min_len")
         )
-        blocks.repartitionByRange("field", "word", "block").sortWithinPartitions("field", "word", "block").write.parquet(_place(root, name, "blocks"))
+        store._put(blocks.sortWithinPartitions("word", "field", "block"), _place(root, name, "blocks"))
 
     def retract(self, root: str, held: Version, gone: DataFrame, low: int, high: int, name: str) -> bool:
         return False  # the vector is enough
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each field, document and word of it, with the word's places in order."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP, ends[-1] if len(ends) else 0, STEP)) + 1, [len(sizes)]]))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from _some_places(batch.slice(low, high - low), sizes[low:high])
+
+
+def _some_places(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    words = batch.column("w").flatten()
+    fits = pc.less_equal(pc.binary_length(words), Scope.WORD.max_bytes).to_numpy(zero_copy_only=False).astype(bool)
+    row = np.repeat(np.arange(len(sizes)), sizes)[fits]
+    at = (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[fits]
+    if not len(row):
+        return
+    coded = words.filter(pa.array(fits)).dictionary_encode()
+    whole = row * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(whole, kind="stable")  # places stay in order
+    first = np.flatnonzero(np.diff(whole[order], prepend=-1))
+    bounds = np.append(first, len(order))
+    take = order[first]
+    of_row, word = pa.array(row[take]), coded.dictionary.take(coded.indices.take(pa.array(take)))
+    columns = [batch.column(c).take(of_row) for c in ("field", *ID)]
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    n, length = np.diff(bounds).astype(np.int32), sizes[row[take]].astype(np.int64)
+    yield pa.RecordBatch.from_arrays([columns[0], word, *columns[1:], pa.array(n), lists, pa.array(length)], names=["field", "word", *ID, "n", "at", "length"])
+
+
 def alive(spark: SparkSession, root: str, held: Version, what: str) -> DataFrame:
     return store.alive(spark, root, held, lambda name: _place(root, name, what))
 
@@ -285,10 +326,9 @@ def block_scores(index: Index, words: list[str], fields: dict[str, float], k1: f
     def scored(chosen: DataFrame) -> DataFrame:
         rows = None
         for field, mean, idf in spec:
-            of_block = lambda what, test: index.rows(what).where((F.col("field") == field) & test).withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).join(chosen, "block", "left_semi")
-            hits = of_block("positions", F.col("word").isin(list(idf))).select(*ID, "n", "word")
-            lengths = of_block("lengths", F.lit(True)).select(*ID, "n_words")
-            own = hits.join(lengths, ID).select(*ID, (_weight(idf) * _gain(F.col("n"), F.col("n_words"), mean, k1, b)).alias("score"))
+            hits = index.rows("positions").where((F.col("field") == field) & F.col("word").isin(list(idf)))
+            hits = hits.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).join(chosen, "block", "left_semi")
+            own = hits.select(*ID, (_weight(idf) * _gain(F.col("n"), F.col("length"), mean, k1, b)).alias("score"))
             rows = own if rows is None else rows.unionByName(own)
         one = rows.groupBy(*ID).agg(F.sum("score").alias("score")).groupBy("doc_id").agg(F.max("score").alias("score"))
         return one.select("doc_id", F.round("score", 6).alias("score"))
