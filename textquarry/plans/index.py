@@ -61,25 +61,19 @@ def build_postings(corpus: DataFrame, scope: Scope, root: str, any_script: bool
 
     A word is about as long as an id, so it stands in its postings itself, and a lookup reads nothing else; a line stands once, with the items.
     A gram's list grows with the number of distinct tokens that hold it, so lists are cut into as many
-    blocks (by a hash) as that number asks for; a gram may have several rows.
+    blocks (by a hash) as that number asks for; a gram may have several rows. Only grams of more than one block, a few, are
+    joined with their number. Rows are sorted in the partitions that grouping dealt them to.
     """
     base, whole = f"{root}/scope={scope.value}", scope is Scope.WORD
     items = tokens(corpus, scope, any_script).distinct().withColumn("id", F.xxhash64("token"))
-    items.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{base}/type=items")
+    store._put(items.sortWithinPartitions("id"), f"{base}/type=items")
     stored = items.sparkSession.read.parquet(f"{base}/type=items")
     grams = bigrams(stored, scope, any_script).withColumn("id", F.xxhash64("token"))
     grams = grams.select("gram", "id", *["token"] * whole)
-    blocks = grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / POSTINGS_ROW).alias("blocks"))
+    blocks = grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / POSTINGS_ROW).alias("blocks")).where("blocks > 1")
     held = F.sort_array(F.collect_set("token" if whole else "id")).alias("tokens" if whole else "ids")
-    (
-        grams.join(blocks, "gram")
-        .groupBy("gram", F.pmod("id", F.col("blocks")).alias("block"))
-        .agg(held)
-        .repartitionByRange("gram", "block")
-        .sortWithinPartitions("gram", "block")
-        .write.mode("overwrite")
-        .parquet(f"{base}/type=postings")
-    )
+    dealt = grams.join(F.broadcast(blocks), "gram", "left").withColumn("block", F.coalesce(F.pmod("id", F.col("blocks")), F.lit(0)))
+    store._put(dealt.groupBy("gram", "block").agg(held).sortWithinPartitions("gram", "block"), f"{base}/type=postings")
 
 
 def lookup_postings(spark: SparkSession, root: str, scope: Scope, gram: list[str], any_script: bool = False) -> DataFrame:
