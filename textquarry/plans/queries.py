@@ -206,7 +206,7 @@ def _stray(spark: SparkSession, sf: str) -> DataFrame:
 
     def build(root: str) -> None:
         build_postings(read_table(spark, sf, "conversations", "text"), Scope.LINE, f"{root}/all")
-        build_postings(read_table(spark, sf, "conversations", "text"), Scope.LINE, root)
+        spark.read.parquet(f"{root}/all/scope=line/type=postings").write.parquet(f"{root}/scope=line/type=postings")
         left = spark.read.parquet(f"{root}/all/scope=line/type=items").where(~F.col("token").startswith("T"))
         left.write.mode("overwrite").parquet(f"{root}/scope=line/type=items")
 
