@@ -86,3 +86,14 @@ def test_late_rows(spark, tmp_path):
     # The watermark stands at 65 minutes: 59 is late, 70 is not.
     put("b", [(59, "x", 1), (70, "x", 1), (200, "y", 1)])
     assert run()["t"] == [("x", 0, 60, 2), ("x", 60, 120, 2), ("y", 60, 120, 1)]
+
+
+def test_fuzzy_index_is_not_sampled(spark, tmp_path, monkeypatch):
+    """Rows stay where their words are: before, three rows a word were sampled and dealt by ranges."""
+
+    def no_ranges(*_):
+        raise AssertionError("ranges are sampled")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", no_ranges)
+    fuzzy.build_fuzzy(spark.createDataFrame([("metal", 1), ("petal", 2), ("me", 1)], "token string, freq long"), str(tmp_path))
+    assert sorted(r.token for r in fuzzy.fuzzy_search(spark, str(tmp_path), "metal", 1).collect()) == ["metal", "petal"]

@@ -18,8 +18,8 @@ def build_fuzzy(items: DataFrame, path: str, max_distance: int = 2) -> None:
     edge = lambda i: F.floor(size * i / parts).cast("int")
     pieces = F.array(*[F.struct(F.lit(i).alias("part"), F.substring(F.col("token"), edge(i) + 1, edge(i + 1) - edge(i)).alias("piece")) for i in range(parts)])
     rows = items.select(size.alias("size"), F.explode_outer(pieces).alias("p"), "token", "freq").select("size", "p.part", "p.piece", "token", "freq")
-    order = ["size", "part", "piece", "token"]  # with the token: a piece of many words is split
-    rows.withColumn("parts", F.lit(parts)).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    # Rows stay where their words are, so a piece of many words lies in many files, and each file is sorted.
+    rows.withColumn("parts", F.lit(parts)).sortWithinPartitions("size", "part", "piece", "token").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def probes(term: str, distance: int, parts: int) -> dict[tuple[int, int], list[str]]:
