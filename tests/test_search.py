@@ -273,3 +273,33 @@ def test_interior_pairs(spark):
     for t, (pairs,) in zip(tokens_, got, strict=True):
         g = regex.findall(r"\X", t)
         assert pairs == [g[i] + g[i + 1] for i in range(1, len(g) - 1)] if len(g) > 2 else pairs == [], t
+
+
+def test_separator_class_first(spark):
+    """The pattern tests the class before the neighbours: it cuts as it did when it looked at the neighbours of every letter."""
+    from pyspark.sql import functions as F
+    from textquarry.functions import tokenize as t
+
+    before = rf"(?!(?<=[\p{{L}}\p{{M}}])[{t.MID_LETTER}](?=\p{{L}})|(?<=\p{{Nd}})[{t.MID_NUMBER}](?=\p{{Nd}}))" + r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab1é_٣ .:'’,;·․́\n日\U00010400\U0001f600", k=rng.randrange(14))) for _ in range(4000)]
+    rows = corpus(spark, *texts).where(F.split("text", before) != F.split("text", t.WORD_SEPARATOR))
+    assert rows.count() == 0 and t.WORD_SEPARATOR.startswith("[^")
+
+
+def test_postings_are_not_sampled(spark, tmp_path, monkeypatch):
+    """A gram of many tokens has several rows, all of whose tokens are found; nothing is cut twice to sample it for ranges."""
+    from pyspark.sql import functions as F
+    from textquarry.plans import index
+
+    monkeypatch.setattr(index, "POSTINGS_ROW", 3)
+
+    def no_ranges(*_):
+        raise AssertionError("ranges are sampled")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", no_ranges)
+    words = sorted({"a" + x + "me" + y for x in "bcdfg" for y in "xyz"})
+    build_postings(corpus(spark, " ".join(words)), Scope.WORD, str(tmp_path))
+    assert sorted(r.token for r in lookup_postings(spark, str(tmp_path), Scope.WORD, ["me"]).collect()) == words
+    held = spark.read.parquet(f"{tmp_path}/scope=word/type=postings")
+    assert held.where(F.col("gram") == F.array(F.lit("me"))).count() > 1 and held.where(F.col("gram") == F.array(F.lit("bm"))).count() == 1

@@ -20,10 +20,11 @@ MID_LETTER = r":.'\x{B7}\x{2018}\x{2019}\x{2024}\x{2027}"
 #: Characters that join two digits (MidNum, MidNumLet, Single_Quote).
 MID_NUMBER = r",;.'\x{2018}\x{2019}\x{2024}"
 
-#: One separator character: not part of a word, and not a joiner between two letters or two digits.
+#: One separator character: not part of a word, and not a joiner between two letters or two digits. The class comes first: most
+#: characters fail there, and only the others are looked at with their neighbours.
 WORD_SEPARATOR = (
-    rf"(?!(?<=[\p{{L}}\p{{M}}])[{MID_LETTER}](?=\p{{L}})|(?<=\p{{Nd}})[{MID_NUMBER}](?=\p{{Nd}}))"
     r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+    rf"(?<![\p{{L}}\p{{M}}][{MID_LETTER}](?=\p{{L}}))(?<!\p{{Nd}}[{MID_NUMBER}](?=\p{{Nd}}))"
 )
 HAS_ALNUM = r"[\p{L}\p{N}]"
 #: What a token holds if some of its graphemes may have more than one character.
@@ -32,7 +33,7 @@ JOINING = r"[\p{M}\p{Cf}\p{So}\p{Sk}\p{IsHangul}]"
 
 def words(text: Column) -> Column:
     """UAX #29 words, in order; null text gives null."""
-    return F.filter(F.split(text, WORD_SEPARATOR), lambda w: w.rlike(HAS_ALNUM))
+    return F.filter(F.split(text, WORD_SEPARATOR), lambda w: (w != "") & w.rlike(HAS_ALNUM))
 
 
 def lines(text: Column) -> Column:
