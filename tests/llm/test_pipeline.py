@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -6,7 +7,8 @@ import corpus_pipeline
 from test_jaccard_join import brute
 from test_native import contaminated
 from test_tokens import check_packed
-from textquarry.llm import storage
+from textquarry.llm import packing, storage
+from textquarry.llm.labelled import training_rows
 from textquarry.llm.substring_dedup import removable
 from test_substring_dedup import brute as repeats
 
@@ -66,3 +68,36 @@ def test_packed(steps):
 
 def test_run_is_the_stages(spark, steps):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == steps[4][0].count()
+
+
+def test_stages_hand_small_batches_to_workers(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    many = docs.crossJoin(spark.range(40).select()).select(docs.columns).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    try:
+        for stage in (corpus_pipeline.quality, corpus_pipeline.repeated_passages):
+            spark.conf.set(name, "10000")
+            stage(spark, docs.limit(20), SF)
+            assert many.count() > 5000 and max(r.n for r in many.mapInArrow(sizes, "n long").collect()) <= 1000
+        spark.conf.set(name, "300")
+        storage.lasting_small_batches(spark)
+        assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_local_rows_need_no_workers_of_their_own(spark, capsys):
+    labels, docs = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    files = packing.encode(docs.limit(20), storage.new_folder(spark, "test"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    for df in (training_rows(docs, labels, "quality", 30), packing.pieces(spark, files), storage.local(spark, [], a=pa.int64())):
+        df.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out
+        df.collect()
+    rows = [(1, None), (2, "x")]
+    assert [tuple(r) for r in storage.local(spark, rows, a=pa.int64(), b=pa.string()).collect()] == rows

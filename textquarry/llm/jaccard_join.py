@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.llm.components import components
-from textquarry.llm.storage import bounded, sweep, written
+from textquarry.llm.storage import bounded, local, sweep, written
 from textquarry.llm.token_counts import runs
 from textquarry.llm.workers import lean
 
@@ -321,7 +321,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, names: DataFrame) -> DataFrame
     order = written(hot.distinct(), "hot")
     total = order.count()
     if not total:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
+        return local(docs.sparkSession, [], a=pa.int64(), b=pa.int64())
     sets = _sets_of(docs, order.select("cls"), names)
     blocks = -(-total // BLOCK)
     cut = sets.withColumn("n", F.size("tokens")).repartitionByRange(blocks, "n", "cls").withColumn("blk", F.spark_partition_id())

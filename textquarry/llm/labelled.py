@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.storage import local
+
 #: Rows whose crc32 leaves remainder 0 are held out.
 FOLDS = 5
 #: Bytes of text that a sample holds of each class at most. Rows are taken in the order of their hash; one that
@@ -39,7 +42,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         if (r.size or 0) <= left[r.y]:
             left[r.y] -= r.size or 0
             taken.append((r.id_, r.y, totals[r.y]))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "id_ long, y int, n_y long"))
+    chosen = F.broadcast(local(docs.sparkSession, taken, id_=pa.int64(), y=pa.int32(), n_y=pa.int64()))
     rows = _columns(docs).join(chosen, F.col("doc_id") == F.col("id_"))
     least = rows.groupBy("doc_id", "y", "n_y").agg(F.min(F.struct("text", "lang", "source")).alias("r"))
     return least.select("doc_id", "r.text", "r.lang", "r.source", "y", "n_y")

@@ -9,24 +9,43 @@ from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.sources.shared import new_folder, shared_dir
 
-__all__ = ["bounded", "by_place", "chunks", "create", "drop", "fresh", "mapped", "new_folder", "quoted", "remove", "rename", "shared_dir", "small_batches", "sweep", "written"]
+__all__ = ["bounded", "by_place", "chunks", "create", "drop", "fresh", "lasting_small_batches", "local", "mapped", "new_folder", "quoted", "remove", "rename", "shared_dir", "small_batches", "sweep", "written"]
+
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lasting_small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time: batches lie outside the heap on one side and in the worker on the other.
+
+    From now on in this session: a frame that a job hands out is planned with the setting of the moment when it is written.
+    A smaller setting stays.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_ROWS)) <= 1000:
+        spark.conf.set(_BATCH_ROWS, "1000")
 
 
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Texts go to Python workers a thousand at a time: batches lie outside the heap on one side and in the worker on the other."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1000")
+    """The same for a while."""
+    before = spark.conf.get(_BATCH_ROWS)
+    lasting_small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def local(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A frame of the driver's few rows. From a list Spark would make it in Python workers, by a daemon of their own on each executor."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, types.items(), strict=True)}))
 
 
 #: Bytes of a row group. A reader takes a column of one at once, through a buffer outside the heap that its thread keeps.

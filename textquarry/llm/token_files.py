@@ -141,7 +141,8 @@ def per_part(spark: SparkSession, files: TokenFiles, job, schema: str) -> DataFr
                 part = Part(**row)
                 yield from job(part, part.open(folder, dtype))
 
-    listed = spark.createDataFrame([(k, *p) for k, p in enumerate(files.parts)], "k int, name string, documents long, ids long, document_base long, id_base long")
+    numbers = dict.fromkeys(("documents", "ids", "document_base", "id_base"), pa.int64())
+    listed = storage.local(spark, [(k, *p) for k, p in enumerate(files.parts)], k=pa.int32(), name=pa.string(), **numbers)
     return listed.repartitionById(len(files.parts), F.col("k")).mapInArrow(lean("tokens", task), schema)
 
 
